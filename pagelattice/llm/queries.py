@@ -6,6 +6,9 @@ import importlib
 
 #: query -> (module, function)
 _WHERE = {
+    "op1_secret_scan": ("secrets", "op1_secret_scan"),
+    "op6_quality_rules": ("quality", "op6_quality_rules"),
+    "quality_ablation": ("quality", "quality_ablation"),
     "op2_bpe": ("bpe", "op2_bpe"),
     "op10_toxicity": ("toxicity", "op10_toxicity"),
 }
