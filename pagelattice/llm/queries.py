@@ -6,6 +6,8 @@ import importlib
 
 #: query -> (module, function)
 _WHERE = {
+    "op3_media_packets": ("media", "op3_media_packets"),
+    "op8_chat_format": ("chat", "op8_chat_format"),
     "op1_secret_scan": ("secrets", "op1_secret_scan"),
     "op6_quality_rules": ("quality", "op6_quality_rules"),
     "quality_ablation": ("quality", "quality_ablation"),
