@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, function)
 _WHERE = {
+    "op4_ngram_join": ("jaccard", "op4_ngram_join"),
     "op3_media_packets": ("media", "op3_media_packets"),
     "op8_chat_format": ("chat", "op8_chat_format"),
     "op1_secret_scan": ("secrets", "op1_secret_scan"),
