@@ -209,16 +209,10 @@ class Encoder:
         new = self.known.new
         if not new:
             return
-        pre: dict[bytes, int] = {}
-        of: list[list[int]] = []
-        for w in new:
-            whole = w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w
-            of.append([pre.setdefault(p.encode("utf-8", "replace"), len(pre)) for p in self.split(whole)])
-        coded, _ = encode_words(list(pre), self.vocab)
+        coded = self._code([w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new])
         flat, ends = [], []
-        for ps in of:
-            for p in ps:
-                flat += coded[p]
+        for ids in coded:
+            flat += ids
             ends.append(len(flat))
         at, n = int(self.first[self.done]), len(new)
         while at + len(flat) > len(self.tokens):
@@ -230,6 +224,12 @@ class Encoder:
         self.done += n
         self.known.new = []
 
+    def _code(self, stretches: list[str]) -> list[list[int]]:
+        pre: dict[bytes, int] = {}
+        of = [[pre.setdefault(p.encode("utf-8", "replace"), len(pre)) for p in self.split(s)] for s in stretches]
+        coded, _ = encode_words(list(pre), self.vocab)
+        return [[t for p in ps for t in coded[p]] for ps in of]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the offsets of each text's."""
         if self.done > self.memory:

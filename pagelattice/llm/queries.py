@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, function)
 _WHERE = {
+    "op5_token_store": ("store", "op5_token_store"),
     "op7_source_mix": ("mixing", "op7_source_mix"),
     "op9_line_dedup": ("lines", "op9_line_dedup"),
     "op4_ngram_join": ("jaccard", "op4_ngram_join"),
