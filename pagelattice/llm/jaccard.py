@@ -218,11 +218,22 @@ def _search(docs: DataFrame, threshold: float, n: int, recall: float, block: int
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """docs without the documents that a chain of pairs joins with a smaller doc_id; all other rows and columns stay."""
-    pairs = cut(join(docs, threshold, n), "pairs")
-    groups = components(pairs, "id_a", "id_b")
-    gone = groups.where("node <> component").select(F.col("node").alias("doc_id"))
-    gone = cut(gone, "gone")
+    """docs without the documents that a chain of pairs joins with a smaller doc_id; all other rows and columns stay.
+
+    Documents of one word sequence hang together by their representative, so their pairs aren't listed. Rows that share a doc_id
+    are one document and stay or go together.
+    """
+    _, members, found = _search(docs, threshold, n, RECALL, BLOCK)
+    groups = components(found, "a", "b")
+    # rid -> group; a doc_id with several texts joins their groups
+    own = members.join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", F.coalesce("component", "rid").alias("g"))
+    own = cut(own, "groups")
+    several = own.groupBy("doc_id").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.collect_set("g").alias("gs")).where("a <> b")
+    if not several.isEmpty():
+        more = components(several.select("a", F.explode("gs").alias("b")), "a", "b")
+        own = own.join(more.withColumnRenamed("node", "g"), "g", "left").select("doc_id", F.coalesce("component", "g").alias("g"))
+    least = own.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
+    gone = cut(own.join(least, "g").where("doc_id <> least").select("doc_id").distinct(), "gone")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(small, "doc_id", "left_anti")
 
