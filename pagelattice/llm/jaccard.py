@@ -35,9 +35,9 @@ from .components import components
 
 N = 3
 THRESHOLD = 0.6
-RECALL = 0.95
+RECALL = 0.98
 #: Hash functions of a signature at most.
-HASHES = 96
+HASHES = 128
 #: Members of a family that are verified in one product.
 BLOCK = 1024
 
