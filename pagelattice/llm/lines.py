@@ -32,6 +32,8 @@ from .components import components
 
 DISTANCE = 3
 SIMILARITY = 0.85
+#: Lines of one key by chance, up to which comparing them all is cheaper than more keys.
+SHARE = 64
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
@@ -88,9 +90,12 @@ def masks(m: int, distance: int) -> list[int]:
 
 
 def blocks_for(lines: int, distance: int) -> int:
-    """The fewest blocks with which the shortest key has bits enough to tell so many lines apart."""
+    """The fewest blocks with which a key is shared by some SHARE lines by chance.
+
+    More blocks mean more keys to shuffle, fewer mean more pairs to compare in a run of one key; the pairs found are the same.
+    """
     m = distance + 1
-    while m < 16 and (64 // m) * (m - distance) < math.log2(max(2, lines)):
+    while m < 16 and (64 // m) * (m - distance) < math.log2(max(2, lines / SHARE)):
         m += 1
     return m
 
@@ -105,25 +110,26 @@ def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     bits = np.array(masks(m, distance), np.uint64)
 
-    def pairs(x: np.ndarray, y: np.ndarray, c: int, sx: np.ndarray, sy: np.ndarray):
-        d = sx ^ sy
-        ok = (np.bitwise_count(d) <= distance) & (x != y) & ((d & bits[c]) == 0)
-        for e in range(c):  # the first choice on which both agree reports the pair
-            ok &= (d & bits[e]) != 0
-        return np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])
-
-    def group(key, c, rid, sim):
-        n, a, b = len(rid), [], []
-        if n < 2:
-            return a, b
-        for choice in np.unique(c):  # almost always one
-            at = np.flatnonzero(c == choice)
-            r, s = rid[at], sim[at]
-            for k in range(1, len(r)):
-                x, y = pairs(r[:-k], r[k:], int(choice), s[:-k], s[k:])
-                a.append(x)
-                b.append(y)
-        return a, b
+    def within(cols):
+        """The pairs in the runs of one key: each row is compared with those k rows on, for k = 1, 2 ... while some run is so long."""
+        key, c, rid, sim = cols
+        at, k, a, b = np.arange(len(key) - 1), 1, [], []
+        while True:
+            at = at[: np.searchsorted(at, len(key) - k)]
+            at = at[key[at] == key[at + k]]
+            if not len(at):
+                return a, b
+            d = sim[at] ^ sim[at + k]
+            near = at[(np.bitwise_count(d) <= distance) & (c[at] == c[at + k])]
+            if len(near):
+                d = sim[near] ^ sim[near + k]
+                ok = (rid[near] != rid[near + k]) & ((d & bits[c[near]]) == 0)
+                for e in range(len(bits)):  # the first choice on which both agree reports the pair
+                    ok &= (e >= c[near]) | ((d & bits[e]) != 0)
+                near = near[ok]
+                a.append(np.minimum(rid[near], rid[near + k]))
+                b.append(np.maximum(rid[near], rid[near + k]))
+            k += 1
 
     def run(batches):
         rest = None
@@ -132,28 +138,14 @@ def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
             cols[3] = cols[3].view(np.uint64)
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols)]
-            edge = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            if not len(edge):
-                rest = cols
-                continue
-            rest = [v[edge[-1] :] for v in cols]
-            # pairs of neighbours decide for the runs of two; longer runs are few
-            start, end = np.append(0, edge[:-1]), edge
-            two = start[end - start == 2]
-            a, b = [], []
-            for c in range(len(bits)):
-                t = two[(cols[1][two] == c) & (cols[1][two + 1] == c)]
-                x, y = pairs(cols[2][t], cols[2][t + 1], c, cols[3][t], cols[3][t + 1])
-                a.append(x)
-                b.append(y)
-            for i in np.flatnonzero(end - start > 2):
-                p = slice(start[i], end[i])
-                x, y = group(None, cols[1][p], cols[2][p], cols[3][p])
-                a += x
-                b += y
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            # the last key may go on in the next batch
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            rest = [v[last:] for v in cols]
+            a, b = within([v[:last] for v in cols])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
         if rest is not None:
-            a, b = group(None, *rest[1:])
+            a, b = within(rest)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
