@@ -32,6 +32,8 @@ from .components import components
 
 DISTANCE = 3
 SIMILARITY = 0.85
+#: Texts of a component of close pairs up to which one task takes it whole.
+LARGE = 100_000
 #: Lines of one key by chance, up to which comparing them all is cheaper than more keys.
 SHARE = 64
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -201,6 +203,91 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def histograms(lines: list[str]) -> np.ndarray:
+    """Counts of each text's characters in 64 classes; texts at an edit distance of d differ by at most d in what they have more or less."""
+    out = np.zeros((len(lines), 64), np.int32)
+    for i, x in enumerate(lines):
+        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+    return out
+
+
+def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int = LARGE) -> DataFrame:
+    """(node, component): the groups of two and more texts (rid, line, component) that similar pairs (a, b) chain together.
+
+    component is what all close pairs, verified or not, hang together by. Its texts are sent to one task once; a pair whose texts
+    hang together already isn't compared, which changes no group. Components of more than `large` texts, which would fill a task,
+    are verified pair by pair in parallel and put together by connected components.
+    """
+    of = texts.select(F.col("rid").alias("a"), "component")
+    size = texts.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > large).select("component")
+    placed = pairs.join(of, "a")
+    rows = texts.select("component", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "line").unionAll(placed.select("component", F.lit(1), "a", "b", F.lit(None).cast("string")))
+    big = cut(size, "large")
+    some = not big.isEmpty()
+    if some:
+        rows = rows.join(F.broadcast(big), "component", "left_anti")  # fewer than lines / large rows
+    rows = rows.repartition("component").sortWithinPartitions("component", "kind", "a", "b")
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
+
+    def settle(rid: list[int], line: list[str], a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        at = {r: i for i, r in enumerate(rid)}
+        root = list(range(len(rid)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        x = np.array([at[r] for r in a])
+        y = np.array([at[r] for r in b])
+        size = np.array([len(t) for t in line])
+        longer = np.maximum(size[x], size[y])
+        most = np.floor(longer * (1 - least) + 1e-9)
+        ok = np.abs(size[x] - size[y]) <= most
+        h = histograms(line)
+        for k in range(0, len(x), 1 << 14):
+            d = h[x[k : k + (1 << 14)]] - h[y[k : k + (1 << 14)]]
+            ok[k : k + (1 << 14)] &= np.maximum(np.where(d > 0, d, 0).sum(1), -np.where(d < 0, d, 0).sum(1)) <= most[k : k + (1 << 14)]
+        for i, j, m in zip(x[ok].tolist(), y[ok].tolist(), most[ok].tolist()):
+            p, q = find(i), find(j)
+            if p != q and levenshtein(line[i], line[j]) <= m:
+                root[max(p, q)] = min(p, q)
+        low: dict[int, int] = {}
+        count: dict[int, int] = {}
+        for i, r in enumerate(rid):
+            p = find(i)
+            low[p] = min(low.get(p, r), r)
+            count[p] = count.get(p, 0) + 1
+        return [(r, low[find(i)]) for i, r in enumerate(rid) if count[find(i)] > 1]
+
+    def run(batches):
+        now, rid, line, a, b = None, [], [], [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for c, kind, x, y, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if c != now:
+                    if a:
+                        out += settle(rid, line, a, b)
+                    now, rid, line, a, b = c, [], [], [], []
+                if kind == 0:
+                    rid.append(x)
+                    line.append(t)
+                else:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
+        out = settle(rid, line, a, b) if a else []
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
+
+    groups = rows.mapInArrow(run, schema)
+    if not some:
+        return groups
+    rest = placed.join(F.broadcast(big), "component", "left_semi")
+    both = rest.join(texts.select(F.col("rid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("line").alias("y")), "b")
+    return groups.unionAll(components(similar(both.repartition("a", "b"), least), "a", "b"))
+
+
 def fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(rid, line): the normalised texts of the wanted occurrences (rid, doc_id, thash, line_no)."""
     small = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
@@ -217,14 +304,13 @@ def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMI
     at = F.struct("doc_id", "thash", "line_no")
     one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.min("simhash").alias("simhash"), F.count("*").alias("n")).withColumn("rid", F.monotonically_increasing_id()), "distinct-lines")
     pairs = cut(close_pairs(one.select("rid", "simhash"), distance, blocks_for(one.count(), distance)), "close")
-    need = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select(F.col("b").alias("rid"))).distinct()
-    need = cut(need.join(one.select("rid", "first.*"), "rid"), "need")
-    texts = cut(fetch(docs, need), "texts")
-    both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("line").alias("y")), "b")
-    edges = cut(similar(both.repartition("a"), similarity), "similar")
-    for t in (pairs, need, texts):
+    close = components(pairs, "a", "b")
+    need = cut(close.withColumnRenamed("node", "rid").join(one.select("rid", "first.*"), "rid"), "need")
+    texts = cut(fetch(docs, need.drop("component")).join(need.select("rid", "component"), "rid"), "texts")
+    drop_cut(need)
+    groups = cut(verified_groups(pairs, texts, similarity), "groups")
+    for t in (pairs, texts):
         drop_cut(t)
-    groups = components(edges, "a", "b")
     grouped = groups.join(one.select(F.col("rid").alias("node"), "lid", "first"), "node")
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"))
     fuzzy = grouped.join(kept, "component").select("lid", "kept")
