@@ -64,7 +64,7 @@ def block_pattern(num: Column) -> Column:
 
 def block_markdown(content: Column, num: Column) -> Column:
     """What stands in a table's block; '' without one."""
-    return _strip(F.regexp_extract(content, block_pattern(num), F.lit(1)))
+    return _strip(F.call_function("regexp_extract", content, block_pattern(num), F.lit(1)))
 
 
 def replace_block(content: Column, num: Column, by: Column) -> Column:

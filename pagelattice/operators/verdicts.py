@@ -29,8 +29,8 @@ def parse_reply(reply: Column) -> Column:
     t = strip_fences(reply, "json")
     listed = F.array(t, F.regexp_extract(t, r"(?s)\[.*\]", 0))
     mapped = F.array(t, F.regexp_extract(t, r"(?s)\{.*\}", 0))
-    as_list = F.filter(F.transform(listed, lambda s: F.when(s.startswith("["), F.from_json(F.when(F.try_parse_json(s).isNotNull(), s), T.ArrayType(VERDICT)))), lambda a: a.isNotNull())
-    rows = F.filter(F.get(as_list, F.lit(0)), lambda v: v.isNotNull() & (v["id"].isNotNull() | v["content_type"].isNotNull()))
+    as_list = F.filter(F.transform(listed, lambda s: F.when(s.startswith("["), F.from_json(F.when(F.try_parse_json(s).isNotNull(), s), T.ArrayType(T.StringType())))), lambda a: a.isNotNull())
+    rows = F.transform(F.filter(F.get(as_list, F.lit(0)), lambda v: v.startswith("{")), lambda v: F.from_json(v, VERDICT))
     raw = T.MapType(T.StringType(), T.StringType())
     as_map = F.filter(F.transform(mapped, lambda s: F.when(s.startswith("{"), F.from_json(F.when(F.try_parse_json(s).isNotNull(), s), raw))), lambda m: m.isNotNull())
     entries = F.filter(F.map_entries(F.get(as_map, F.lit(0))), lambda e: e["value"].startswith("{"))

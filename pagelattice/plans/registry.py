@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import boxes, grids, judging, pages, reporting, text  # noqa: F401  (they register their queries)
+from .base import REGISTRY
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
