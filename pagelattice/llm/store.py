@@ -6,8 +6,7 @@ Every distinct chunk is stored once. A document's recipe lists its chunks' addre
 over them and their sizes. Verification hashes every stored chunk again, looks every address of every recipe up in the store,
 and computes every root again.
 
-Ids are cheap to make again, so the texts are encoded twice rather than chunks kept twice on disk: one pass makes recipes,
-another sends chunks to the partition of their address (a chunk once from each task), where each is written once.
+Texts are encoded once. A task sends a chunk once, to the partition of its address, where it is written once.
 
 Defined cases: null text has null ids, recipe and root and is verified; empty text has an empty recipe and the root of no
 chunk; repeated rows have the same recipe and store nothing more; null doc_id is kept; extra columns are left out.
@@ -16,6 +15,7 @@ chunk; repeated rows have the same recipe and store nothing more; null doc_id is
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, shared_dir
 from . import bpe
 from .hashing import mix
 
@@ -118,66 +118,64 @@ def _chunks(column: pa.Array, enc: FastEncoder):
 
 
 RECIPE = [("n_tokens", T.LongType()), ("n_chunks", T.IntegerType()), ("recipe", T.ArrayType(T.StringType(), False)), ("sizes", T.ArrayType(T.IntegerType(), False)), ("merkle_root", T.StringType())]
+_ARROW = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string()]
 
 
-def recipes(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, n_chunks, recipe, sizes, merkle_root); addresses and roots in hexadecimal."""
+def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(book, store), written into the shared folder.
+
+    book (doc_id, n_tokens, n_chunks, recipe, sizes, merkle_root): addresses and roots in hexadecimal. store (address BINARY, ids
+    BINARY): every distinct chunk once. Texts are encoded once: recipes and chunks go through one shuffle, each to the partition of
+    its key, and are written as the two parts of one table.
+    """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in RECIPE)])
+    fields = [T.StructField("kind", T.StringType()), T.StructField("address", T.BinaryType()), T.StructField("ids", T.BinaryType()), docs.schema["doc_id"], *(T.StructField(n, k) for n, k in RECIPE)]
+    schema = T.StructType(fields)
 
-    def run(batches):
-        enc = _encoder(vocabulary)
+    def send(batches):
+        enc, sent = _encoder(vocabulary), set()
         for b in batches:
-            n, hexes, sizes, roots = [], [], [], []
-            for _, texts, raw, w, off, ends in _chunks(b.column(1), enc):
+            for first, texts, raw, w, off, ends in _chunks(b.column(1), enc):
+                keys, parts, rows = [], [], []
                 for k, t in enumerate(texts):
                     if t is None:
-                        n.append(None), hexes.append(None), sizes.append(None), roots.append(None)
+                        rows.append((None,) * len(RECIPE))
                         continue
                     edge = [int(off[k]), *ends[k]]
-                    leaves = [(digest(raw[w * x : w * y]), y - x) for x, y in zip(edge, edge[1:])]
-                    n.append(int(off[k + 1] - off[k]))
-                    hexes.append([a.hex() for a, _ in leaves])
-                    sizes.append([s for _, s in leaves])
-                    roots.append(merkle(leaves).hex())
-            count = [None if h is None else len(h) for h in hexes]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(count, pa.int32()), pa.array(hexes, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32())), pa.array(roots, pa.string())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def chunks(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """(address BINARY, ids BINARY): every distinct chunk once, in the partition of its address."""
-    schema = T.StructType([T.StructField("address", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-
-    def send(batches):
-        enc, sent = _encoder(vocabulary), set()
-        for b in batches:
-            for _, _, raw, w, off, ends in _chunks(b.column(0), enc):
-                keys, parts = [], []
-                for k in range(len(ends)):
-                    edge = [int(off[k]), *ends[k]]
+                    leaves = []
                     for x, y in zip(edge, edge[1:]):
                         part = raw[w * x : w * y]
                         key = digest(part)
+                        leaves.append((key, y - x))
                         if key not in sent:
                             sent.add(key)
                             keys.append(key)
                             parts.append(part)
+                    rows.append((int(off[k + 1] - off[k]), len(leaves), [a.hex() for a, _ in leaves], [n for _, n in leaves], merkle(leaves).hex()))
                 if len(sent) > SENT:
                     sent = set()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=schema.names)
+                n, m = len(keys), len(rows)
+                ids = b.column(0).slice(first, m)
+                # a recipe's key only spreads the rows
+                keys += [digest((r[-1] or "").encode() + (first + k).to_bytes(8, "little")) for k, r in enumerate(rows)]
+                cols = [pa.concat_arrays([pa.nulls(n, kind), pa.array(c, kind)]) for c, kind in zip(zip(*rows), _ARROW)]
+                yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array(keys, pa.binary()), pa.array(parts + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, ids.type), ids]), *cols], names=schema.names)
 
     def once(batches):
         seen = set()
         for b in batches:
             keep = []
-            for key in b.column(0).to_pylist():
-                keep.append(key not in seen)
-                seen.add(key)
+            for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keep.append(kind == "recipe" or key not in seen)
+                if kind == "chunk":
+                    seen.add(key)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("text").mapInArrow(send, schema).repartition("address").mapInArrow(once, schema)
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    docs.mapInArrow(send, schema).repartition("address").mapInArrow(once, schema).write.partitionBy("kind").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    return table.where("kind = 'recipe'").select("doc_id", *(n for n, _ in RECIPE)), table.where("kind = 'chunk'").select("address", "ids")
 
 
 def check_chunks(store: DataFrame, width: int = 2) -> DataFrame:
@@ -195,8 +193,7 @@ def check_chunks(store: DataFrame, width: int = 2) -> DataFrame:
 def verify(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
     """book with verified BOOLEAN: every address of the recipe is in the store once, sound and of its size, and the root is that of the recipe."""
     checked = check_chunks(store, width).groupBy("address").agg(F.first("size").alias("size"), F.min("sound").alias("sound"), F.count("*").alias("n"))
-    book = book.withColumn("rid", F.monotonically_increasing_id())
-    book = cut(book, "recipes")
+    book = cut(book.withColumn("rid", F.monotonically_increasing_id()), "recipes")
     used = book.select("rid", F.explode(F.arrays_zip("recipe", "sizes")).alias("c")).select("rid", F.col("c.recipe").alias("address"), F.col("c.sizes").alias("expected"))
     good = F.coalesce(F.col("sound") & (F.col("n") == 1) & (F.col("size") == F.col("expected")), F.lit(False))
     bad = used.join(checked, "address", "left").where(~good).select("rid").distinct()
@@ -232,6 +229,4 @@ def reconstruct(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
 
 def op5_token_store(spark, sf_dir: str) -> DataFrame:
     """Every document's recipe and manifest, verified against the store that the query writes into the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = cut(chunks(docs), "store")
-    return verify(recipes(docs), store)
+    return verify(*build(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -238,20 +238,20 @@ def test_components(spark):
 
 def test_store(spark):
     d = docs(spark)
-    s = cut(store.chunks(d))
-    v = store.verify(store.recipes(d), s).collect()
+    book, s = store.build(d)
+    v = store.verify(book, s).collect()
     assert len(v) == 14 and all(r["verified"] for r in v)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in v) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in d.collect())
     used = {a for r in v for a in r["recipe"] or ()}
     assert used == {bytes(r["address"]).hex() for r in s.collect()} and s.count() == len(used)
     ids = sorted(tuple(r["token_ids"]) for r in bpe.encode(d).where("text is not null").collect())
-    assert sorted(tuple(r["token_ids"]) for r in store.reconstruct(store.recipes(d), s).collect()) == ids
+    assert sorted(tuple(r["token_ids"]) for r in store.reconstruct(book, s).collect()) == ids
     # a damaged and a missing chunk show
     first = s.orderBy("address").first()["address"]
     bad = s.withColumn("ids", F.when(F.col("address") == F.lit(bytes(first)), F.lit(b"\0\0")).otherwise(F.col("ids")))
     for t in (bad, s.where(F.col("address") != F.lit(bytes(first)))):
-        assert {r["verified"] for r in store.verify(store.recipes(d), t).collect() if bytes(first).hex() in (r["recipe"] or ())} == {False}
-    e = docs(spark, [])
-    assert store.verify(store.recipes(e), cut(store.chunks(e))).count() == 0
+        assert {r["verified"] for r in store.verify(book, t).collect() if bytes(first).hex() in (r["recipe"] or ())} == {False}
+    assert store.verify(*store.build(docs(spark, []))).count() == 0
 
 
 def test_chunk_cuts():
