@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .functions.text import mask_secret, normalize_text  # noqa: F401
+from .functions import text as X
 from .operators import blocks as B
 from .operators import chunks, reports, verdicts
 from .providers import ask
@@ -84,7 +84,9 @@ class Batch(Settings):
             if stop_on_error and not failures.isEmpty():
                 raise OSError(f"can't read {failures.first()['path']}")
             pages = chunks.split_breaks(text.withColumn("n", F.lit(1)), DOC, "n")
-        pages = pages.withColumn("content", normalize_text(F.col("content")))
+        # rows of tables are left as they are
+        prose = lambda x: F.when(x.startswith("|"), x).otherwise(X.collapse_even_spacing(x))
+        pages = pages.withColumn("content", X.by_line(X.collapse_vertical_text(X.map_pua(F.col("content"))), prose))
         pages, tables = B.inject(pages, DOC, "page_no")
         pages, tables = cut(pages, "pages"), cut(tables, "tables")
         judged = self.judge is not None and self.get("assess_tables")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 #: Rows up to which a side is broadcast, given that a row is a few numbers wide.
 BROADCAST_ROWS = 2_000_000
@@ -33,6 +37,21 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, if they wouldn't find it by their path. The driver itself serves the archive."""
+    root = str(Path(__file__).resolve().parent.parent)
+    sc = spark.sparkContext
+    if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="pagelattice-code-")) / "pagelattice.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in Path(__file__).resolve().parent.rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+    atexit.register(shutil.rmtree, archive.parent, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
