@@ -28,7 +28,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a Python worker remembers at most.
-MEMORY = 250_000
+MEMORY = 500_000
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
@@ -74,7 +74,7 @@ class Vocabulary:
 
     def endings(self, tail: bytes) -> tuple[tuple[int, int], ...]:
         """(length, token) of the tokens of up to NEAR bytes that the tail ends in."""
-        if len(self._near) > 100_000:
+        if len(self._near) > 200_000:
             self._near.clear()
         out = [(n, t) for n in ORDER if n <= len(tail) and (t := self.ranks.get(tail[-n:])) is not None]
         self._near[tail] = tuple(out)
@@ -107,7 +107,7 @@ class Vocabulary:
         known = self._pairs.get(key)
         if known is not None:
             return known
-        if len(self._pairs) > 200_000:
+        if len(self._pairs) > 400_000:
             self._pairs.clear()
         if not (self.whole(a) and self.whole(b)):
             out = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
@@ -185,6 +185,12 @@ class Encoder:
         self.simple = pattern == PATTERN
         self._forget()
 
+    def rest(self) -> None:
+        """Give back what was remembered: workers live on after their task, and other tasks need the memory."""
+        self._forget()
+        self.vocab._near.clear()
+        self.vocab._pairs.clear()
+
     def _forget(self) -> None:
         self.known = _Numbers()
         self.tokens = np.zeros(1 << 16, np.int32)
@@ -269,7 +275,7 @@ _WORKER: dict[tuple[str, str], Encoder] = {}
 
 
 def worker_encoder(path: str, pattern: str = PATTERN) -> Encoder:
-    """The Python worker's encoder of a vocabulary file; tasks that run one after another share it."""
+    """The Python worker's encoder of a vocabulary file; its vocabulary is kept from task to task."""
     if (path, pattern) not in _WORKER:
         _WORKER[path, pattern] = Encoder(Vocabulary.load(path), pattern)
     return _WORKER[path, pattern]
@@ -310,6 +316,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                     same = [t is not None and decode_bytes(ids[off[k] : off[k + 1]], enc.vocab).decode("utf-8", "replace") == t for k, t in enumerate(texts)]
                     cols.append(pa.array(same, mask=none))
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *added])
+                del b, cols, texts, ids
+            del whole
+        enc.rest()
 
     return docs.mapInArrow(run, schema)
 

@@ -161,6 +161,7 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
                 keys += [digest((r[-1] or "").encode() + (first + k).to_bytes(8, "little")) for k, r in enumerate(rows)]
                 cols = [pa.concat_arrays([pa.nulls(n, kind), pa.array(c, kind)]) for c, kind in zip(zip(*rows), _ARROW)]
                 yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array(keys, pa.binary()), pa.array(parts + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, ids.type), ids]), *cols], names=schema.names)
+        enc.rest()
 
     def once(batches):
         seen = set()
