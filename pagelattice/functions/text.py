@@ -22,6 +22,11 @@ PUA = {chr(0xF000 + int(x[:-1], 16)): x[-1] for x in _SYMBOLS.split()} | {chr(in
 _W = r"(?U)"  # white space, digits and words as Unicode has them
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def map_pua(text: Column) -> Column:
     """Private-use symbols of word processors as the characters they show; unknown ones stay."""
     return F.translate(text, "".join(PUA), "".join(PUA.values()))
@@ -224,7 +229,8 @@ def display_width(text: Column) -> Column:
     """Columns that a text takes: two for a wide character."""
     if not _WIDE:
         _WIDE.append(_wide_class())
-    return (F.length(text) + F.regexp_count(text, F.lit(_WIDE[0]))).cast("int")
+    # only texts beyond ASCII are searched for wide characters
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(text) + F.regexp_count(text, F.lit(_WIDE[0]))).cast("int")
 
 
 def mask_secret(value: Column) -> Column:

@@ -49,15 +49,16 @@ def render_grid(cells: DataFrame, key: str, marks: bool = True, most: int = MAX_
 
 def render_padded(rows: Column) -> Column:
     """An array of rows as a GitHub table whose columns are as wide as their widest cell, three at least; '' for no rows."""
-    esc = F.transform(rows, lambda r: F.transform(r, X.escape_cell))
+    def drawn(even: Column, wide: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, wide, lambda x, w: F.concat(x, F.repeat(F.lit(" "), w - X.display_width(x)))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|-"), F.array_join(F.transform(wide, lambda w: F.repeat(F.lit("-"), w)), "-|-"), F.lit("-|"))
+        rest = F.transform(F.slice(even, F.lit(2), F.size(even) - 1), line)
+        return F.array_join(F.concat(F.array(line(F.get(even, F.lit(0))), rule), rest), "\n")
+
+    widths = lambda even: F.transform(F.sequence(F.lit(0), F.size(F.get(even, F.lit(0))) - 1), lambda c: F.greatest(F.lit(3), F.array_max(F.transform(even, lambda r: X.display_width(F.get(r, c))))))
+    fill = lambda n: F.transform(rows, lambda r: F.concat(F.transform(r, X.escape_cell), F.array_repeat(F.lit(""), n - F.size(r))))
     n = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    even = F.transform(esc, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r))))
-    cols = F.sequence(F.lit(0), n - 1)
-    wide = F.transform(cols, lambda c: F.greatest(F.lit(3), F.array_max(F.transform(even, lambda r: X.display_width(F.get(r, c))))))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, wide, lambda x, w: F.concat(x, F.repeat(F.lit(" "), w - X.display_width(x)))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|-"), F.array_join(F.transform(wide, lambda w: F.repeat(F.lit("-"), w)), "-|-"), F.lit("-|"))
-    lines = F.transform(even, line)
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines) - 1)), "\n")).otherwise("")
+    return F.when(F.size(rows) > 0, X.let(X.let(n, fill), lambda even: X.let(widths(even), lambda wide: drawn(even, wide)))).otherwise("")
 
 
 def is_subheader(above: Column, row: Column) -> Column:
@@ -78,11 +79,14 @@ def header_rows(rows: Column, most: int = 3) -> Column:
 
 def flatten_headers(rows: Column, most: int = 3) -> Column:
     """The header rows merged into one: each column's distinct texts, joined."""
-    h = header_rows(rows, most)
-    top = F.slice(rows, F.lit(1), h)
-    wide = F.array_max(F.transform(top, lambda r: F.size(r)))
-    merged = F.transform(F.sequence(F.lit(0), wide - 1), lambda c: F.array_join(F.array_distinct(F.filter(F.transform(top, lambda r: F.trim(F.coalesce(F.get(r, c), F.lit("")))), lambda x: x != "")), " "))
-    return F.when((F.size(rows) == 0) | (h <= 1), rows).otherwise(F.concat(F.array(merged), F.slice(rows, h + 1, F.greatest(F.size(rows) - h, F.lit(0)))))
+
+    def merged(h: Column) -> Column:
+        top = F.slice(rows, F.lit(1), h)
+        texts = lambda c: F.filter(F.transform(top, lambda r: F.trim(F.coalesce(F.get(r, c), F.lit("")))), lambda x: x != "")
+        row = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(top, lambda r: F.size(r))) - 1), lambda c: F.array_join(F.array_distinct(texts(c)), " "))
+        return F.when(h <= 1, rows).otherwise(F.concat(F.array(row), F.slice(rows, h + 1, F.greatest(F.size(rows) - h, F.lit(0)))))
+
+    return F.when(F.size(rows) > 0, X.let(header_rows(rows, most), merged)).otherwise(rows)
 
 
 def structure_gap(tables: DataFrame, cells: DataFrame, key: str) -> DataFrame:

@@ -276,7 +276,7 @@ def block_markdown() -> Column:
 
     head = F.when(F.col("caption") != "", F.concat(F.lit("**"), F.col("caption"), F.lit("**\n\n"))).otherwise("")
     md = (
-        F.when(F.col("kind") == "table", F.concat(head, render_padded(flatten_headers(F.col("cells")))))
+        F.when(F.col("kind") == "table", F.concat(head, X.let(flatten_headers(F.col("cells")), render_padded)))
         .when(F.col("kind") == "list", F.col("list_md"))
         .when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text")))
         .otherwise(X.bullet_to_md(F.col("text")))

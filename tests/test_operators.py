@@ -176,3 +176,28 @@ def test_stream(spark, tmp_path):
     s = folder.html_blocks(folder.watch(spark, str(src), "*.html"))
     folder.write(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_previews(spark):
+    from pagelattice.operators import previews
+
+    lines = ["head", "<a><b>", "<c>", "x < y", "<d|e>"]
+    df = spark.createDataFrame([(1, k, s) for k, s in enumerate(lines)], "d int, line_no int, text string")
+    got = [(r["is_table"], r["markdown"]) for r in previews.preview_tables(df, "d").orderBy("block_no").collect()]
+    assert got == [(False, "head"), (True, "| a | b |\n| --- | --- |\n| c |  |"), (False, "x < y"), (True, "| d\\|e |\n| --- |")]
+    raw = spark.createDataFrame([("a\x01b \n \n c",)], "t string").select(previews.clean_raw(F.col("t"))).first()[0]
+    assert raw == "ab\n□ c"
+
+
+def test_report_texts(spark):
+    from pagelattice.operators import previews, reports
+
+    t = spark.createDataFrame([("d", "fill", 3.0), ("d", "read", 1.0)], "doc string, stage string, seconds double")
+    p = spark.createDataFrame([("d", 1, "x", ["n"])], "doc string, page_no int, summary string, notes array<string>")
+    md = previews.pipeline_markdown(reports.timing_shares(t, "doc"), p, "doc").first()["content"]
+    assert "| fill | 3.0 | 75% |\n| read | 1.0 | 25% |" in md and "| 1 | x | n |" in md
+    i = spark.createDataFrame([("d", 1, 1, "table", "dropped", "a|b")], "doc string, page_no int, item_order int, label string, outcome string, text string")
+    o = spark.createDataFrame([("d", 1, 2, 0.5)], "doc string, a_order int, b_order int, ratio double")
+    md = previews.layout_markdown(i, o, "doc").first()["content"]
+    assert md.startswith("dropped: 1") and "a\\|b" in md and "- 1 / 2: 50%" in md
+    assert previews.html_view(t, "doc", "stage", ["stage"]).first()["html"] == "<table><tr><th>stage</th></tr><tr><td>fill</td></tr><tr><td>read</td></tr></table>"
