@@ -96,3 +96,22 @@ def keeps_cells(source: Column, output: Column) -> Column:
     """Whether an answer keeps four fifths of the source cells that have two Hangul syllables or more (arrays of texts)."""
     key = F.array_distinct(F.filter(source, lambda c: c.rlike("[가-힣].*[가-힣]")))
     return (F.size(key) == 0) | (F.size(F.array_except(key, output)) <= 0.2 * F.size(key))
+
+
+def text_density(text: Column) -> tuple[Column, Column, Column]:
+    """(characters that aren't blank, lines that aren't blank, a sample of sixty characters) of a region's text."""
+    from .text import preview_text
+
+    t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s", "") != "")
+    return F.length(F.regexp_replace(t, r"(?U)\s", "")), F.size(lines), preview_text(t)
+
+
+def needs_table_model(mode_always: Column, is_split_head: Column, n_header_rows: Column) -> Column:
+    """Tables that are rebuilt by a model: always, or heads of split tables and those with several header rows."""
+    return F.coalesce(mode_always | is_split_head | (n_header_rows >= 2), F.lit(False))
+
+
+def picture_report(ratio: Column, threshold: float, description: Column) -> Column:
+    """A picture's share of its page, whether it is too small to be described, and whether it has a description."""
+    return F.struct(F.bround(ratio, 4).alias("area_fraction"), (ratio < threshold).alias("skipped"), (F.trim(F.coalesce(description, F.lit(""))) != "").alias("described"))

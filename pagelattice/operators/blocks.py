@@ -134,3 +134,16 @@ def image_groups(tables: DataFrame, doc: str) -> DataFrame:
     out = one.join(known, doc).where(F.array_contains("known", F.get("ids", F.lit(0))))
     ids = F.filter("ids", lambda x: F.array_contains("known", x))
     return out.select(doc, "group_key", F.get("ids", F.lit(0)).alias("first_id"), F.array_join(ids, ",").alias("members"), F.concat(F.lit("<!-- img_from_"), F.get("ids", F.lit(0)), F.lit(" -->")).alias("placeholder"))
+
+
+def convert_groups(pages: DataFrame, groups: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, content): the blocks of image groups (keys, members, placeholder) as pictures: the first block becomes the group's placeholder, the others go, and so do the blank lines that this leaves.
+
+    Other blocks are written as they were read.
+    """
+    m = groups.select(*keys, "placeholder", F.posexplode(F.split("members", ",")).alias("k", "id")).select(*keys, F.regexp_extract("id", r"(\d+)$", 1).cast("int").alias("table_num"), F.when(F.col("k") == 0, F.col("placeholder")).otherwise("").alias("by"))
+    m = m.groupBy(*keys, "table_num").agg(F.max("by").alias("by"))
+    seg = segments(pages, keys, content).join(m, [*keys, "table_num"], "left")
+    piece = F.when(F.col("by").isNotNull(), F.col("by")).when(F.col("table_num").isNotNull(), table_block(F.col("table_num"), F.col("text"))).otherwise(F.col("text"))
+    whole = seg.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", piece.alias("p")))), lambda x: x["p"]), "").alias(content))
+    return whole.withColumn(content, F.regexp_replace(content, r"\n{3,}", "\n\n"))

@@ -201,3 +201,14 @@ def test_report_texts(spark):
     md = previews.layout_markdown(i, o, "doc").first()["content"]
     assert md.startswith("dropped: 1") and "a\\|b" in md and "- 1 / 2: 50%" in md
     assert previews.html_view(t, "doc", "stage", ["stage"]).first()["html"] == "<table><tr><th>stage</th></tr><tr><td>fill</td></tr><tr><td>read</td></tr></table>"
+
+
+def test_groups_and_density(spark):
+    from pagelattice.functions import gates
+
+    b = lambda n, s: f"<table {n}>\n\n{s}\n\n</table {n}>"
+    pages = spark.createDataFrame([(1, f"a\n{b(1, 'x')}\n\n{b(2, 'y')}\n\nz{b(3, 'w')}")], "d int, content string")
+    groups = spark.createDataFrame([(1, "table_1,table_2", "<!-- img_from_table_1 -->")], "d int, members string, placeholder string")
+    assert blocks.convert_groups(pages, groups, ["d"]).first()["content"] == f"a\n<!-- img_from_table_1 -->\n\nz{b(3, 'w')}"
+    got = spark.createDataFrame([(" a b\n\n c ",), (None,)], "t string").select(*gates.text_density(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(3, 2, "a b c"), (0, 0, "")]
