@@ -43,9 +43,9 @@ class Settings:
         self._own[config.check(key)] = value
         return self
 
-    def get(self, key: str, default: Any = None) -> Any:
+    def get(self, key: str, otherwise: Any = None) -> Any:
         value = config.resolve(self._own)[config.check(key)]
-        return default if value is None else value
+        return otherwise if value is None else value
 
     def options(self) -> dict[str, Any]:
         return config.shown(config.resolve(self._own))

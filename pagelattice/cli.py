@@ -12,11 +12,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pagelattice", description="Documents to structured records")
     p.add_argument("input", nargs="?")
     p.add_argument("--out", default="out")
-    p.add_argument("--slim", action="store_true")
-    p.add_argument("--fill-all", action="store_true")
-    p.add_argument("--no-llm", action="store_true")
+    for flag in ("--slim", "--no-llm", "--fill-all", "--list-options"):
+        p.add_argument(flag, action="store_true")
     p.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
-    p.add_argument("--list-options", action="store_true")
     return p
 
 

@@ -6,7 +6,7 @@ import os
 from typing import Any
 
 #: Options of a run.
-RUN: dict[str, Any] = {"assess_tables": True, "fill_tables": True, "fill_all": False, "read_pictures": True, "render_pages": True, "render_scale": 2.0, "split_chars": 0, "out_dir": None, "progress": False}
+RUN: dict[str, Any] = {"out_dir": None, "progress": False, "split_chars": 0, "render_scale": 2.0, "render_pages": True, "read_pictures": True} | {"fill_all": False, "assess_tables": True, "fill_tables": True}
 #: Options of providers and sources.
 PROVIDER: dict[str, Any] = {
     "llm_url": "", "llm_model": "", "llm_key": "", "llm_timeout": 60.0, "llm_concurrency": 8, "llm_adapter": "",
@@ -60,7 +60,8 @@ def resolve(own: dict[str, Any] | None = None) -> dict[str, Any]:
 
 def mask(value: str) -> str:
     """A secret as it may be shown."""
-    return f"{value[:6]}…{value[-4:]}" if len(value) > 10 else "*" * len(value)
+    short = len(value) <= 10
+    return "*" * len(value) if short else "…".join((value[:6], value[-4:]))
 
 
 def shown(options: dict[str, Any]) -> dict[str, Any]:

@@ -66,8 +66,8 @@ def by_line(text: Column, f) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), f), "\n")
 
 
-_CLOSERS = r",.;:!?)\]}»〉》」』】〕｣）］｝"
-_OPENERS = r"(\[{«〈《「『【〔｢（［｛"
+_CLOSERS = r"!?:;.,»｝］）｣〕】』」》〉})\]"
+_OPENERS = r"«｛［（｢〔【『「《〈{(\["
 _DOTS = "·‧・"
 
 
@@ -78,7 +78,7 @@ def tighten_punctuation(line: Column) -> Column:
     for pattern, by in (
         (rf"[ \t]+(?=[{_CLOSERS}])", ""),
         (rf"{_W}(?<=[\w{HANGUL}])[ \t]+(?=[(（])", ""),
-        (rf"{_W}(?<=\d)[ \t]+(?=[급명개년월일차호원건배쪽점])", ""),
+        (rf"{_W}(?<=\d)[ \t]+(?=[년월일명급개원건배쪽점차호])", ""),
         (rf"(?<=[{_OPENERS}])[ \t]+", ""),
         (rf"{_W}[ \t]*([{_DOTS}])[ \t]*(?=\S)", "$1"),
         (r"[ \t]{2,}", " "),
@@ -166,14 +166,14 @@ def strip_fences(text: Column, kinds: str = "markdown|gfm|md|json") -> Column:
 
 def bullet_to_md(text: Column) -> Column:
     """A dash bullet as a second-level list item, other bullets as a first-level one."""
-    dash, dot = r"(?U)^\s*[-–—]\s+", r"(?U)^\s*[◦•●○▪■□◆◇▷▶]\s*"
+    dash, dot = r"(?U)^\s*[-–—]\s+", r"(?U)^\s*[□■▪◇◆○●◦•▷▶]\s*"
     rest = lambda p: F.trim(F.regexp_replace(text, p, ""))
     return F.when(text.rlike(dash), F.concat(F.lit("  - "), rest(dash))).when(text.rlike(dot), F.concat(F.lit("- "), rest(dot))).otherwise(text)
 
 
 def bullet_depth(text: Column) -> Column:
     """Depth 0 to 3 of the bullet that a line begins with; null without one."""
-    mark = F.regexp_extract(text, r"(?U)^\s*([□■◆○●◎\-–∙▪·*▸▷=])\s", 1)
+    mark = F.regexp_extract(text, r"(?U)^\s*([◆■□◎●○=*·▪∙–▷▸\-])\s", 1)
     at = lambda s: F.lit(s).contains(mark) & (mark != "")
     return F.when(at("□■◆"), 0).when(at("○●◎"), 1).when(at("-–∙▪·="), 2).when(at("*▸▷"), 3)
 
@@ -181,10 +181,10 @@ def bullet_depth(text: Column) -> Column:
 def numbered_heading_level(text: Column) -> Column:
     """1 for part and chapter headings, 2 for sections and Roman numerals, of at most 60 characters."""
     short = F.length(text) <= 60
-    return F.when(short & text.rlike(r"(?U)^\s*제\s*\d+\s*[편장]"), 1).when(short & (text.rlike(r"(?U)^\s*제\s*\d+\s*절") | text.rlike(r"(?U)^\s*[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]\s*[.．]")), 2)
+    return F.when(short & text.rlike(r"(?U)^\s*제\s*\d+\s*[편장]"), 1).when(short & (text.rlike(r"(?U)^\s*제\s*\d+\s*절") | text.rlike(r"(?U)^\s*[Ⅰ-Ⅹ]\s*[.．]")), 2)
 
 
-STYLE_LEVELS = {"제목": 1, "개요 1": 1, "개요 2": 2, "개요 3": 3, "개요 4": 4, "개요 5": 5, "큰제목": 1, "중간제목": 2, "작은제목": 3}
+STYLE_LEVELS = {f"개요 {n}": n for n in range(1, 6)} | {"작은제목": 3, "중간제목": 2, "큰제목": 1, "제목": 1}
 
 
 def style_heading_level(style: Column) -> Column:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import replace_matches
 
-BLOCK = r"(?s)<table (\d+)>\s*(.*?)\s*</table \1>"
-OPEN = r"<table (\d+)>"
-GFM = r"(?m)(\|[^\n]+\|\n\|[-:| \t]+\|(?:\n\|[^\n]+\|)*)"
+BLOCK = r"(?s)<table ([0-9]+)>(?:\s*)(.*?)(?:\s*)</table \1>"
+OPEN = r"<table ([0-9]+)>"
+GFM = r"(?m)([|][^\n]+[|]\n[|][ \t:|-]+[|](?:\n[|][^\n]+[|])*)"
 
 
 def _strip(c: Column) -> Column:
@@ -59,7 +59,7 @@ def inject(pages: DataFrame, doc: str, order: str, content: str = "content") ->
 def block_pattern(num: Column) -> Column:
     """The pattern of one table's block."""
     n = num.cast("string")
-    return F.concat(F.lit("(?s)<table "), n, F.lit(r">\s*(.*?)\s*</table "), n, F.lit(">"))
+    return F.concat(F.lit("(?s)<table "), n, F.lit(r">(?:\s*)(.*?)(?:\s*)</table "), n, F.lit(">"))
 
 
 def block_markdown(content: Column, num: Column) -> Column:
@@ -96,7 +96,7 @@ def context_slice(content: Column, num: Column) -> Column:
     sum_ = lambda a, k: F.aggregate(F.slice(a, F.lit(1), k), F.lit(0), lambda s, x: s + x)
     place = lambda k: sum_(gaps, k) + sum_(tags, k - 1)  # noqa: E731  characters before the k-th tag
     before = F.substr(content, F.lit(1), F.position(found, content) - 1)
-    headings = F.regexp_extract_all(before, F.lit(r"(?m)^#{1,6}\s+.+$"), F.lit(0))
+    headings = F.regexp_extract_all(before, F.lit(r"(?m)^[#]{1,6}\s+.+$"), F.lit(0))
     last = F.element_at(headings, -1)
     # the last heading's place: the length of what is left when the text from it on is cut away
     heading = F.length(before) - F.length(F.regexp_extract(before, r"(?ms)(^#{1,6}\s+[^\n]+$(?!.*^#{1,6}\s+[^\n]+$).*)\z", 1))

@@ -12,13 +12,13 @@ from pyspark.sql.window import Window
 
 #: Kinds of boundaries in the order of their rank.
 BOUNDARIES = [
-    ("chapter", r"\s*제\s*\d+\s*장"),
+    ("chapter", r"\s*제\s*[0-9]+\s*장"),
     ("roman numeral", r"\s*[Ⅰ-Ⅹ]\s*[.．]"),
-    ("heading", r"\s*#{1,3}\s+\S"),
+    ("heading", r"\s*[#]{1,3}\s+\S"),
     ("square", r"\s*□"),
     ("diamond", r"\s*◇"),
     ("circle", r"\s*○"),
-    ("numbered item", r"\s*\d+\s*[.．]\s*\S"),
+    ("numbered item", r"\s*[0-9]+\s*[．.]\s*\S"),
 ]
 PLAIN = 200
 
@@ -30,13 +30,13 @@ def split_breaks(pages: DataFrame, doc: str, order: str, content: str = "content
     return p.select(doc, F.row_number().over(Window.partitionBy(doc).orderBy(order, "part")).alias("page_no"), content)
 
 
-def find_boundaries(lines: list[str], want: int) -> tuple[str, list[int]]:
+def find_boundaries(lines: list[str], least: int) -> tuple[str, list[int]]:
     """(kind, line numbers): the first kind that comes often enough, and in the second half too; else the commonest of two or more."""
-    best: tuple[str, list[int]] = ("", [])
+    best: tuple[str, list[int]] = "", []
     for kind, pattern in BOUNDARIES:
         match = re.compile(pattern).match
         at = [i for i, x in enumerate(lines) if match(x)]
-        if len(at) >= max(want, 1) and at[-1] > len(lines) / 2:
+        if len(at) >= max(least, 1) and at[-1] > len(lines) / 2:
             return kind, at
         if len(at) > len(best[1]):
             best = (kind, at)
@@ -106,7 +106,7 @@ def chunk(pages: DataFrame, doc: str, order: str, most: int, content: str = "con
 
 def chunk_tables(chunks: DataFrame, tables: DataFrame, doc: str, content: str = "content") -> DataFrame:
     """tables (doc, table_num, ...) with the number of the chunk that their opening tag stands in."""
-    marks = chunks.select(doc, "chunk_no", F.explode(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<table\s+(\d+)>"), F.lit(1)))).alias("n")).select(doc, "chunk_no", F.col("n").cast("int").alias("table_num"))
+    marks = chunks.select(doc, "chunk_no", F.explode(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<table\s+([0-9]+)>"), F.lit(1)))).alias("n")).select(doc, "chunk_no", F.col("n").cast("int").alias("table_num"))
     return tables.join(marks, [doc, "table_num"])
 
 

@@ -16,7 +16,7 @@ SOURCES = {"ocr": "OCR", "n/a": "해당 없음", "empty": "추출 실패", "mixe
 LABELS = dict(x.split("=") for x in "text=본문;table=표;title=제목;picture=그림;section_header=절 제목;list_item=목록 항목;caption=캡션;footnote=각주;formula=수식;code=코드;form=양식;page_header=머리글;page_footer=바닥글;document_index=목차;key_value_region=키-값 영역;checkbox_selected=체크박스(선택);checkbox_unselected=체크박스(해제)".split(";"))
 OUTCOMES = dict(x.split("=") for x in "text=본문에 포함;dropped=버려짐 (빈 내용);image=이미지로 저장;table=표로 변환".split(";"))
 _SHOWN = ("text_layer", "ocr", "mixed", "empty")
-_MARKS = {"skip": "-", "warn": "!", "fail": "x"}
+_MARKS = dict(fail="x", skip="-", warn="!")
 
 
 def lookup(code: Column, names: dict[str, str]) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-RETRIED = frozenset({408, 409, 429, 500, 502, 503, 504})
+RETRIED = frozenset((*range(502, 505), 500, 429, 409, 408))
 _DOWN: dict[tuple[str, str], tuple[float, str]] = {}
 
 

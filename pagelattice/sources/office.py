@@ -26,8 +26,8 @@ from ..operators.grid import render_grid
 NESTED = "[중첩표 {}]"
 PICTURE = "[그림]"
 _FIELD = '"simplefields"'
-_CHAPTER, _ARTICLE = re.compile(r"\s*제\s*\d+\s*장\b"), re.compile(r"(제\s*\d+조(?:의\d+)?\s*\([^)]*\))(.*)", re.S)
-_SKIPPED = frozenset("HEADER FOOTER SECDEF FOOTNOTE ENDNOTE FIELDBEGIN FIELDEND HIDE PAGEDEF FOOTNOTESHAPE ENDNOTESHAPE PAGEBORDERFILL COLDEF".split())
+_CHAPTER, _ARTICLE = re.compile(r"\s*제\s*[0-9]+\s*장\b"), re.compile(r"(제\s*[0-9]+조(?:의[0-9]+)?\s*[(][^)]*[)])(.*)", re.S)
+_SKIPPED = frozenset("COLDEF ENDNOTE ENDNOTESHAPE FIELDBEGIN FIELDEND FOOTER FOOTNOTE FOOTNOTESHAPE HEADER HIDE PAGEBORDERFILL PAGEDEF SECDEF".split())
 
 _CELL = T.StructType([T.StructField(n, T.IntegerType()) for n in ("cell_no", "declared_cols", "row", "col", "rowspan", "colspan")] + [T.StructField("blocks", T.ArrayType(T.StringType()))])
 BLOCK = [("block_no", T.IntegerType()), ("kind", T.StringType()), ("level", T.IntegerType()), ("text", T.StringType()), ("table_no", T.IntegerType()), ("parent", T.IntegerType()), ("cells", T.ArrayType(_CELL))]
@@ -73,7 +73,7 @@ def hwpx_blocks(content: bytes) -> list[tuple]:
             for e in ElementTree.fromstring(z.read("Contents/header.xml")).iter():
                 if _local(e) == "charPr" and any(_local(c) == "bold" for c in e):
                     bold.add(e.get("id") or "")
-        found = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n)))
+        found = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"Contents/section([0-9]+)[.]xml", n)))
 
         def run_text(run) -> str:
             parts = ("".join(x.itertext()) if _local(x) == "t" else " " if _local(x) in ("tab", "lineBreak") else "" for x in run)
