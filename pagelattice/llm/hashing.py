@@ -5,6 +5,7 @@ A word is a run of ASCII letters and digits or of characters outside ASCII. Call
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,17 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return memory that a task no longer needs to the system: Python workers live on beside those of later stages."""
+    for k in (0, 1):
+        _POWERS[k] = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 class Words:
     """The words of a run of texts: full hashes, start and end bytes, and the index of each text's first word."""
 

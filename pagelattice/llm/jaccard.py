@@ -93,6 +93,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sid += [_sid(w, d) for d in have]
             flat = np.concatenate(out).ravel() if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sid, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(flat))], names=["doc_id", "sid", "bands"])
+            del b, data, flat
+        hashing.give_back()
 
     return low.mapInArrow(run, schema)
 
@@ -166,6 +168,8 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
                     sets.append(g)
         if len(sets) > 1:
             yield pairs(np.array(side), np.array(rid), sets)
+        sets = []
+        hashing.give_back()
 
     return members.mapInArrow(run, schema)
 

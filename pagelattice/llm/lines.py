@@ -80,6 +80,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lid = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(runs[:-1].tolist(), runs[1:].tolist())]
                 row = pa.array(text[have] + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number[have], pa.int32()), pa.array(lid, pa.binary()), pa.array(simhash(h, runs))], names=schema.names)
+            del b, data
+        hashing.give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -150,6 +152,8 @@ def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
             a, b = within(rest)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        rest = None
+        hashing.give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -279,6 +283,8 @@ def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
         out = settle(rid, line, a, b) if a else []
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
+        del out, rid, line, a, b
+        hashing.give_back()
 
     groups = rows.mapInArrow(run, schema)
     if not some:

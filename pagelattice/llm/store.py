@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 from . import bpe
-from .hashing import mix
+from .hashing import give_back, mix
 
 WINDOW = 32
 #: Ids of a chunk: at least, at most, and the top bits of the hash that are zero at a cut (so 2**8 more on average).
@@ -162,6 +162,7 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
                 cols = [pa.concat_arrays([pa.nulls(n, kind), pa.array(c, kind)]) for c, kind in zip(zip(*rows), _ARROW)]
                 yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array(keys, pa.binary()), pa.array(parts + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, ids.type), ids]), *cols], names=schema.names)
         enc.rest()
+        give_back()
 
     def once(batches):
         seen = set()
