@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a Python worker remembers at most.
-MEMORY = 500_000
+MEMORY = 250_000
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
@@ -76,7 +76,7 @@ class Vocabulary:
 
     def endings(self, tail: bytes) -> tuple[tuple[int, int], ...]:
         """(length, token) of the tokens of up to NEAR bytes that the tail ends in."""
-        if len(self._near) > 200_000:
+        if len(self._near) > 100_000:
             self._near.clear()
         out = [(n, t) for n in ORDER if n <= len(tail) and (t := self.ranks.get(tail[-n:])) is not None]
         self._near[tail] = tuple(out)
@@ -109,7 +109,7 @@ class Vocabulary:
         known = self._pairs.get(key)
         if known is not None:
             return known
-        if len(self._pairs) > 400_000:
+        if len(self._pairs) > 200_000:
             self._pairs.clear()
         if not (self.whole(a) and self.whole(b)):
             out = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
