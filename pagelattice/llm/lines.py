@@ -1,10 +1,12 @@
 """Fuzzy line dedup: of the lines that a chain of near copies joins, one occurrence stays.
 
-1. Each text is read once. A line is normalised to its words (runs of ASCII letters and digits or of characters outside ASCII, in
-   lower case); it gets a 128-bit hash of them and a 64-bit SimHash. Lines that are equal when normalised are one from here on.
-2. Two SimHashes at a Hamming distance of at most `distance` agree on at least m - distance of m blocks (pigeonhole), so lines
-   are joined on every choice of m - distance blocks; m grows with the number of lines, so that a key has enough bits to keep
-   chance meetings rare. The pairs are the same for every m: all those within the distance.
+1. Texts are read twice, for lines and for candidates. A line is normalised to its words (runs of ASCII letters and digits or of characters outside ASCII, in
+   lower case); it gets a 128-bit hash of them. Lines that are equal when normalised are one from here on, known by the
+   hash's first 64 bits.
+2. Candidates are found by MinHash: the features of a line are its pairs of neighbouring words, its begin and end counted as words,
+   so that one changed word changes two of them. Lines that agree on `rows` least hashes of one of the bands meet; of those, the
+   ones whose lengths allow the edit similarity and whose SimHashes (of the features) differ in at most `distance` bits are pairs.
+   Rows grow with the number of lines, to keep chance meetings rare, and bands with the rows, to keep the recall (`bands_for`).
 3. The edit similarity of the pairs' normalised texts is verified: 1 - Levenshtein distance / length of the longer.
 4. Connected components of what is left are the groups; the occurrence of the least (doc_id, text hash, line number) stays.
 
@@ -15,6 +17,7 @@ pass through, columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import math
@@ -22,7 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +33,19 @@ from ..session import BROADCAST_ROWS, cut, drop_cut
 from . import hashing
 from .components import components
 
-DISTANCE = 3
+#: Bits by which the SimHashes of two lines of that edit similarity differ at most; lines met by chance differ by 32 on average.
+DISTANCE = 28
 SIMILARITY = 0.85
+#: A pair whose features have this Jaccard similarity meets in some band with this probability; few similar lines have less in common.
+JACCARD, RECALL = 0.4, 0.95
+#: Lengths are kept as logarithms, so many steps for a factor of two.
+STEPS = 2048
 #: Texts of a component of close pairs up to which one task takes it whole.
 LARGE = 100_000
-#: Lines of one key by chance, up to which comparing them all is cheaper than more keys.
-SHARE = 64
+#: Lines that a task remembers to have sent.
+SENT = 500_000
+_ODD = hashing.mix(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
+_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
@@ -51,36 +61,107 @@ def simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > count[:, None], axis=1).view(np.int64).ravel()
 
 
-def line_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each line, the line's text, its number in the text from 0)."""
+def features(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words, begin and end counted as words, of each run h[first[i]:first[i + 1]] (none is empty), and each run's first."""
+    a = np.insert(h, first[:-1], np.uint64(7))
+    out = first + np.arange(len(first))
+    after = np.append(a[1:], np.uint64(9))
+    after[out[1:] - 1] = np.uint64(9)
+    with np.errstate(over="ignore"):
+        return hashing.mix(a * _MULTIPLIER + after), out
+
+
+def bands_for(lines: int) -> tuple[int, int]:
+    """(rows of a band, bands) for so many lines."""
+    rows = 2 if lines <= 1 << 22 else 3 if lines <= 1 << 30 else 4
+    return rows, math.ceil(math.log(1 - RECALL) / math.log(1 - JACCARD**rows))
+
+
+def band_keys(g: np.ndarray, first: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """32 bits for each run's bands: equal if the run's least hashes by the band's functions are."""
+    out = np.empty((len(first) - 1, bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            key = np.zeros(len(first) - 1, np.uint64)
+            for i in range(b * rows, (b + 1) * rows):
+                key = hashing.mix(key * _MULTIPLIER + np.minimum.reduceat(g * _ODD[i], first[:-1]))
+            out[:, b] = key >> np.uint64(32)
+    return out
+
+
+def line_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each line, the line's text, its number in the text from 0, characters before each word and in all words)."""
     w = hashing.words(data, off)
     feed = np.flatnonzero(data == 10)
     lines = 1 + np.searchsorted(feed, off[1:]) - np.searchsorted(feed, off[:-1])
     start = np.sort(np.concatenate([off[:-1], feed + 1]), kind="stable")
     text = np.repeat(np.arange(len(off) - 1), lines)
     number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
-    return w.hashes, np.append(np.searchsorted(w._start, start), len(w.hashes)), text, number
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    before = np.concatenate([[0], np.cumsum(chars[w._end] - chars[w._start])])
+    return w.hashes, np.append(np.searchsorted(w._start, start), len(w.hashes)), text, number, before
+
+
+def _lines(column: pa.Array):
+    """(hashes, first word of each line with words, the row of its text, its number in it, its hash, logarithm of its normalised length) by pieces of the column."""
+    data, off = hashing.buffers(column)
+    for i, j in hashing.pieces(off):
+        h, first, text, number, before = line_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        have = np.flatnonzero(np.diff(first) > 0)
+        if not len(have):
+            continue
+        runs = np.append(first[have], len(h))  # lines without words have no hashes in between
+        raw = memoryview(h.view(np.uint8))
+        lid = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(runs[:-1].tolist(), runs[1:].tolist())]
+        yield h, runs, text[have] + i, number[have], lid, (STEPS * np.log2(np.diff(before[runs]) + np.diff(runs) - 1)).astype(np.int64)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, thash, line_no, lid BINARY, simhash BIGINT) of the lines with words; thash tells texts of one doc_id apart."""
+    """(doc_id, thash, line_no, lid BINARY) of the lines with words; thash tells texts of one doc_id apart."""
     docs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("thash"), F.lower("text").alias("text"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["thash"], T.StructField("line_no", T.IntegerType()), T.StructField("lid", T.BinaryType()), T.StructField("simhash", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["thash"], T.StructField("line_no", T.IntegerType()), T.StructField("lid", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            data, off = hashing.buffers(b.column(2))
-            for i, j in hashing.pieces(off):
-                h, first, text, number = line_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                have = np.flatnonzero(np.diff(first) > 0)
-                if not len(have):
+            for _, _, text, number, lid, _ in _lines(b.column(2)):
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number, pa.int32()), pa.array(lid, pa.binary())], names=schema.names)
+            del b
+        hashing.give_back()
+
+    return docs.mapInArrow(run, schema)
+
+
+def rid(lid: Column) -> Column:
+    """The first 64 bits of a line's hash as a number."""
+    return F.conv(F.hex(F.substring(lid, 1, 8)), 16, -10).cast("long")
+
+
+def band_rows(docs: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(key, rid, simhash), all BIGINT, for each band of each line with words; key: 7 bits of the band, 32 of what must agree, 16 of the length. A task sends a line once."""
+    docs = docs.where("text is not null").select(F.lower("text").alias("text"))
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "rid", "simhash")])
+    of = np.arange(bands, dtype=np.int64) << 48
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            for h, runs, _, _, lid, size in _lines(batch.column(0)):
+                ids = np.frombuffer(b"".join(x[:8] for x in lid), ">i8").astype(np.int64)
+                new = []
+                for k, x in enumerate(ids.tolist()):
+                    if x not in sent:
+                        sent.add(x)
+                        new.append(k)
+                if len(sent) > SENT:
+                    sent = set()
+                if not new:
                     continue
-                runs = np.append(first[have], len(h))  # lines without words have no hashes in between
-                raw = memoryview(h.view(np.uint8))
-                lid = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(runs[:-1].tolist(), runs[1:].tolist())]
-                row = pa.array(text[have] + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number[have], pa.int32()), pa.array(lid, pa.binary()), pa.array(simhash(h, runs))], names=schema.names)
-            del b, data
+                g, at = features(h, runs)
+                keys = band_keys(g, at, rows, bands)[new].astype(np.int64) << 16 | of | np.minimum(size[new], 0xFFFF)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[new], bands)), pa.array(np.repeat(simhash(g, at)[new], bands))], names=schema.names)
+            del batch
+        del sent
         hashing.give_back()
 
     return docs.mapInArrow(run, schema)
@@ -93,44 +174,24 @@ def masks(m: int, distance: int) -> list[int]:
     return [sum(block[i] for i in c) for c in itertools.combinations(range(m), m - distance)]
 
 
-def blocks_for(lines: int, distance: int) -> int:
-    """The fewest blocks with which a key is shared by some SHARE lines by chance.
-
-    More blocks mean more keys to shuffle, fewer mean more pairs to compare in a run of one key; the pairs found are the same.
-    """
-    m = distance + 1
-    while m < 16 and (64 // m) * (m - distance) < math.log2(max(2, lines / SHARE)):
-        m += 1
-    return m
-
-
-def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
-    """(a, b) with a < b: the pairs of (rid, simhash) within the Hamming distance, each once."""
-    mask = [x - (1 << 64) if x >> 63 else x for x in masks(m, distance)]
-    s = F.col("simhash")
-    keys = F.array(*(F.struct(F.lit(c).alias("c"), F.xxhash64(F.lit(c), s.bitwiseAND(F.lit(x).cast("long"))).alias("key")) for c, x in enumerate(mask)))
-    rows = hashes.select("rid", "simhash", F.explode(keys).alias("k")).select("k.key", "k.c", "rid", "simhash")
-    rows = rows.repartition("key").sortWithinPartitions("key")
+def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(a, b) with a < b: of lines that share a band (band_rows), those within the Hamming distance and of lengths that allow the similarity, each pair once."""
+    rows = rows.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    bits = np.array(masks(m, distance), np.uint64)
+    longer = math.ceil(STEPS * -math.log2(similarity)) + 1
 
     def within(cols):
-        """The pairs in the runs of one key: each row is compared with those k rows on, for k = 1, 2 ... while some run is so long."""
-        key, c, rid, sim = cols
+        """The pairs in the runs of one band's key, which go by length: each row is compared with those k rows on, for k = 1, 2 ... while some is short enough."""
+        key, rid, sim = cols
+        band, size = key >> 16, key & 0xFFFF
         at, k, a, b = np.arange(len(key) - 1), 1, [], []
         while True:
             at = at[: np.searchsorted(at, len(key) - k)]
-            at = at[key[at] == key[at + k]]
+            at = at[(band[at] == band[at + k]) & (size[at + k] - size[at] <= longer)]
             if not len(at):
                 return a, b
-            d = sim[at] ^ sim[at + k]
-            near = at[(np.bitwise_count(d) <= distance) & (c[at] == c[at + k])]
+            near = at[(np.bitwise_count(sim[at] ^ sim[at + k]) <= distance) & (rid[at] != rid[at + k])]
             if len(near):
-                d = sim[near] ^ sim[near + k]
-                ok = (rid[near] != rid[near + k]) & ((d & bits[c[near]]) == 0)
-                for e in range(len(bits)):  # the first choice on which both agree reports the pair
-                    ok &= (e >= c[near]) | ((d & bits[e]) != 0)
-                near = near[ok]
                 a.append(np.minimum(rid[near], rid[near + k]))
                 b.append(np.maximum(rid[near], rid[near + k]))
             k += 1
@@ -138,12 +199,12 @@ def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
     def run(batches):
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
-            cols[3] = cols[3].view(np.uint64)
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            cols[2] = cols[2].view(np.uint64)
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols)]
             # the last key may go on in the next batch
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            last = int(np.searchsorted(cols[0], cols[0][-1] >> 16 << 16)) if len(cols[0]) else 0
             rest = [v[last:] for v in cols]
             a, b = within([v[:last] for v in cols])
             if a:
@@ -155,11 +216,11 @@ def close_pairs(hashes: DataFrame, distance: int, m: int) -> DataFrame:
         rest = None
         hashing.give_back()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).dropDuplicates(["a", "b"])
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Edit distance, bit-parallel over whole strings."""
+def levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, bit-parallel over whole strings; of one above `most`, if given, only that it is."""
     n = min(len(a), len(b))
     i = 0
     while i < n and a[i] == b[i]:
@@ -175,7 +236,9 @@ def levenshtein(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
+    limit = 1 << 62 if most is None else most + len(b)  # the score falls by one at most with each character that is left
     for c in b:
+        limit -= 1
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         right = down | ~(diagonal | up) & full
@@ -184,6 +247,8 @@ def levenshtein(a: str, b: str) -> int:
             score += 1
         elif left & top:
             score -= 1
+        if score > limit:
+            return score
         right = right << 1 | 1
         left <<= 1
         up = (left | ~(diagonal | right)) & full
@@ -200,7 +265,7 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 n = max(len(x), len(y))
-                ok.append(n - abs(len(x) - len(y)) >= least * n and n - levenshtein(x, y) >= least * n - 1e-9)
+                ok.append(n - abs(len(x) - len(y)) >= least * n and n - levenshtein(x, y, int(n - least * n + 1e-9)) >= least * n - 1e-9)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -255,7 +320,7 @@ def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int
             ok[k : k + (1 << 14)] &= np.maximum(np.where(d > 0, d, 0).sum(1), -np.where(d < 0, d, 0).sum(1)) <= most[k : k + (1 << 14)]
         for i, j, m in zip(x[ok].tolist(), y[ok].tolist(), most[ok].tolist()):
             p, q = find(i), find(j)
-            if p != q and levenshtein(line[i], line[j]) <= m:
+            if p != q and levenshtein(line[i], line[j], m) <= m:
                 root[max(p, q)] = min(p, q)
         low: dict[int, int] = {}
         count: dict[int, int] = {}
@@ -306,10 +371,13 @@ def fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, thash, gone ARRAY<INT>): the numbers of the lines that each text loses."""
     docs = docs.select("doc_id", "text")
+    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     occ = cut(occurrences(docs), "lines")
     at = F.struct("doc_id", "thash", "line_no")
-    one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.min("simhash").alias("simhash"), F.count("*").alias("n")).withColumn("rid", F.monotonically_increasing_id()), "distinct-lines")
-    pairs = cut(close_pairs(one.select("rid", "simhash"), distance, blocks_for(one.count(), distance)), "close")
+    one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")).withColumn("rid", rid(F.col("lid"))), "distinct-lines")
+    pairs = cut(close_pairs(band_rows(docs, *bands_for(n)), distance, similarity), "close")
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the bands' shuffle files go now, not when the driver happens to collect its garbage
     close = components(pairs, "a", "b")
     need = cut(close.withColumnRenamed("node", "rid").join(one.select("rid", "first.*"), "rid"), "need")
     texts = cut(fetch(docs, need.drop("component")).join(need.select("rid", "component"), "rid"), "texts")

@@ -439,6 +439,43 @@ def test_masks_cover():
             assert any(d & x == 0 for x in lines.masks(m, 3))
 
 
+def near_lines(rows, least):
+    """The normalised lines, and the indices of all pairs of the edit similarity, by comparing every line with every other."""
+    keys = sorted({" ".join(w) for t in rows if t for x in t.split("\n") if (w := WORD.findall(x.lower()))}, key=lambda k: (len(k), k))
+    size, h = np.array([len(k) for k in keys]), lines.histograms(keys)
+    out = []
+    for b in range(len(keys)):
+        most = int((1 - least) * size[b] + 1e-9)
+        a = int(np.searchsorted(size, size[b] - most))
+        d = h[a:b] - h[b]  # an edit changes one character's count up and one's down
+        for i in (np.flatnonzero(np.maximum(np.where(d > 0, d, 0).sum(1), -np.where(d < 0, d, 0).sum(1)) <= most) + a).tolist():
+            if lines.levenshtein(keys[i], keys[b], most) <= most:
+                out.append((i, b))
+    return keys, out
+
+
+def test_line_pairs_recall(spark):
+    r = random.Random(4)
+    texts = [t[0] for t in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    for n in (6, 8, 12, 20, 30, 60):
+        for k in range(40):
+            w = words(n, 100 * n + k).split()
+            other = list(w)
+            for i in r.sample(range(n), max(1, n // 10)):
+                other[i] = r.choice(words(5, i).split())
+            typo = " ".join(w)
+            for i in r.sample(range(len(typo)), len(typo) // 25):
+                typo = typo[:i] + "q" + typo[i + 1 :] if typo[i] != " " else typo
+            texts.append("\n".join(map(" ".join, (w, other))) + "\n" + typo)
+    keys, want = near_lines(texts, 0.85)
+    d = docs(spark, [(i, k, None, None, None, None, None) for i, k in enumerate(keys)])
+    of = {x["rid"]: x["doc_id"] for x in lines.occurrences(d).select("doc_id", lines.rid(F.col("lid")).alias("rid")).collect()}
+    pairs = lines.close_pairs(lines.band_rows(d, *lines.bands_for(len(keys))), lines.DISTANCE, lines.SIMILARITY).collect()
+    got = {(min(of[a], of[b]), max(of[a], of[b])) for a, b in pairs}
+    assert len(want) > 500 and len(got) == len(pairs)
+    assert len(got & set(want)) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("large", [1, 100_000])
 def test_line_dedup(spark, monkeypatch, large):
     monkeypatch.setattr(lines.verified_groups, "__defaults__", (large,))
