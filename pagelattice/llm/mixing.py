@@ -1,7 +1,7 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length; everything that is decided is decided on these counts. A source's budget
-is its weight's share of the total. First every length gives the same share of its documents, rounded down; what is left of the
+is its weight's share of the total; without weights and total these are its tokens to the power POWER and all tokens. First every length gives the same share of its documents, rounded down; what is left of the
 budget is filled by a bounded-knapsack dynamic program over the documents that remain: the largest sum of lengths that doesn't
 exceed the budget, with no more documents of a length than there are. Of each length the documents with the least seeded hashes
 are taken.
@@ -13,7 +13,8 @@ The token length is an argument: by default the number of runs of characters oth
 
 Defined cases: rows that share source and doc_id are one item, taken or left together, its length their sum; a null doc_id is an item
 as well; null sources and sources of no weight give nothing; null and empty texts have length 0 and are never taken; equal hashes are
-ordered by doc_id; extra columns pass through; a source with less than its budget gives all it has, if the total is given.
+ordered by doc_id; extra columns pass through; a source with less than its share of the total gives all it has. With weights but no total
+the scarcest source bounds the mix.
 """
 
 from __future__ import annotations
@@ -93,16 +94,17 @@ def items(docs: DataFrame, length: Column | None = None) -> DataFrame:
 
 
 def budgets(counts: DataFrame, weights: dict[str, float] | None, total: int | None, power: float = POWER) -> DataFrame:
-    """(source, tokens, weight, budget BIGINT). Without a total: the largest of which no source lacks its share."""
+    """(source, tokens, weight, budget BIGINT). Without weights, the total is by default all tokens, and a source short of its share gives all it has. Given weights without a total: the largest mix of which no source lacks its share."""
     have = counts.groupBy("source").agg(F.sum(F.col("length") * F.col("n")).alias("tokens")).where("tokens > 0")
     if weights is None:
         have = have.withColumn("w", F.pow("tokens", F.lit(power)))
     else:
         rows = [(k, float(v)) for k, v in weights.items() if v > 0]
         have = have.join(F.broadcast(counts.sparkSession.createDataFrame(rows, "source string, w double")), "source")
-    all_ = have.agg(F.sum("w").alias("sum_w"), F.min(F.col("tokens") / F.col("w")).alias("least"))
+    all_ = have.agg(F.sum("w").alias("sum_w"), F.min(F.col("tokens") / F.col("w")).alias("least"), F.sum("tokens").alias("all"))
     have = have.crossJoin(all_).withColumn("weight", F.col("w") / F.col("sum_w"))
-    budget = F.floor(F.col("least") * F.col("w") + 1e-6) if total is None else F.floor(F.lit(float(total)) * F.col("weight") + 1e-6)
+    whole = F.lit(float(total)) if total is not None else F.col("all") if weights is None else None
+    budget = F.floor(F.col("least") * F.col("w") + 1e-6) if whole is None else F.floor(whole * F.col("weight") + 1e-6)
     return have.select("source", "tokens", "weight", F.least(budget.cast("long"), F.col("tokens")).alias("budget"))
 
 
@@ -149,6 +151,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
-    """The documents of the largest mix in which a source's weight is its share of the tokens to the power 0.7."""
+    """The documents of a mix of as many tokens as there are in which a source's weight is its share of the tokens to the power 0.7; a source that has less gives all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "source", "lang", tokens(F.col("text")).alias("n_tokens"))

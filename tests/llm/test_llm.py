@@ -340,6 +340,12 @@ def test_mix_cases(spark):
     assert all_.count() == 10
 
 
+def test_mix_scarce_source(spark):
+    data = [(i, words(50, i), "en", "big", 0, "", 0.0) for i in range(400)] + [(1000, words(5, 1), "en", "tiny", 0, "", 0.0)]
+    got = Counter(r["source"] for r in mixing.mix(docs(spark, data)).collect())
+    assert got["tiny"] == 1 and got["big"] > 380
+
+
 # 8 chat
 
 
