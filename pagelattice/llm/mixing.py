@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length; everything that is decided is decided on these counts. A source's budget
-is its weight's share of the total; without weights and total these are its tokens to the power POWER and all tokens. First every length gives the same share of its documents, rounded down; what is left of the
-budget is filled by a bounded-knapsack dynamic program over the documents that remain: the largest sum of lengths that doesn't
+is its weight's share of the total; without weights and total these are its tokens to the power POWER and all tokens. First every length gives the same share of its documents, rounded up or down in
+seeded order; what is left of the budget, little more than the longest document, is filled by a bounded-knapsack dynamic program over the documents that remain: the largest sum of lengths that doesn't
 exceed the budget, with no more documents of a length than there are. Of each length the documents with the least seeded hashes
 are taken.
 
@@ -25,46 +25,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, maybe_broadcast
+from . import hashing
 
 #: Weights without a list of weights: each source's share of the tokens to this power, so a hot source counts for less.
 POWER = 0.7
 SEED = 17
-#: Bits of a dynamic program's table at most; a remainder beyond is first filled length by length.
-TABLE_BITS = 1 << 22
 
 
 def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \n\t\r]+")), F.lit(0)).cast("long")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length: their tokens are as many as can be without exceeding the budget, near the same share of every length."""
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    take = np.zeros(len(lengths), np.int64)
-    good = lengths > 0
-    total = int((lengths * counts)[good].sum())
-    if budget <= 0 or not total:
-        return take
-    if total <= budget:
-        return np.where(good, counts, 0)
-    take[good] = [int(c) * budget // total for c in counts[good]]
+def shares(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
+    """Of each length the budget's share of its documents, rounded up or down as a seeded hash falls beside the fraction, within the budget."""
+    total = int((lengths * counts).sum())
+    exact = counts * (budget / total)
+    take = np.array([int(c) * budget // total for c in counts], np.int64)
     left = budget - int((take * lengths).sum())
-    # long lengths first, while more is left than the program should handle; a few documents of each size stay for it
-    order = np.argsort(-lengths, kind="stable")
-    keep = max(int(lengths.max()), 1 << 12)
-    for i in order:
-        if left <= keep:
+    u = hashing.mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) / 2.0**64
+    for i in np.argsort(u - (exact - take), kind="stable"):
+        if lengths[i] > left:
             break
-        if good[i]:
-            n = int(min(counts[i] - take[i], (left - keep) // lengths[i]))
-            take[i] += n
-            left -= n * int(lengths[i])
-    add, _ = subset_sum(lengths, np.where(good, counts - take, 0), left)
-    return take + add
+        if take[i] < counts[i]:
+            take[i] += 1
+            left -= int(lengths[i])
+    return take
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """How many documents of each length: their tokens are as many as can be without exceeding the budget, near the same share of every length.
+
+    Equal shares leave somewhat more than the longest document to the program. If it can't fill that, the shares leave more, in the end
+    all, so that no other choice has more tokens.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    out = np.zeros(len(lengths), np.int64)
+    good = np.flatnonzero((lengths > 0) & (counts > 0))
+    size, have = lengths[good], counts[good]
+    if budget <= 0 or not len(good):
+        return out
+    if int((size * have).sum()) <= budget:
+        out[good] = have
+        return out
+    open_ = budget % int(np.gcd.reduce(size))  # no choice fills that
+    slack = int(size.max())
+    while True:
+        near = max(0, budget - slack)
+        take = shares(size, have, near, seed)
+        left = budget - int((take * size).sum())
+        add, got = subset_sum(size, have - take, left)
+        if got == left - open_ or not near:
+            out[good] = take + add
+            return out
+        slack *= 4
 
 
 def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
     """(number of each length, their sum): the largest sum within the budget, by a bounded-knapsack program over bits of an integer."""
+    lengths = np.asarray(lengths, np.int64)
+    some = lengths[(lengths > 0) & (np.asarray(counts) > 0)]
+    unit = int(np.gcd.reduce(some)) if len(some) else 1
+    lengths, budget = lengths // unit, budget // unit
     full = (1 << budget + 1) - 1
     reach, steps = 1, []
     for i in np.argsort(-np.asarray(lengths), kind="stable"):
@@ -84,7 +105,7 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np
         if not before >> at & 1:
             out[i] += k
             at -= k * int(lengths[i])
-    return out, best
+    return out, best * unit
 
 
 def items(docs: DataFrame, length: Column | None = None) -> DataFrame:
@@ -108,7 +129,7 @@ def budgets(counts: DataFrame, weights: dict[str, float] | None, total: int | No
     return have.select("source", "tokens", "weight", F.least(budget.cast("long"), F.col("tokens")).alias("budget"))
 
 
-def plan(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, length: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, length: Column | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(items, takes (source, length, take) with take > 0)."""
     its = cut(items(docs, length), "items")
     counts = its.where("length > 0").groupBy("source", "length").agg(F.count("*").alias("n"))
@@ -117,7 +138,7 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("length")
-        g["take"] = fit(g.length.to_numpy(), g.n.to_numpy(), int(g.budget.iloc[0]))
+        g["take"] = fit(g.length.to_numpy(), g.n.to_numpy(), int(g.budget.iloc[0]), seed)
         return g[["source", "length", "take"]]
 
     return its, work.groupBy("source").applyInPandas(one, f"source {counts.schema['source'].dataType.simpleString()}, length long, take long").where("take > 0")
@@ -125,7 +146,7 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, length: Column | None = None, seed: int = SEED) -> DataFrame:
     """The chosen rows of docs, all columns."""
-    its, takes = plan(docs, weights, total, length)
+    its, takes = plan(docs, weights, total, length, seed)
     h = F.xxhash64("doc_id", F.lit(seed)).alias("h")
     ranked = its.where("length > 0").select("source", "length", "doc_id", "copies", h).join(maybe_broadcast(takes), ["source", "length"])
     # the last taken (hash, doc_id) of each source and length

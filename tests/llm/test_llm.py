@@ -340,6 +340,24 @@ def test_mix_cases(spark):
     assert all_.count() == 10
 
 
+def test_fit_largest_and_even():
+    take = mixing.fit([10000, 9999, 7000, 7001, 6000], [1] * 5, 20001)
+    assert take.tolist() == [0, 0, 1, 1, 1]
+    r = random.Random(3)
+    for _ in range(60):
+        size = np.array(r.sample(range(3000, 12000), 10))
+        budget = r.randint(20_000, 50_000)
+        best = max(t for k in range(11) for c in itertools.combinations(size.tolist(), k) if (t := sum(c)) <= budget)
+        assert (mixing.fit(size, np.ones(10, int), budget) * size).sum() == best
+    assert (mixing.fit([4000, 6000], [500, 500], 3_000_001) * np.array([4000, 6000])).sum() == 3_000_000
+    size, count = np.arange(1, 4001), np.ones(4000, int)
+    budget = int(size.sum()) * 6 // 10
+    take = mixing.fit(size, count, budget)
+    assert (take * size).sum() == budget
+    assert all(0.5 < take[k : k + 1000].mean() < 0.7 for k in range(0, 4000, 1000))  # short and long alike
+    assert (take != mixing.fit(size, count, budget, seed=1)).sum() > 1000
+
+
 def test_mix_scarce_source(spark):
     data = [(i, words(50, i), "en", "big", 0, "", 0.0) for i in range(400)] + [(1000, words(5, 1), "en", "tiny", 0, "", 0.0)]
     got = Counter(r["source"] for r in mixing.mix(docs(spark, data)).collect())
