@@ -291,6 +291,13 @@ def test_quality_keeps_clean(spark):
     assert r > 0.98
 
 
+def test_quality_long_texts(spark):
+    r = random.Random(6)
+    texts = ["alpha beta " * (n // 2) for n in (19_998, 20_000, 30_000, 200_000)] + [" ".join(f"word{r.randrange(4000)}" for _ in range(30_000)), " ".join(f"word{r.randrange(20_000)}" for _ in range(300_000))]
+    got = quality.decide(quality.ledger(docs(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]))).collect()
+    assert [r["fail_bits"] for r in sorted(got, key=lambda r: r["doc_id"])] == [quality.BIT["few_distinct_words"]] * 4 + [0] * 2
+
+
 # 7 mixing
 
 
