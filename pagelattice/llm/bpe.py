@@ -202,10 +202,10 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         """Stretches whose encodings, one after the other, are the text's.
 
-        With the byte-level pattern, a text without adjacent white space can be cut before every space and line feed: the
+        With the byte-level pattern, a text without adjacent white space and NUL (the mark of "no space before it") can be cut before every space and line feed: the
         space goes with what follows it, the line feed is a pre-token of its own. Then the stretches are taken whole.
         """
-        if self.simple and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or any(c in text for c in _WHITE)):
+        if self.simple and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[-1:].isspace() or any(c in text for c in _WHITE)):
             parts = text.replace("\n", " \n").split(" ")
             if parts[0]:
                 parts[0] = "\0" + parts[0]  # no space before it

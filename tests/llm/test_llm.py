@@ -109,6 +109,13 @@ def test_bpe_like_library(vocab, spark):
     assert visited == len({w[:k] for w in some for k in range(1, len(w) + 1)})  # every trie node once
 
 
+def test_bpe_nul_after_space(vocab, spark):
+    texts = ["a \0b", "\0", "x \0 y", "a\n\0b c", "\0\0a \0\0b"]
+    got = bpe.encode(docs(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]), verify=True).collect()
+    assert all(r["round_trip"] for r in got)
+    assert {r["doc_id"]: r["token_ids"] for r in got} == {i: [t for w in re.findall(" ?[a-z]+|\n| ?[^\\sa-z]+|\\s", x) for t in vocab.merge(w.encode())] for i, x in enumerate(texts)}
+
+
 def test_bpe_cases(spark):
     e = bpe.encode(docs(spark), verify=True)
     got = e.collect()
