@@ -3,8 +3,9 @@
 Each document's ids (little-endian, two bytes where the vocabulary allows, else four) are cut where a rolling hash of the last
 32 ids has zero bits at its top, so equal passages are cut alike wherever they stand. A chunk's address is the hash of its bytes.
 Every distinct chunk is stored once. A document's recipe lists its chunks' addresses; its manifest is the root of a Merkle tree
-over them and their sizes. Verification hashes every stored chunk again, looks every address of every recipe up in the store,
-and computes every root again.
+over them and their sizes, with a fingerprint of the whole id stream taken from the encoder, before chunks are cut. Verification
+hashes every stored chunk again, looks every address of every recipe up in the store, computes every root again, and puts the
+fingerprint of the rebuilt stream together from those of the stored chunks: it must be the encoder's, and the sizes must sum to n_tokens.
 
 Texts are encoded once. A task sends a chunk once, to the partition of its address, where it is written once.
 
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 from . import bpe
+from . import hashing
 from .hashing import give_back, mix
 
 WINDOW = 32
@@ -95,6 +97,24 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
+def fingerprints(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each stream ids[off[i]:off[i + 1]]: the sum of its mixed ids times the powers of an odd base, modulo 2**64; `joined` puts those of its parts together."""
+    power, inverse = hashing._powers(len(ids))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * power[: len(ids)])])
+        return ((sums[off[1:]] - sums[off[:-1]]) * inverse[off[:-1]]).view(np.int64)
+
+
+def joined(parts: list[int], sizes: list[int]) -> int:
+    """The fingerprint of a stream by those of its parts and their sizes."""
+    out = at = 0
+    for h, n in zip(parts, sizes):
+        out += h * pow(hashing._P, at, 1 << 64)
+        at += n
+    out &= (1 << 64) - 1
+    return out - (1 << 64) if out >> 63 else out
+
+
 def merkle(leaves: list[tuple[bytes, int]]) -> bytes:
     """The root over (address, number of ids); leaves and inner nodes are hashed apart, a last odd node goes up as it is."""
     if not leaves:
@@ -107,24 +127,24 @@ def merkle(leaves: list[tuple[bytes, int]]) -> bytes:
 
 
 def _chunks(column: pa.Array, enc: FastEncoder):
-    """(first row, texts, ids as bytes, their width, chunk ends of each text) by slices of the column."""
+    """(first row, texts, ids as bytes, their width, offsets, chunk ends and fingerprint of each text) by slices of the column."""
     width = 2 if len(enc.vocab.bytes_of) <= 1 << 16 else 4
     for i, j in bpe.slices(column):
         texts = column.slice(i, j - i).to_pylist()
         ids, off = enc.encode(texts)
         at = np.flatnonzero(rolling(ids) >> np.uint64(64 - BITS) == 0) if len(ids) else np.zeros(0, np.int64)
         # hashes near a text's start hold ids of the text before; no cut can be there
-        yield i, texts, ids.astype("<u2" if width == 2 else "<u4").tobytes(), width, off, cuts(off, at)
+        yield i, texts, ids.astype("<u2" if width == 2 else "<u4").tobytes(), width, off, cuts(off, at), fingerprints(ids, off).tolist()
 
 
-RECIPE = [("n_tokens", T.LongType()), ("n_chunks", T.IntegerType()), ("recipe", T.ArrayType(T.StringType(), False)), ("sizes", T.ArrayType(T.IntegerType(), False)), ("merkle_root", T.StringType())]
-_ARROW = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string()]
+RECIPE = [("n_tokens", T.LongType()), ("n_chunks", T.IntegerType()), ("recipe", T.ArrayType(T.StringType(), False)), ("sizes", T.ArrayType(T.IntegerType(), False)), ("stream", T.LongType()), ("merkle_root", T.StringType())]
+_ARROW = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.string()]
 
 
 def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(book, store), written into the shared folder.
 
-    book (doc_id, n_tokens, n_chunks, recipe, sizes, merkle_root): addresses and roots in hexadecimal. store (address BINARY, ids
+    book (doc_id, n_tokens, n_chunks, recipe, sizes, stream: fingerprint, merkle_root): addresses and roots in hexadecimal. store (address BINARY, ids
     BINARY): every distinct chunk once. Texts are encoded once: recipes and chunks go through one shuffle, each to the partition of
     its key, and are written as the two parts of one table.
     """
@@ -136,7 +156,7 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
     def send(batches):
         enc, sent = _encoder(vocabulary), set()
         for b in batches:
-            for first, texts, raw, w, off, ends in _chunks(b.column(1), enc):
+            for first, texts, raw, w, off, ends, marks in _chunks(b.column(1), enc):
                 keys, parts, rows = [], [], []
                 for k, t in enumerate(texts):
                     if t is None:
@@ -152,7 +172,7 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
                             sent.add(key)
                             keys.append(key)
                             parts.append(part)
-                    rows.append((int(off[k + 1] - off[k]), len(leaves), [a.hex() for a, _ in leaves], [n for _, n in leaves], merkle(leaves).hex()))
+                    rows.append((int(off[k + 1] - off[k]), len(leaves), [a.hex() for a, _ in leaves], [n for _, n in leaves], marks[k], merkle(leaves).hex()))
                 if len(sent) > SENT:
                     sent = set()
                 n, m = len(keys), len(rows)
@@ -181,36 +201,48 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
 
 
 def check_chunks(store: DataFrame, width: int = 2) -> DataFrame:
-    """(address STRING in hexadecimal, size INT: number of ids, sound BOOLEAN: the bytes have this address)."""
-    schema = T.StructType([T.StructField("address", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("sound", T.BooleanType())])
+    """(address STRING in hexadecimal, size INT: number of ids, sound BOOLEAN: the bytes have this address, mark BIGINT: fingerprint of the ids)."""
+    schema = T.StructType([T.StructField("address", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("sound", T.BooleanType()), T.StructField("mark", T.LongType())])
 
     def run(batches):
         for b in batches:
             keys, parts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([k.hex() for k in keys]), pa.array([len(p) // width for p in parts], pa.int32()), pa.array([digest(p) == k for k, p in zip(keys, parts)])], names=schema.names)
+            sizes = np.array([len(p) // width for p in parts], np.int64)
+            ids = np.frombuffer(b"".join(p[: len(p) // width * width] for p in parts), "<u2" if width == 2 else "<u4")
+            marks = fingerprints(ids, np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([pa.array([k.hex() for k in keys]), pa.array(sizes, pa.int32()), pa.array([digest(p) == k for k, p in zip(keys, parts)], pa.bool_()), pa.array(marks)], names=schema.names)
 
     return store.select("address", "ids").mapInArrow(run, schema)
 
 
 def verify(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
-    """book with verified BOOLEAN: every address of the recipe is in the store once, sound and of its size, and the root is that of the recipe."""
-    checked = check_chunks(store, width).groupBy("address").agg(F.first("size").alias("size"), F.min("sound").alias("sound"), F.count("*").alias("n"))
+    """book with verified BOOLEAN: every address of the recipe is in the store once, sound and of its size, the root is that of the recipe, and the rebuilt stream has the encoder's n_tokens and fingerprint."""
+    checked = check_chunks(store, width).groupBy("address").agg(F.first("size").alias("size"), F.min("sound").alias("sound"), F.first("mark").alias("mark"), F.count("*").alias("n"))
     book = cut(book.withColumn("rid", F.monotonically_increasing_id()), "recipes")
-    used = book.select("rid", F.explode(F.arrays_zip("recipe", "sizes")).alias("c")).select("rid", F.col("c.recipe").alias("address"), F.col("c.sizes").alias("expected"))
+    used = book.select("rid", F.posexplode(F.arrays_zip("recipe", "sizes")).alias("k", "c")).select("rid", "k", F.col("c.recipe").alias("address"), F.col("c.sizes").alias("expected"))
     good = F.coalesce(F.col("sound") & (F.col("n") == 1) & (F.col("size") == F.col("expected")), F.lit(False))
-    bad = used.join(checked, "address", "left").where(~good).select("rid").distinct()
+    found = used.join(checked, "address", "left").select("rid", "k", good.alias("good"), "mark")
+    whole = found.groupBy("rid").agg(F.min("good").alias("good"), F.transform(F.sort_array(F.collect_list(F.struct("k", "mark"))), lambda x: x["mark"]).alias("marks"))
 
     @F.pandas_udf(T.BooleanType())
-    def root(recipe, sizes, expected):
+    def same(recipe, sizes, marks, good, n_tokens, stream, expected):
         import pandas as pd
 
         out = []
-        for r, s, e in zip(recipe, sizes, expected):
-            out.append(e is None if r is None else merkle([(bytes.fromhex(a), int(x)) for a, x in zip(r, s)]).hex() == e)
+        for r, s, m, g, n, x, e in zip(recipe, sizes, marks, good, n_tokens, stream, expected):
+            if r is None:
+                out.append(e is None)
+            elif len(r) and not g:
+                out.append(False)
+            else:
+                s, m = list(map(int, s)), [] if m is None else list(map(int, m))
+                out.append(merkle([(bytes.fromhex(a), k) for a, k in zip(r, s)]).hex() == e and str(sum(s)) == n and str(joined(m, s)) == x)
         return pd.Series(out)
 
-    got = book.join(bad.withColumn("bad", F.lit(True)), "rid", "left")
-    return got.withColumn("verified", F.col("bad").isNull() & root("recipe", "sizes", "merkle_root")).drop("rid", "bad")
+    # numbers as strings: a column with nulls would come as floats
+    numbers = (F.col(c).cast("string") for c in ("n_tokens", "stream"))
+    got = book.join(whole, "rid", "left")
+    return got.withColumn("verified", same("recipe", "sizes", "marks", F.coalesce("good", F.lit(False)), *numbers, "merkle_root")).drop("rid", "good", "marks")
 
 
 def reconstruct(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:

@@ -261,6 +261,18 @@ def test_store(spark):
     assert store.verify(*store.build(docs(spark, []))).count() == 0
 
 
+def test_store_lost_ids(spark):
+    book, s = store.build(docs(spark))
+    root = F.udf(lambda r, n: store.merkle([(bytes.fromhex(a), k) for a, k in zip(r, n)]).hex())
+    # document 11 is one id over and over: its chunks turned round are the same stream
+    less = book.where("n_chunks > 0").withColumn("recipe", F.expr("slice(recipe, 1, n_chunks - 1)")).withColumn("sizes", F.expr("slice(sizes, 1, n_chunks - 1)")).withColumn("merkle_root", root("recipe", "sizes"))
+    turned = book.where("n_chunks > 1 and doc_id <> 11").withColumn("recipe", F.reverse("recipe")).withColumn("sizes", F.reverse("sizes")).withColumn("merkle_root", root("recipe", "sizes"))
+    for bad in (less, less.withColumn("n_tokens", F.expr("aggregate(sizes, 0L, (a, b) -> a + b)")), turned, book.where("n_tokens > 0").withColumn("n_tokens", F.col("n_tokens") + 1)):
+        got = store.verify(bad, s).collect()
+        assert got and not any(r["verified"] for r in got)
+    assert store.joined([store.fingerprints(np.array(x), np.array([0, len(x)]))[0].item() for x in ([5, 6], [7])], [2, 1]) == store.fingerprints(np.array([5, 6, 7]), np.array([0, 3]))[0]
+
+
 def test_chunk_cuts():
     r = np.random.default_rng(0)
     a = r.integers(0, 50_000, 20_000).astype(np.int32)
