@@ -46,8 +46,9 @@ class FastEncoder(bpe.Encoder):
         super().__init__(bpe.Vocabulary.load(path))
         self.library = tiktoken.Encoding("store", pat_str=bpe.PATTERN, mergeable_ranks=self.vocab.ranks, special_tokens={})
 
-    def _code(self, stretches: list[str]) -> list[list[int]]:
-        return [self.library.encode_ordinary(s) for s in stretches]
+    def _code(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [self.library.encode_ordinary(s) for s in stretches]
+        return np.array([t for ids in coded for t in ids], np.int32), np.cumsum([len(ids) for ids in coded])
 
 
 _WORKER: dict[str, FastEncoder] = {}

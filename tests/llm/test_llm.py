@@ -109,6 +109,33 @@ def test_bpe_like_library(vocab, spark):
     assert visited == len({w[:k] for w in some for k in range(1, len(w) + 1)})  # every trie node once
 
 
+def test_bpe_lanes(vocab):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcthe é\u4e2don .,12") for _ in range(r.randrange(1, 40))).encode() for _ in range(12000)] + [b"x" * 64, b"y" * 65, b"=" * 64, b" " * 63, b"", bytes(range(256))]
+    some = sorted(set(texts), key=lambda w: w[::-1])
+    ids, count, visited = bpe.walk_lanes([w for w in some if len(w) <= bpe.LANE_BYTES], vocab)
+    plain = [vocab.merge(w) for w in some]
+    nodes = len({w[:k] for w in some if len(w) <= bpe.LANE_BYTES for k in range(1, len(w) + 1)})
+    assert ids.tolist() == [t for w, p in zip(some, plain) if len(w) <= bpe.LANE_BYTES for t in p] and len(count) == sum(len(w) <= bpe.LANE_BYTES for w in some)
+    assert nodes <= visited <= 1.3 * nodes  # only the paths to the lanes' first words are walked again
+    assert bpe.encode_words(some, vocab)[0] == plain
+    odd = bpe.Vocabulary({k: v for k, v in vocab.ranks.items() if v < 20000})
+    some = some[::3]
+    assert bpe.encode_words(some, odd)[0] == [odd.merge(w) for w in some]
+
+
+def test_bpe_memory_keeps_frequent_words(vocab):
+    enc, plain = bpe.Encoder(vocab, memory=40), bpe.Encoder(vocab)
+    r = random.Random(6)
+    for k in range(30):
+        texts = [" ".join(r.choice("the of river stone cloud".split()) + r.choice(["", ".", str(r.randrange(999))]) for _ in range(20)), None, "", "x" * 70]
+        a, b = enc.encode(texts), plain.encode(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        if k % 5 == 4:
+            enc.rest()
+            assert 0 < len(enc.known) <= 10
+
+
 def test_bpe_nul_after_space(vocab, spark):
     texts = ["a \0b", "\0", "x \0 y", "a\n\0b c", "\0\0a \0\0b"]
     got = bpe.encode(docs(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]), verify=True).collect()
