@@ -14,21 +14,47 @@ from .operators import blocks as B
 from .operators import chunks, reports, verdicts
 from .providers import ask
 from .session import cut
-from .sources import files, html, office
+from .sources import files, html, hwp, office, pdf
 
 DOC = "path"
+#: Characters of a page that a judge is shown at most.
+PROMPT = 20_000
 
 
-@files.register_reader(".hwpx", ".hwpml", ".hwp")
+def _told(texts: DataFrame, errors: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, content, error) for each path: its text, or why there is none."""
+    t = paths.select("path").distinct().join(texts.select("path", "content"), "path", "left").join(errors.groupBy("path").agg(F.min("error").alias("error")), "path", "left")
+    some = F.trim(F.coalesce("content", F.lit(""))) != ""
+    return t.select("path", F.when(some, F.col("content")).alias("content"), F.when(~some, F.coalesce("error", F.lit("no text"))).alias("error"))
+
+
+@files.register_reader(".hwpx", ".hwpml")
 def _office(found: DataFrame) -> DataFrame:
-    """Pages of HWPX and HWPML files. Binary HWP needs a reader of its own."""
-    return office.to_markdown(cut(office.read_blocks(found), "blocks"))
+    b = cut(office.read_blocks(found), "blocks")
+    return _told(office.to_markdown(b), b.where("kind = 'error'").select("path", F.col("text").alias("error")), found)
+
+
+@files.register_reader(".hwp")
+def _hwp(found: DataFrame) -> DataFrame:
+    """Binary files; some are HWPML under this suffix."""
+    xml = F.coalesce(F.decode(F.substring("content", 1, 512), "ISO-8859-1").contains("<HWPML"), F.lit(False))
+    best = hwp.best(found.where(~xml))
+    texts = best.select("path", F.col("text").alias("content"))
+    return _told(texts, best.where("text is null").select("path", F.col("reason").alias("error")), found.where(~xml)).unionByName(_office(found.where(xml)))
+
+
+@files.register_reader(".pdf")
+def _pdf(found: DataFrame) -> DataFrame:
+    """The text layers, pages cut by form feeds."""
+    f = cut(pdf.fragments(found), "fragments")
+    pages = pdf.pages(f).groupBy("path").agg(reports.in_order("page_no", "content", "\f").alias("content"))
+    return _told(pages, f.where("error is not null").select("path", "error"), found)
 
 
 @files.register_reader(".html", ".htm")
 def _html(found: DataFrame) -> DataFrame:
     pages = found.select("path", F.decode("content", "UTF-8").alias("html"))
-    return html.render(html.page_blocks(pages), ["path"], "markdown")
+    return _told(html.render(html.page_blocks(pages), ["path"], "markdown"), found.where("content is null").select("path", F.lit("no content").alias("error")), found)
 
 
 class Settings:
@@ -57,9 +83,9 @@ class Batch(Settings):
     A file that can't be read is a failure and doesn't end the batch, unless stop_on_error.
     """
 
-    def __init__(self, spark: SparkSession, sources: str | list[str] | DataFrame, judge: Callable | None = None, repair: Callable | None = None, **options: Any):
+    def __init__(self, spark: SparkSession, sources: str | list[str] | DataFrame, judge: Callable | None = None, repair: Callable | None = None, glob: str | None = None, **options: Any):
         super().__init__(**options)
-        self.spark, self.sources, self.judge, self.repair = spark, sources, judge, repair
+        self.spark, self.sources, self.judge, self.repair, self.glob = spark, sources, judge, repair, glob
         self._run: dict[str, DataFrame] = {}
 
     def reset(self) -> None:
@@ -73,16 +99,12 @@ class Batch(Settings):
         if isinstance(self.sources, DataFrame):
             pages = self.sources.select(DOC, "page_no", "content")
         else:
-            known = tuple(files.supported())
-            found = files.scan(self.spark, self.sources, suffixes=known).withColumn("suffix", files.effective_suffix(F.col("path"), F.col("content")))
-            read = [files.reader(s)(found.where(F.col("suffix") == s)) for s in known]
-            text = read[0]
-            for r in read[1:]:
-                text = text.unionByName(r)
-            text = cut(text, "texts")
-            failures = found.select("path").join(text.select("path"), "path", "left_anti").withColumn("error", F.lit("nothing could be read"))
-            if stop_on_error and not failures.isEmpty():
-                raise OSError(f"can't read {failures.first()['path']}")
+            found = files.scan(self.spark, self.sources, suffixes=tuple(files.supported()), glob=self.glob)
+            text = cut(files.read(found), "texts")
+            failures = text.where("error is not null").select("path", "error")
+            if stop_on_error and (bad := failures.first()):
+                raise OSError(f"can't read {bad['path']}: {bad['error']}")
+            text = text.where("error is null").select("path", "content")
             pages = chunks.split_breaks(text.withColumn("n", F.lit(1)), DOC, "n")
         # rows of tables are left as they are
         prose = lambda x: F.when(x.startswith("|"), x).otherwise(X.collapse_even_spacing(x))
@@ -91,7 +113,8 @@ class Batch(Settings):
         pages, tables = cut(pages, "pages"), cut(tables, "tables")
         judged = self.judge is not None and self.get("assess_tables")
         if judged:
-            asked = pages.join(tables.select(DOC, "page_no").distinct(), [DOC, "page_no"], "left_semi").withColumn("prompt", F.substring("content", 1, 20_000))
+            # prompts have a bounded length, as services do; pages themselves aren't cut
+            asked = pages.join(tables.select(DOC, "page_no").distinct(), [DOC, "page_no"], "left_semi").withColumn("prompt", F.substring("content", 1, PROMPT))
             replies = cut(ask(asked.select(DOC, "page_no", "prompt"), self.judge), "replies")
             v = replies.select(DOC, F.posexplode(verdicts.parse_reply(F.col("answer"))).alias("k", "v"), "page_no").select(DOC, (F.col("page_no").cast("long") * 100_000 + F.col("k")).alias("seq"), "v.*")
         else:
@@ -104,15 +127,15 @@ class Batch(Settings):
         else:
             tables = tables.withColumn("original_markdown", F.lit(None).cast("string"))
         tables = cut(tables.drop("key", "table_html"), "tables")
-        done = B.expand(pages, tables.where("original_markdown is not null"), self._images(), [DOC, "page_no"])
+        pages, tables, images = B.apply_verdicts(pages, tables, [DOC, "page_no"])
+        images = images.select(DOC, "page_no", "id", "placeholder", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("text"))
+        tables, images = cut(tables, "tables"), cut(images, "images")
+        done = B.expand(pages, tables.where("original_markdown is not null"), images, [DOC, "page_no"])
         if (most := self.get("split_chars")) > 0:
             done = chunks.chunk(done, DOC, "page_no", most).select(DOC, F.col("chunk_no").alias("page_no"), "content")
-        self._run = {"pages": done, "tables": tables, "images": self._images(), "failures": failures}
+        self._run = {"pages": done, "tables": tables, "images": images, "failures": failures}
         return self
 
-    def _images(self) -> DataFrame:
-        return self.spark.createDataFrame([], f"{DOC} string, page_no int, id string, placeholder string, description string, text string")
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("pages", "tables", "images", "failures"):
             return self.run()._run[name]

@@ -45,6 +45,21 @@ def table_candidate(chars: Column, lines: Column) -> Column:
     return F.coalesce((chars >= 80) & (lines >= 3), F.lit(False))
 
 
+def preview_usable(coverage: Column) -> Column:
+    """Whether a preview has four fifths or more of the body's letters."""
+    return F.coalesce(coverage >= 0.8, F.lit(False))
+
+
+def pages_needing_ocr(text: Column, readable: Column, page_no: Column, n_pages: Column) -> Column:
+    """No usable text layer, an unreadable page, or one beyond the file; what isn't known counts as needed."""
+    return ~F.coalesce(usable_text_layer(text) & readable & (page_no >= 1) & (page_no <= n_pages), F.lit(False))
+
+
+def ocr_lines_kept(score: Column, text: Column, least: float = 0.7) -> Column:
+    """Recognised lines that count: sure enough, and not noise."""
+    return F.coalesce(score >= least, F.lit(False)) & ~ocr_noise(text)
+
+
 def area_ratio(l: Column, t: Column, r: Column, b: Column) -> Column:
     """A box's share of an A4 page; 1 without a box."""
     return F.coalesce(F.least(F.lit(1.0), F.abs(r - l) * F.abs(b - t) / A4), F.lit(1.0))

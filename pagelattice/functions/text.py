@@ -279,3 +279,31 @@ def merge_bold_runs(blocks: Column) -> Column:
         ).otherwise(b),
     )
     return F.array_join(piece, " ")
+
+
+def stage_label(suffix: Column) -> Column:
+    """What extracting a file of this suffix is called."""
+    return F.when(suffix == ".pdf", "PDF 추출").when(suffix.isin(".hwp", ".hwpx", ".hwpml"), "한글 문서 추출").when(suffix.isin(".html", ".htm"), "HTML 추출").otherwise("추출")
+
+
+_URI = r"(?s)^data:([A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+)?(?:;[^,;]*)*?(;base64)?,(.*)$"
+
+
+def data_uri(uri: Column) -> tuple[Column, Column]:
+    """(media type, bytes) of a base64 data URI; null for anything else and for broken base64."""
+    body = F.regexp_replace(F.regexp_extract(uri, _URI, 3), r"\s", "")
+    good = (F.regexp_extract(uri, _URI, 2) == ";base64") & body.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & (F.length(body) % 4 == 0)
+    kind = F.coalesce(F.nullif(F.regexp_extract(uri, _URI, 1), F.lit("")), F.lit("text/plain"))
+    return F.when(good, kind), F.when(good, F.unbase64(F.when(good, body)))
+
+
+def to_data_uri(content: Column, path: Column) -> Column:
+    """Bytes as a data URI whose media type goes by the file's suffix."""
+    kind = F.when(F.lower(path).endswith(".jpg") | F.lower(path).endswith(".jpeg"), "image/jpeg").when(F.lower(path).endswith(".gif"), "image/gif").when(F.lower(path).endswith(".bmp"), "image/bmp").otherwise("image/png")
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
+def failure_kind(message: Column) -> Column:
+    """Why a model couldn't run, by what its error says: device, download or other; null for no error."""
+    m = F.lower(message)
+    return F.when(m.isNull(), F.lit(None).cast("string")).when(m.rlike("cuda|cudnn|cublas|out of memory"), "device").when(m.rlike("huggingface|download|connection|resolve|offline|timed out|certificate"), "download").otherwise("other")

@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .hashing import buffers, give_back, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -630,7 +631,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
         enc.rest()
         give_back()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids") -> DataFrame:

@@ -1,20 +1,24 @@
-"""N-gram Jaccard join: pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
+"""N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 1. Each text is read once: MinHash signature of its n-grams, cut into bands; a 128-bit hash of its word sequence. Documents of
    the same word sequence are one representative from here on; their pairs have similarity 1 and need no search.
 2. Bands and rows are chosen for a target recall at the threshold. Band hashes are shuffled; representatives that share one are
-   candidates. A bucket links its members to its least member, which is enough to find the families that candidates form.
+   candidates. A bucket links its members to its least member, found by partial aggregation, which is enough to find the families
+   that candidates form.
 3. Full n-gram sets are made again, for candidates only, and sent to the blocks of their family. A block of up to `BLOCK`
    members is verified at once: the intersections of all its pairs are one product of incidence matrices. A larger family is
    several blocks, and each pair of blocks that some bucket joins is verified. So no partner or candidate is capped, and the
    texts of a pair are never sent once for each pair.
+4. A task gives each member's number of links and the member it hangs together with (`links`, whose rows grow with the members),
+   or the pairs themselves (`join`). Classes are the connected components.
 
 A word is a run of ASCII letters and digits or of characters outside ASCII, in lower case; a text of fewer words than n has one
 n-gram, all its words.
 
 Defined cases: null doc_id, null text and texts without words have no partner; repeated rows (one doc_id and text) are one
-document; rows of one doc_id with different texts all count, and a pair has the largest similarity of them; a document isn't
-paired with itself; extra columns are ignored.
+document; rows of one doc_id with different texts all count: a pair has the largest similarity of them, the doc_id is in one class
+and has the sum of its texts' links; a document isn't paired with itself; ties in similarity all count; an empty table gives an empty
+result; very long texts are hashed whole, in memory in proportion to the longest; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import BROADCAST_ROWS, cut, drop_cut
+from ..session import cut, drop_cut, maybe_broadcast, small_batches
 from . import hashing
 from .components import components
 
@@ -96,7 +100,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             del b, data, flat
         hashing.give_back()
 
-    return low.mapInArrow(run, schema)
+    return small_batches(low).mapInArrow(run, schema)
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -122,15 +126,19 @@ def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None
     return out
 
 
-def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold. members: (task, side, rid, text, sid), sorted by the first three; side 0 and 1 are paired, or all of side 2.
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("jaccard", T.DoubleType())])
+LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("links", T.LongType())])
 
-    Rows whose text isn't the representative's (another text of its doc_id) and repeated rows are passed over.
+
+def verify(members: DataFrame, n: int, threshold: float, pairs: bool = True) -> DataFrame:
+    """Of the pairs that reach the threshold, (a, b, jaccard) each; or, without pairs, (a, b, links) for each member of some pair: the least member that the task's pairs chain it to, and its partners counted by weight.
+
+    members: (component, i, j, side, rid, text, sid, weight), sorted by the first five; the first three are the task; side 0 and 1 are paired, or all of side 2. Rows whose
+    text isn't the representative's (another text of its doc_id) and repeated rows are passed over.
     """
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("jaccard", T.DoubleType())])
-    names = schema.names
+    schema = PAIR if pairs else LINK
 
-    def pairs(side: np.ndarray, rid: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def settle(side: np.ndarray, rid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
         size = np.array([len(s) for s in sets], np.float64)
         if side[0] == 2:
             left = right = np.arange(len(sets))
@@ -138,18 +146,48 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+                return None
             common = intersections([sets[i] for i in left], [sets[i] for i in right])
         j = common / (size[left][:, None] + size[right][None, :] - common)
-        j = np.triu(j, 1) if side[0] == 2 else j
-        x, y = np.nonzero(j >= threshold - 1e-9)
-        a, b = rid[left[x]], rid[right[y]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.round(j[x, y].astype(np.float64), 6))], names=names)
+        if side[0] == 2:
+            np.fill_diagonal(j, -1)
+        if pairs:
+            j = np.triu(j, 1) if side[0] == 2 else j
+            x, y = np.nonzero(j >= threshold - 1e-9)
+            a, b = rid[left[x]], rid[right[y]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.round(j[x, y].astype(np.float64), 6))], names=schema.names)
+        near = j >= threshold - 1e-9
+        links = np.zeros(len(sets), np.int64)
+        links[left] = near @ weight[right]
+        if side[0] != 2:
+            links[right] = weight[left] @ near
+        # the least member of each group: labels spread over the rows and columns of the matrix until they rest
+        label = np.arange(len(sets))
+        by_rid = np.argsort(rid, kind="stable")
+        rank = np.empty(len(sets), np.int64)
+        rank[by_rid] = np.arange(len(sets))
+        label = rank.copy()
+        x, y = np.nonzero(near)
+        x, y = left[x], right[y]
+        while len(x):
+            before = label.copy()
+            np.minimum.at(label, x, before[y])
+            np.minimum.at(label, y, before[x])
+            label = np.minimum(label, label[by_rid[label]])
+            if np.array_equal(label, before):
+                break
+        some = np.flatnonzero(links > 0)
+        return pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(rid[by_rid[label[some]]]), pa.array(links[some])], names=schema.names)
 
     def run(batches):
-        task, side, rid, sets = None, [], [], []
+        task, side, rid, weight, sets = None, [], [], [], []
+
+        def done():
+            got = settle(np.array(side), np.array(rid), np.array(weight), sets) if len(sets) > 1 else None
+            return [got] if got is not None else []
+
         for batch in batches:
-            data, off = hashing.buffers(batch.column(3))
+            data, off = hashing.buffers(batch.column(5))
             grams: list[np.ndarray] = []
             sids: list[bytes] = []
             for i, j in hashing.pieces(off, 1 << 19):
@@ -157,91 +195,117 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
                 g, first = hashing.ngrams(w.hashes, w.first, n)
                 grams += [np.unique(g[first[k] : first[k + 1]]) for k in range(j - i)]
                 sids += [_sid(w, k) for k in range(j - i)]
-            for t, s, r, sid, own, g in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), sids, grams):
-                if t != task:
-                    if len(sets) > 1:
-                        yield pairs(np.array(side), np.array(rid), sets)
-                    task, side, rid, sets = t, [], [], []
+            for c, i, j, s, r, sid, m, own, g in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6, 7)), sids, grams):
+                if (t := (c, i, j)) != task:
+                    yield from done()
+                    task, side, rid, weight, sets = t, [], [], [], []
                 if sid == own and not (side and side[-1] == s and rid[-1] == r):
                     side.append(s)
                     rid.append(r)
+                    weight.append(m)
                     sets.append(g)
-        if len(sets) > 1:
-            yield pairs(np.array(side), np.array(rid), sets)
+        yield from done()
         sets = []
         hashing.give_back()
 
-    return members.mapInArrow(run, schema)
+    return small_batches(members).mapInArrow(run, schema)
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b, jaccard): each pair of documents once, id_a < id_b."""
-    reps, members, found = _search(docs, threshold, n, recall, block)
+    """(id_a, id_b, jaccard): each pair of documents once, id_a < id_b. Grows with the square of the largest groups; `links` doesn't."""
+    members, found = _search(docs, threshold, n, recall, block)
     same = members.select("rid", F.col("doc_id").alias("x")).join(members.select("rid", F.col("doc_id").alias("y")), "rid").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
     m = members.select("rid", "doc_id")
     near = found.join(m.select(F.col("rid").alias("a"), F.col("doc_id").alias("x")), "a").join(m.select(F.col("rid").alias("b"), F.col("doc_id").alias("y")), "b").where("x <> y").select("x", "y", "jaccard")
     return same.unionAll(near).groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def _search(docs: DataFrame, threshold: float, n: int, recall: float, block: int):
-    """(representatives (rid, one document of it), members (rid, doc_id), verified pairs (a, b, jaccard) of representatives)."""
-    spark = docs.sparkSession
+def _search(docs: DataFrame, threshold: float, n: int, recall: float, block: int, pairs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(members (rid, doc_id, weight: how many documents the representative stands for), what `verify` finds of representatives)."""
     docs = docs.select("doc_id", "text")
     bands, rows = bands_rows(threshold, recall)
     sig = cut(signatures(docs, n, bands, rows), "signatures")
     reps = cut(sig.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")).withColumn("rid", F.monotonically_increasing_id()), "representatives")
-    members = cut(sig.select("sid", "doc_id").distinct().join(reps.select("sid", "rid"), "sid").select("rid", "doc_id"), "members")
+    one = sig.select("sid", "doc_id").distinct().join(reps.select("sid", "rid"), "sid").select("rid", "doc_id")
+    members = cut(one, "members")
     drop_cut(sig)
     # buckets: every member is linked to the least
     keys = reps.select("rid", F.posexplode("bands").alias("band", "key"))
-    w = Window.partitionBy("band", "key")
-    linked = keys.select("rid", F.min("rid").over(w).alias("least"), F.count("*").over(w).alias("n")).where("n > 1")
-    linked = cut(linked.select("rid", "least").distinct(), "buckets")
+    full = keys.groupBy("band", "key").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).where("least <> most").select("band", "key", "least")
+    linked = cut(keys.join(full, ["band", "key"]).select("rid", "least").distinct(), "buckets")
     family = components(linked, "rid", "least")
-    # a family's members take places by their least bucket mate, so those of one bucket are near each other
+    # the members of families of several blocks, sorted so that those of one bucket are near each other, are cut into blocks
     near = linked.groupBy("rid").agg(F.min("least").alias("least")).join(family.withColumnRenamed("node", "rid"), "rid")
-    placed = near.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("least", "rid")) - 1) / block).cast("int"))
-    placed = cut(placed.withColumn("blocks", F.max("block").over(Window.partitionBy("component")) + 1).select("rid", "component", "block", "blocks"), "blocks")
-    # pairs of blocks that some bucket joins; within a block all pairs are verified anyway
-    large = placed.where("blocks > 1")
-    mate = large.select("rid", "component", "block")
-    by_key = keys.join(mate, "rid").select("band", "key", "component", "block").distinct()
-    joined = by_key.join(by_key.withColumnRenamed("block", "other").drop("component"), ["band", "key"]).where("block < other").select("component", "block", "other").distinct()
-    tasks = placed.select("rid", "component", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")).unionAll(
-        mate.join(joined, ["component", "block"]).select("rid", "component", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    ).unionAll(mate.join(joined.select("component", F.col("other").alias("block"), F.col("block").alias("i")), ["component", "block"]).select("rid", "component", "i", F.col("block").alias("j"), F.lit(1).alias("side")))
-    at = tasks.join(reps.select("rid", "doc_id", "sid"), "rid").select("doc_id", "sid", "rid", "side", F.concat_ws("-", "component", "i", "j").alias("task"))
+    near = cut(near, "families")
+    drop_cut(linked)
+    large = near.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("component")
+    large = cut(large, "large")
+    some, old = not large.isEmpty(), [near, large]
+    side = lambda rid, i, j, s: (rid, "component", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(s).alias("side"))
+    if some:
+        tall = near.join(maybe_broadcast(large), "component").select("component", "least", "rid").repartitionByRange("component", "least", "rid").sortWithinPartitions("component", "least", "rid")
+        place = F.monotonically_increasing_id()
+        tall = cut(tall.select("rid", "component", (F.shiftright(place, 33) * (1 << 30) + F.floor((place % (1 << 33)) / block)).cast("long").alias("block")), "blocks")
+        near = near.join(maybe_broadcast(large), "component", "left_anti")
+        # pairs of blocks that some bucket joins; within a block all pairs are verified anyway
+        by_key = keys.join(tall, "rid").select("band", "key", "component", "block").distinct()
+        joined = cut(by_key.join(by_key.withColumnRenamed("block", "other").drop("component"), ["band", "key"]).where("block < other").select("component", "block", "other").distinct(), "joined")
+        old += [tall, joined]
+        first = joined.select("component", F.col("block"), F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
+        second = joined.select("component", F.col("other").alias("block"), F.col("block").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side"))
+        cross = tall.join(first.unionAll(second), ["component", "block"]).select("rid", "component", "i", "j", "side")
+        tasks = near.select(*side("rid", "component", "component", 2)).unionAll(tall.select(*side("rid", "block", "block", 2))).unionAll(cross)
+    else:
+        tasks = near.select(*side("rid", "component", "component", 2))
+    weights = members.groupBy("rid").agg(F.count("*").alias("weight"))
+    at = tasks.join(reps.select("rid", "doc_id", "sid"), "rid").join(weights, "rid").select("doc_id", "sid", "rid", "weight", "side", "component", "i", "j")
     at = cut(at, "tasks")
-    size = at.count()
+    drop_cut(reps)
     # the texts of candidates: a small list of ids goes to the texts, else both are shuffled
-    small = F.broadcast(at) if size <= BROADCAST_ROWS else at
-    texts = docs.where("doc_id is not null and text is not null").join(small, "doc_id").select("task", "side", "rid", "sid", F.lower("text").alias("text"))
-    texts = texts.repartition("task").sortWithinPartitions("task", "side", "rid").select("task", "side", "rid", "text", "sid")
-    found = cut(verify(texts, n, threshold), "pairs")
-    return reps, members, found
+    texts = docs.where("doc_id is not null and text is not null").join(maybe_broadcast(at), "doc_id").select("component", "i", "j", "side", "rid", F.lower("text").alias("text"), "sid", "weight")
+    texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rid")
+    found = cut(verify(texts, n, threshold, pairs), "pairs")
+    for t in (at, *old):
+        drop_cut(t)
+    return members, found
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """docs without the documents that a chain of pairs joins with a smaller doc_id; all other rows and columns stay.
-
-    Documents of one word sequence hang together by their representative, so their pairs aren't listed. Rows that share a doc_id
-    are one document and stay or go together.
-    """
-    _, members, found = _search(docs, threshold, n, RECALL, BLOCK)
+def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, g): a class of each document that has words; one of several texts joins their groups."""
     groups = components(found, "a", "b")
-    # rid -> group; a doc_id with several texts joins their groups
     own = members.join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", F.coalesce("component", "rid").alias("g"))
-    own = cut(own, "groups")
-    several = own.groupBy("doc_id").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.collect_set("g").alias("gs")).where("a <> b")
+    own = cut(own.distinct(), "groups")
+    several = own.groupBy("doc_id").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("doc_id", "a")
+    several = cut(several, "several")
     if not several.isEmpty():
-        more = components(several.select("a", F.explode("gs").alias("b")), "a", "b")
-        own = own.join(more.withColumnRenamed("node", "g"), "g", "left").select("doc_id", F.coalesce("component", "g").alias("g"))
+        more = components(several.join(own, "doc_id").select("a", F.col("g").alias("b")), "a", "b")
+        own = own.join(more.withColumnRenamed("node", "g"), "g", "left").select("doc_id", F.coalesce("component", "g").alias("g")).distinct()
+    return own
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links), one row for each doc_id: the least doc_id of the documents that pairs chain together, and the number of documents that this one makes a pair with. Documents without a pair are a class of their own."""
+    members, found = _search(docs, threshold, n, recall, block, pairs=False)
+    own = _classes(members, found)
+    least = own.groupBy("g").agg(F.min("doc_id").alias("class_id"))
+    classes = own.join(least, "g").select("doc_id", "class_id")
+    # of one representative's documents, each is linked with the others and with all that its partners stand for
+    weights = members.groupBy("rid").agg((F.count("*") - 1).alias("same"))
+    near = found.groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("near"))
+    count = members.join(weights, "rid").join(near, "rid", "left").groupBy("doc_id").agg(F.sum(F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links"))
+    known = classes.join(count, "doc_id")
+    every = docs.where("doc_id is not null").select("doc_id").distinct()
+    return every.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """docs without the documents that a chain of pairs joins with a smaller doc_id; all other rows and columns stay. Rows that share a doc_id are one document and stay or go together."""
+    own = _classes(*_search(docs, threshold, n, RECALL, BLOCK, pairs=False))
     least = own.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
     gone = cut(own.join(least, "g").where("doc_id <> least").select("doc_id").distinct(), "gone")
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(small, "doc_id", "left_anti")
+    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
-    """Every pair of documents whose word 3-grams have a Jaccard similarity of at least 0.6."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document's class by chains of pairs whose word 3-grams have a Jaccard similarity of at least 0.6, and with how many documents it makes such a pair."""
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))

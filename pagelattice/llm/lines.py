@@ -5,14 +5,17 @@
    hash's first 64 bits.
 2. Candidates are found by MinHash: the features of a line are its pairs of neighbouring words, its begin and end counted as words,
    so that one changed word changes two of them. Lines that agree on `rows` least hashes of one of the bands meet; of those, the
-   ones whose lengths allow the edit similarity and whose SimHashes (of the features) differ in at most `distance` bits are pairs.
+   ones whose lengths allow the edit similarity and whose SimHashes (of the words) differ in at most `distance` bits are pairs.
    Rows grow with the number of lines, to keep chance meetings rare, and bands with the rows, to keep the recall (`bands_for`).
-3. The edit similarity of the pairs' normalised texts is verified: 1 - Levenshtein distance / length of the longer.
+   (The pigeonhole blocks of a SimHash alone can't do it: lines of that edit similarity differ in up to 20 of 64 bits.)
+3. The edit similarity of the pairs' normalised texts is verified: 1 - Levenshtein distance / length of the longer. Lines that chains of
+   pairs join go to one task, or, if they have very many pairs, to several.
 4. Connected components of what is left are the groups; the occurrence of the least (doc_id, text hash, line number) stays.
 
 Defined cases: a line without words (blank, or of signs only) always stays; null text stays null; rows of equal doc_id and text are
 one document, each gets the same result; null doc_id sorts first; a text loses the line feeds of its removed lines; extra columns
-pass through, columns named like the added ones are replaced.
+pass through, columns named like the added ones are replaced; an empty table gives an empty table; very long texts and lines are read whole,
+in memory in proportion to the longest.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import gc
 import hashlib
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -29,19 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import BROADCAST_ROWS, cut, drop_cut
+from ..session import cut, drop_cut, fits, maybe_broadcast, small_batches
 from . import hashing
 from .components import components
 
 #: Bits by which the SimHashes of two lines of that edit similarity differ at most; lines met by chance differ by 32 on average.
-DISTANCE = 28
+DISTANCE = 20
 SIMILARITY = 0.85
 #: A pair whose features have this Jaccard similarity meets in some band with this probability; few similar lines have less in common.
-JACCARD, RECALL = 0.4, 0.95
+JACCARD, RECALL = 0.52, 0.95
 #: Lengths are kept as logarithms, so many steps for a factor of two.
 STEPS = 2048
-#: Texts of a component of close pairs up to which one task takes it whole.
-LARGE = 100_000
+#: Pairs of a component up to which one task takes it whole.
+LARGE = 50_000
 #: Lines that a task remembers to have sent.
 SENT = 500_000
 _ODD = hashing.mix(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
@@ -73,7 +77,7 @@ def features(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bands_for(lines: int) -> tuple[int, int]:
     """(rows of a band, bands) for so many lines."""
-    rows = 2 if lines <= 1 << 22 else 3 if lines <= 1 << 30 else 4
+    rows = 2 if lines <= 1 << 27 else 3 if lines <= 1 << 33 else 4
     return rows, math.ceil(math.log(1 - RECALL) / math.log(1 - JACCARD**rows))
 
 
@@ -129,7 +133,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             del b
         hashing.give_back()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def rid(lid: Column) -> Column:
@@ -159,12 +163,12 @@ def band_rows(docs: DataFrame, rows: int, bands: int) -> DataFrame:
                     continue
                 g, at = features(h, runs)
                 keys = band_keys(g, at, rows, bands)[new].astype(np.int64) << 16 | of | np.minimum(size[new], 0xFFFF)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[new], bands)), pa.array(np.repeat(simhash(g, at)[new], bands))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[new], bands)), pa.array(np.repeat(simhash(h, runs)[new], bands))], names=schema.names)
             del batch
         del sent
         hashing.give_back()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def masks(m: int, distance: int) -> list[int]:
@@ -175,7 +179,10 @@ def masks(m: int, distance: int) -> list[int]:
 
 
 def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(a, b) with a < b: of lines that share a band (band_rows), those within the Hamming distance and of lengths that allow the similarity, each pair once."""
+    """(a, b, tree) with a < b: of lines that share a band (band_rows), those within the Hamming distance and of lengths that allow the similarity, each pair once.
+
+    The pairs with tree hang together what all pairs do.
+    """
     rows = rows.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     longer = math.ceil(STEPS * -math.log2(similarity)) + 1
@@ -216,7 +223,28 @@ def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
         rest = None
         hashing.give_back()
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["a", "b"])
+    marked = T.StructType([*schema.fields, T.StructField("tree", T.BooleanType())])
+
+    def forest(batches):
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = i = root.get(up, up)
+            return i
+
+        for batch in batches:
+            tree = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = find(a), find(b)
+                tree.append(p != q)
+                if p != q:
+                    root[q] = p
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tree, pa.bool_())], names=marked.names)
+        root.clear()
+        hashing.give_back()
+
+    return rows.mapInArrow(run, schema).repartition("a").dropDuplicates(["a", "b"]).mapInArrow(forest, marked)
 
 
 def levenshtein(a: str, b: str, most: int | None = None) -> int:
@@ -256,22 +284,6 @@ def levenshtein(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def similar(pairs: DataFrame, least: float) -> DataFrame:
-    """The (a, b) whose texts x and y have the edit similarity."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n = max(len(x), len(y))
-                ok.append(n - abs(len(x) - len(y)) >= least * n and n - levenshtein(x, y, int(n - least * n + 1e-9)) >= least * n - 1e-9)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, schema)
-
-
 def histograms(lines: list[str]) -> np.ndarray:
     """Counts of each text's characters in 64 classes; texts at an edit distance of d differ by at most d in what they have more or less."""
     out = np.zeros((len(lines), 64), np.int32)
@@ -284,19 +296,23 @@ def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int
     """(node, component): the groups of two and more texts (rid, line, component) that similar pairs (a, b) chain together.
 
     component is what all close pairs, verified or not, hang together by. Its texts are sent to one task once; a pair whose texts
-    hang together already isn't compared, which changes no group. Components of more than `large` texts, which would fill a task,
-    are verified pair by pair in parallel and put together by connected components.
+    hang together already isn't compared, which changes no group. The pairs of a component of more than `large` are spread over
+    tasks by their first line, each with the texts it needs, and the tasks' groups are put together by connected components.
     """
-    of = texts.select(F.col("rid").alias("a"), "component")
-    size = texts.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > large).select("component")
-    placed = pairs.join(of, "a")
-    rows = texts.select("component", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "line").unionAll(placed.select("component", F.lit(1), "a", "b", F.lit(None).cast("string")))
-    big = cut(size, "large")
+    placed = pairs.select("a", "b").join(texts.select(F.col("rid").alias("a"), "component"), "a")
+    big = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > large).select("component", F.ceil(F.col("n") / large).cast("long").alias("slots"))
+    big = cut(big, "large")
     some = not big.isEmpty()
+    whole = texts.select("component", F.lit(0).cast("long").alias("slot"), "rid", "line")
+    placed = placed.withColumn("slot", F.lit(0).cast("long"))
     if some:
-        rows = rows.join(F.broadcast(big), "component", "left_anti")  # fewer than lines / large rows
-    rows = rows.repartition("component").sortWithinPartitions("component", "kind", "a", "b")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
+        placed = placed.drop("slot").join(maybe_broadcast(big), "component", "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("a"), F.col("slots")), F.lit(0)))
+        spread = placed.where("slots is not null")
+        need = spread.select("component", "slot", F.col("a").alias("rid")).unionAll(spread.select("component", "slot", F.col("b").alias("rid"))).distinct()
+        whole = whole.join(maybe_broadcast(big.select("component")), "component", "left_anti").unionAll(need.join(texts.select("rid", "line"), "rid").select("component", "slot", "rid", "line"))
+    rows = whole.select("component", "slot", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "line").unionAll(placed.select("component", "slot", F.lit(1), "a", "b", F.lit(None).cast("string")))
+    rows = rows.repartition("component", "slot").sortWithinPartitions("component", "slot", "kind", "a", "b")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("component", "node", "root")])
 
     def settle(rid: list[int], line: list[str], a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at = {r: i for i, r in enumerate(rid)}
@@ -332,40 +348,65 @@ def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int
 
     def run(batches):
         now, rid, line, a, b = None, [], [], [], []
+        out: list[tuple[int, int, int]] = []
+
+        def done():
+            if a:
+                out.extend((now[0], *x) for x in settle(rid, line, a, b))
+
+        def flush():
+            cols = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for c, kind, x, y, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if c != now:
-                    if a:
-                        out += settle(rid, line, a, b)
-                    now, rid, line, a, b = c, [], [], [], []
+            for c, slot, kind, x, y, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (c, slot) != now:
+                    done()
+                    now, rid, line, a, b = (c, slot), [], [], [], []
                 if kind == 0:
                     rid.append(x)
                     line.append(t)
                 else:
                     a.append(x)
                     b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
-        out = settle(rid, line, a, b) if a else []
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], names=schema.names)
-        del out, rid, line, a, b
+            yield flush()
+        done()
+        yield flush()
+        del rid, line, a, b
         hashing.give_back()
 
-    groups = rows.mapInArrow(run, schema)
+    groups = small_batches(rows).mapInArrow(run, schema)
     if not some:
-        return groups
-    rest = placed.join(F.broadcast(big), "component", "left_semi")
-    both = rest.join(texts.select(F.col("rid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("line").alias("y")), "b")
-    return groups.unionAll(components(similar(both.repartition("a", "b"), least), "a", "b"))
+        return groups.select("node", F.col("root").alias("component"))
+    groups = cut(groups, "parts")
+    apart = groups.join(maybe_broadcast(big.select("component")), "component", "left_semi")
+    together = groups.join(maybe_broadcast(big.select("component")), "component", "left_anti").select("node", F.col("root").alias("component"))
+    return together.unionAll(components(apart, "node", "root"))
+
+
+_WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
 def fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(rid, line): the normalised texts of the wanted occurrences (rid, doc_id, thash, line_no)."""
-    small = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    d, n = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text").alias("d"), small.alias("n")
-    got = d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.thash") == F.col("n.thash")))
-    line = F.element_at(F.split(F.lower("d.text"), "\n"), F.col("n.line_no") + 1)
-    return got.select("rid", F.trim(F.regexp_replace(line, r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")).alias("line")).dropDuplicates(["rid"])
+    """(rid, line): the normalised texts of the wanted occurrences (rid, doc_id, thash, line_no). A text is sent at most once, and cut into lines once."""
+    want = need.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("line_no", "rid")).alias("want"))
+    want = F.broadcast(want) if fits(need) else want
+    d, n = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("thash"), "text").alias("d"), want.alias("n")
+    got = d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.thash") == F.col("n.thash"))).select(F.lower("d.text").alias("text"), F.transform("n.want", lambda x: x["line_no"]).alias("numbers"), F.transform("n.want", lambda x: x["rid"]).alias("rids"))
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("line", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            ids, found = [], []
+            for text, numbers, rids in zip(*(b.column(i).to_pylist() for i in range(3))):
+                lines = text.split("\n")
+                ids += rids
+                found += [" ".join(_WORD.findall(lines[k])) for k in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=schema.names)
+        hashing.give_back()
+
+    return small_batches(got).mapInArrow(run, schema).dropDuplicates(["rid"])
 
 
 def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -378,7 +419,7 @@ def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMI
     pairs = cut(close_pairs(band_rows(docs, *bands_for(n)), distance, similarity), "close")
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()  # the bands' shuffle files go now, not when the driver happens to collect its garbage
-    close = components(pairs, "a", "b")
+    close = components(pairs.where("tree"), "a", "b")
     need = cut(close.withColumnRenamed("node", "rid").join(one.select("rid", "first.*"), "rid"), "need")
     texts = cut(fetch(docs, need.drop("component")).join(need.select("rid", "component"), "rid"), "texts")
     drop_cut(need)
@@ -390,7 +431,10 @@ def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMI
     fuzzy = grouped.join(kept, "component").select("lid", "kept")
     exact = one.where("n > 1").join(fuzzy.select("lid"), "lid", "left_anti").select("lid", F.col("first").alias("kept"))
     hit = occ.join(fuzzy.unionAll(exact), "lid").where(~at.eqNullSafe(F.col("kept")))
-    return cut(hit.groupBy("doc_id", "thash").agg(F.collect_set("line_no").alias("gone")), "removals")
+    out = cut(hit.groupBy("doc_id", "thash").agg(F.collect_set("line_no").alias("gone")), "removals")
+    for t in (occ, one, groups):
+        drop_cut(t)
+    return out
 
 
 def dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

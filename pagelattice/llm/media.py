@@ -7,8 +7,9 @@ unknown size (live streams) end where an element begins that can't be inside the
 A file is parsed where its row is read: no shuffle. `mux` writes small Matroska files, here from texts.
 
 Defined cases: null media gives no row; a file without packets, or broken before the first, gives one row with null packet fields
-and its error; a file that breaks later keeps the packets before and has the error in a last row; repeated rows give repeated
-packets; extra columns pass through, those named like packet fields are replaced.
+and its error; a file that breaks later keeps the packets before and has the error in a last row, as has one whose track numbers
+or times don't fit the columns; repeated rows give repeated packets; equal times keep the file's order; extra columns pass through, those named like packet fields are replaced; an empty table
+gives an empty table; a very large file is parsed in place, in memory in proportion to its packets.
 """
 
 from __future__ import annotations
@@ -207,6 +208,8 @@ def packets(buf: bytes) -> tuple[list[tuple], str | None]:
 
 def _block(buf, at, end, time, scale, tracks, cued, cluster, rows, length, key) -> None:
     track, body = vint(buf, at, end)
+    if not 0 <= track < 1 << 31:
+        raise Broken(f"the block at {at} has no track number of 31 bits")
     if body + 3 > end:
         raise Broken(f"the block at {at} has no header")
     offset, flags = struct.unpack_from(">hB", buf, body)
@@ -216,6 +219,8 @@ def _block(buf, at, end, time, scale, tracks, cued, cluster, rows, length, key)
     pts = (time + offset) * scale
     each = length * scale // len(found) if length is not None else default
     key = bool(flags & 0x80) if key is None else key
+    if not all(-1 << 63 <= t < 1 << 63 for t in (pts, each or 0, pts + len(found) * (each or 0))):
+        raise Broken(f"the block at {at} has a time beyond 63 bits")
     for i, (s, n) in enumerate(found):
         rows.append((track, codec, pts + i * (each or 0), each, key, LACING[lacing], i, s, n, cluster, (track, cluster) in cued, zlib.crc32(buf[s : s + n])))
 

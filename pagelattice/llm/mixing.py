@@ -13,7 +13,8 @@ The token length is an argument: by default the number of runs of characters oth
 
 Defined cases: rows that share source and doc_id are one item, taken or left together, its length their sum; a null doc_id is an item
 as well; null sources and sources of no weight give nothing; null and empty texts have length 0 and are never taken; equal hashes are
-ordered by doc_id; extra columns pass through; a source with less than its share of the total gives all it has. With weights but no total
+ordered by doc_id; extra columns pass through, whatever their names; repeated rows are taken or left together; an empty table gives an
+empty table; a very long text only counts by its length; a source with less than its share of the total gives all it has. With weights but no total
 the scarcest source bounds the mix.
 """
 
@@ -121,7 +122,9 @@ def budgets(counts: DataFrame, weights: dict[str, float] | None, total: int | No
         have = have.withColumn("w", F.pow("tokens", F.lit(power)))
     else:
         rows = [(k, float(v)) for k, v in weights.items() if v > 0]
-        have = have.join(F.broadcast(counts.sparkSession.createDataFrame(rows, "source string, w double")), "source")
+        weighed = F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k, _ in rows)), F.array(*(F.lit(v) for _, v in rows)))) if rows else None
+        w = have.sparkSession.range(1).select(weighed.alias("source", "w")) if rows else have.select("source", F.lit(0.0).alias("w")).where("false")
+        have = have.join(F.broadcast(w), "source")  # as many rows as the caller named
     all_ = have.agg(F.sum("w").alias("sum_w"), F.min(F.col("tokens") / F.col("w")).alias("least"), F.sum("tokens").alias("all"))
     have = have.crossJoin(all_).withColumn("weight", F.col("w") / F.col("sum_w"))
     whole = F.lit(float(total)) if total is not None else F.col("all") if weights is None else None
@@ -154,10 +157,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
 
     w = Window.partitionBy("source", "length").orderBy("h", F.col("doc_id").asc_nulls_first())
     taken = ranked.withColumn("k", F.row_number().over(w)).where("k <= take")
-    last = cut(taken.groupBy("source", "length").agg(F.max(F.struct("h", "doc_id")).alias("last")), "last")
+    last = cut(taken.groupBy("source", "length").agg(F.max(F.struct("h", "doc_id")).alias("__last")), "last")
     n = tokens(F.col("text")) if length is None else length
     mine = docs.withColumn("__n", n).withColumn("__h", F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("doc_id")))
-    cuts = maybe_broadcast(last.select(F.col("source").alias("__source"), F.col("length").alias("__length"), "last"))
+    cuts = maybe_broadcast(last.select(F.col("source").alias("__source"), F.col("length").alias("__length"), "__last"))
     repeated = its.where("copies > 1")
     single = mine
     if not repeated.isEmpty():
@@ -167,7 +170,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
         same = (F.col("source") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d"))
         single = mine.join(maybe_broadcast(many), same, "left_anti")
         several = docs.join(maybe_broadcast(chosen), same, "left_semi")
-    out = single.join(cuts, (F.col("source") == F.col("__source")) & (F.col("__n") == F.col("__length")) & (F.col("__h") <= F.col("last")), "left_semi").select(*docs.columns)
+    out = single.join(cuts, (F.col("source") == F.col("__source")) & (F.col("__n") == F.col("__length")) & (F.col("__h") <= F.col("__last")), "left_semi").select(*docs.columns)
     return out.unionByName(several) if single is not mine else out
 
 

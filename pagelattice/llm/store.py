@@ -7,10 +7,12 @@ over them and their sizes, with a fingerprint of the whole id stream taken from
 hashes every stored chunk again, looks every address of every recipe up in the store, computes every root again, and puts the
 fingerprint of the rebuilt stream together from those of the stored chunks: it must be the encoder's, and the sizes must sum to n_tokens.
 
-Texts are encoded once. A task sends a chunk once, to the partition of its address, where it is written once.
+Texts are encoded once. A task sends a chunk once, to the partition of its address, where equal neighbours in the order of addresses are written once.
 
 Defined cases: null text has null ids, recipe and root and is verified; empty text has an empty recipe and the root of no
-chunk; repeated rows have the same recipe and store nothing more; null doc_id is kept; extra columns are left out.
+chunk; repeated rows have the same recipe and store nothing more; null doc_id is kept; extra columns are left out, whatever their names;
+an empty table gives an empty book and store; a very long text is encoded whole, in memory in proportion to it. The book says how many
+bytes an id takes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, shared_dir
+from ..session import cut, shared_dir, small_batches
 from . import bpe
 from . import hashing
 from .hashing import give_back, mix
@@ -138,14 +140,14 @@ def _chunks(column: pa.Array, enc: FastEncoder):
         yield i, texts, ids.astype("<u2" if width == 2 else "<u4").tobytes(), width, off, cuts(off, at), fingerprints(ids, off).tolist()
 
 
-RECIPE = [("n_tokens", T.LongType()), ("n_chunks", T.IntegerType()), ("recipe", T.ArrayType(T.StringType(), False)), ("sizes", T.ArrayType(T.IntegerType(), False)), ("stream", T.LongType()), ("merkle_root", T.StringType())]
-_ARROW = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.string()]
+RECIPE = [("width", T.IntegerType()), ("n_tokens", T.LongType()), ("n_chunks", T.IntegerType()), ("recipe", T.ArrayType(T.StringType(), False)), ("sizes", T.ArrayType(T.IntegerType(), False)), ("stream", T.LongType()), ("merkle_root", T.StringType())]
+_ARROW = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.string()]
 
 
 def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(book, store), written into the shared folder.
 
-    book (doc_id, n_tokens, n_chunks, recipe, sizes, stream: fingerprint, merkle_root): addresses and roots in hexadecimal. store (address BINARY, ids
+    book (doc_id, width: bytes of an id, n_tokens, n_chunks, recipe, sizes, stream: fingerprint, merkle_root): addresses and roots in hexadecimal. store (address BINARY, ids
     BINARY): every distinct chunk once. Texts are encoded once: recipes and chunks go through one shuffle, each to the partition of
     its key, and are written as the two parts of one table.
     """
@@ -173,7 +175,7 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
                             sent.add(key)
                             keys.append(key)
                             parts.append(part)
-                    rows.append((int(off[k + 1] - off[k]), len(leaves), [a.hex() for a, _ in leaves], [n for _, n in leaves], marks[k], merkle(leaves).hex()))
+                    rows.append((w, int(off[k + 1] - off[k]), len(leaves), [a.hex() for a, _ in leaves], [n for _, n in leaves], marks[k], merkle(leaves).hex()))
                 if len(sent) > SENT:
                     sent = set()
                 n, m = len(keys), len(rows)
@@ -186,22 +188,27 @@ def build(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame,
         give_back()
 
     def once(batches):
-        seen = set()
+        before = None
         for b in batches:
             keep = []
             for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keep.append(kind == "recipe" or key not in seen)
+                keep.append(kind == "recipe" or key != before)
                 if kind == "chunk":
-                    seen.add(key)
+                    before = key
             yield b.filter(pa.array(keep, pa.bool_()))
 
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    docs.mapInArrow(send, schema).repartition("address").mapInArrow(once, schema).write.partitionBy("kind").parquet(path)
+    small_batches(docs).mapInArrow(send, schema).repartition("address").sortWithinPartitions("kind", "address").mapInArrow(once, schema).write.partitionBy("kind").parquet(path)
     table = spark.read.schema(schema).parquet(path)
     return table.where("kind = 'recipe'").select("doc_id", *(n for n, _ in RECIPE)), table.where("kind = 'chunk'").select("address", "ids")
 
 
-def check_chunks(store: DataFrame, width: int = 2) -> DataFrame:
+def width_of(book: DataFrame) -> int:
+    """Bytes of an id in the store of this book; one store has one width."""
+    return book.agg(F.max("width")).first()[0] or 2
+
+
+def check_chunks(store: DataFrame, width: int) -> DataFrame:
     """(address STRING in hexadecimal, size INT: number of ids, sound BOOLEAN: the bytes have this address, mark BIGINT: fingerprint of the ids)."""
     schema = T.StructType([T.StructField("address", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("sound", T.BooleanType()), T.StructField("mark", T.LongType())])
 
@@ -216,9 +223,9 @@ def check_chunks(store: DataFrame, width: int = 2) -> DataFrame:
     return store.select("address", "ids").mapInArrow(run, schema)
 
 
-def verify(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
+def verify(book: DataFrame, store: DataFrame) -> DataFrame:
     """book with verified BOOLEAN: every address of the recipe is in the store once, sound and of its size, the root is that of the recipe, and the rebuilt stream has the encoder's n_tokens and fingerprint."""
-    checked = check_chunks(store, width).groupBy("address").agg(F.first("size").alias("size"), F.min("sound").alias("sound"), F.first("mark").alias("mark"), F.count("*").alias("n"))
+    checked = check_chunks(store, width_of(book)).groupBy("address").agg(F.first("size").alias("size"), F.min("sound").alias("sound"), F.first("mark").alias("mark"), F.count("*").alias("n"))
     book = cut(book.withColumn("rid", F.monotonically_increasing_id()), "recipes")
     used = book.select("rid", F.posexplode(F.arrays_zip("recipe", "sizes")).alias("k", "c")).select("rid", "k", F.col("c.recipe").alias("address"), F.col("c.sizes").alias("expected"))
     good = F.coalesce(F.col("sound") & (F.col("n") == 1) & (F.col("size") == F.col("expected")), F.lit(False))
@@ -246,8 +253,9 @@ def verify(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
     return got.withColumn("verified", same("recipe", "sizes", "marks", F.coalesce("good", F.lit(False)), *numbers, "merkle_root")).drop("rid", "good", "marks")
 
 
-def reconstruct(book: DataFrame, store: DataFrame, width: int = 2) -> DataFrame:
+def reconstruct(book: DataFrame, store: DataFrame) -> DataFrame:
     """(doc_id, token_ids ARRAY<INT>) of the recipes; one row for each row of the book that has a recipe."""
+    width = width_of(book)
     book = cut(book.withColumn("rid", F.monotonically_increasing_id()), "recipes").where("recipe is not null")
     parts = book.select("rid", F.posexplode("recipe").alias("k", "address")).join(store.select(F.lower(F.hex("address")).alias("address"), "ids"), "address")
     whole = parts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))

@@ -40,18 +40,25 @@ def normalize_blocks(content: Column) -> Column:
 def inject(pages: DataFrame, doc: str, order: str, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """(pages with numbered blocks around their Markdown tables, tables (doc, order, table_num, id, placeholder, markdown)).
 
-    Numbers ascend through the document. Only the pages' table counts are summed by document; a text isn't sent for its number.
+    Numbers ascend through the document. Only the counts of pages with tables are sorted by document; texts are sent, if at all, by
+    document, order and a hash of the text, so that a document of very many pages is spread.
+
+    Defined cases: different pages of one document and order are numbered one after the other; repeated rows are one page and get the same
+    numbers; a null document is a document, a null order comes first; null content has no table and stays null; columns of any name
+    pass through; no pages, no tables.
     """
     from pyspark.sql.window import Window
 
     found = F.regexp_extract_all(F.col(content), F.lit(GFM), F.lit(1))
-    counts = pages.select(doc, order, F.size(found).alias("k")).groupBy(doc, order).agg(F.sum("k").alias("k"))
-    before = counts.select(doc, order, F.coalesce(F.sum("k").over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    p = pages.join(before, [doc, order]).withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("__gaps", F.split(content, GFM, -1))
+    p = pages.withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("__hash", F.xxhash64(content)).withColumn("__gaps", F.split(content, GFM, -1))
+    w = Window.partitionBy("__doc").orderBy(F.col("__order").asc_nulls_first(), "__text").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pages.select(F.col(doc).alias("__doc"), F.col(order).alias("__order"), F.xxhash64(content).alias("__text"), F.size(found).alias("k")).where("k > 0").groupBy("__doc", "__order", "__text").agg(F.max("k").alias("k"))
+    before = counts.select("__doc", "__order", "__text", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("__before"))
+    p = p.join(before, F.col(doc).eqNullSafe(F.col("__doc")) & F.col(order).eqNullSafe(F.col("__order")) & (F.col("__hash") == F.col("__text")), "left")
     blocks = F.transform("__found", lambda m, i: table_block(F.col("__before") + i + 1, m))
     text = F.array_join(F.zip_with("__gaps", blocks, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
-    out = p.withColumn(content, text).drop("__before", "__found", "__gaps")
-    t = p.select(doc, order, "__before", F.posexplode("__found").alias("i", "markdown")).withColumn("table_num", (F.col("__before") + F.col("i") + 1).cast("int"))
+    out = p.withColumn(content, text).select(*pages.columns)
+    t = p.select(doc, order, "__before", F.posexplode("__found").alias("__i", "markdown")).withColumn("table_num", (F.col("__before") + F.col("__i") + 1).cast("int"))
     tables = t.select(doc, order, "table_num", table_id(F.col("table_num")).alias("id"), F.concat(F.lit("<table "), F.col("table_num").cast("string"), F.lit(">")).alias("placeholder"), _strip(F.col("markdown")).alias("markdown"))
     return out, tables
 
@@ -147,3 +154,32 @@ def convert_groups(pages: DataFrame, groups: DataFrame, keys: list[str], content
     piece = F.when(F.col("by").isNotNull(), F.col("by")).when(F.col("table_num").isNotNull(), table_block(F.col("table_num"), F.col("text"))).otherwise(F.col("text"))
     whole = seg.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", piece.alias("p")))), lambda x: x["p"]), "").alias(content))
     return whole.withColumn(content, F.regexp_replace(content, r"\n{3,}", "\n\n"))
+
+
+def insert_after(content: Column, placeholder: Column, text: Column) -> Column:
+    """content with text on its own after the first placeholder, or at the end if there is none; blank text changes nothing. Null content counts as empty."""
+    c, t = F.coalesce(content, F.lit("")), _strip(F.coalesce(text, F.lit("")))
+    at = F.when(F.coalesce(placeholder, F.lit("")) == "", 0).otherwise(F.position(placeholder, c))
+    end = at + F.length(placeholder)
+    inside = F.concat(F.substr(c, F.lit(1), end - 1), F.lit("\n\n"), t, F.substr(c, end))
+    behind = F.when(_strip(c) == "", t).otherwise(F.concat(F.regexp_replace(c, r"(?U)\s+$", ""), F.lit("\n\n"), t))
+    return F.when(t == "", c).when(at > 0, inside).otherwise(behind)
+
+
+def apply_verdicts(pages: DataFrame, tables: DataFrame, keys: list[str], content: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, tables, images) after verdicts: blocks of what was judged to be text lose their tags, groups of picture parts become one picture.
+
+    tables (keys, table_num, id, content_type, group_image_ids, ...); those that went into text or a picture are left out of the tables that
+    are given back; images (keys, id, placeholder) are the pictures that groups became. A group ends at its page.
+    """
+    doc = keys[0]
+    place = tables.select(*keys, "id", "table_num")
+    groups = image_groups(tables, doc).join(place.withColumnRenamed("id", "first_id"), [doc, "first_id"])
+    one = groups.select(*keys, "members", "placeholder", "first_id")
+    member = one.select(*keys, F.explode(F.split("members", ",")).alias("id")).distinct()
+    seg = segments(pages, keys, content).join(tables.select(*keys, "table_num", "content_type"), [*keys, "table_num"], "left")
+    piece = F.when(F.col("table_num").isNull() | (F.col("content_type") == "text"), F.col("text")).otherwise(table_block(F.col("table_num"), F.col("text")))
+    plain = seg.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", piece.alias("p")))), lambda x: x["p"]), "").alias(content))
+    out = convert_groups(plain, one, keys, content)
+    left = tables.where("not (content_type <=> 'text')").join(member, [*keys, "id"], "left_anti")
+    return out, left, one.select(*keys, F.concat(F.lit("img_from_"), F.col("first_id")).alias("id"), "placeholder").distinct()

@@ -115,3 +115,16 @@ def classify_regions(glyphs: DataFrame, region: str) -> DataFrame:
     )
     seen = kind != "image"
     return t.select(region, kind.alias("kind"), "n_chars", "n_lines", F.when(seen, F.coalesce("rows", F.lit(0))).otherwise(0).alias("rows"), F.when(seen, F.coalesce("mode_cols", F.lit(0))).otherwise(0).alias("mode_cols"), F.when(seen, F.coalesce(share, F.lit(0.0))).otherwise(0.0).alias("mode_share"), F.when(seen, F.coalesce("drift", F.lit(0.0))).otherwise(0.0).alias("drift"))
+
+
+def mark_candidates(images: DataFrame, density: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """images (keys, ...) with text_chars, text_lines, region_kind and table_candidate: a picture over dense text, unless its glyphs say that it is no table.
+
+    density (keys, n_chars, n_lines), regions (keys, kind), both at most one row for a picture; a picture without them is no candidate.
+    """
+    from ..functions import gates
+
+    d = density.select(*keys, F.col("n_chars").alias("text_chars"), F.col("n_lines").alias("text_lines"))
+    j = images.drop("text_chars", "text_lines", "region_kind", "table_candidate").join(d, keys, "left").join(regions.select(*keys, F.col("kind").alias("region_kind")), keys, "left")
+    dense = gates.table_candidate(F.col("text_chars"), F.col("text_lines"))
+    return j.withColumn("table_candidate", dense & F.coalesce(F.col("region_kind") == "table", F.lit(True)))

@@ -105,8 +105,8 @@ def chunk(pages: DataFrame, doc: str, order: str, most: int, content: str = "con
 
 
 def chunk_tables(chunks: DataFrame, tables: DataFrame, doc: str, content: str = "content") -> DataFrame:
-    """tables (doc, table_num, ...) with the number of the chunk that their opening tag stands in."""
-    marks = chunks.select(doc, "chunk_no", F.explode(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<table\s+([0-9]+)>"), F.lit(1)))).alias("n")).select(doc, "chunk_no", F.col("n").cast("int").alias("table_num"))
+    """tables (doc, table_num, ...) with chunk_no, the chunk that their opening tag stands in, and place, counted from 0 in the order of the text."""
+    marks = chunks.select(doc, "chunk_no", F.posexplode(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<table\s+([0-9]+)>"), F.lit(1)))).alias("place", "n")).select(doc, "chunk_no", "place", F.col("n").cast("int").alias("table_num"))
     return tables.join(marks, [doc, "table_num"])
 
 

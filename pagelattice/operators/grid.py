@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 MERGED = "〃"
+#: Columns that a table may declare beyond those that its cells reach.
 MAX_COLUMNS = 200
+#: Row and column addresses from here on are taken for damage.
+FAR = 1 << 14
 
 
 def _joined(rows: Column, sep_rows: bool = True) -> Column:
@@ -19,32 +22,50 @@ def _joined(rows: Column, sep_rows: bool = True) -> Column:
 
 
 def render_grid(cells: DataFrame, key: str, marks: bool = True, most: int = MAX_COLUMNS) -> DataFrame:
-    """(key, n_rows, n_cols, markdown) of cells (key, cell_no, declared_cols, row, col, rowspan, colspan, blocks ARRAY<STRING>).
+    """(key, n_rows, n_cols, markdown, truncated) of cells (key, cell_no, declared_cols, row, col, rowspan, colspan, blocks ARRAY<STRING>).
 
-    One shuffle, by table. A table has as many columns as it declares or its cells reach, up to a limit. A spanning cell's text
-    stands at its top left; the rows below it have the mark of a merged cell in its first column. A later cell overwrites an
-    earlier one. Empty rows at the top go while others are left.
+    One shuffle, by table; only what cells hold is sent, blank slots are drawn. A table has as many columns as its cells reach, or as
+    it declares up to `most`. A spanning cell's text stands at its top left; the rows below it have the mark of a merged cell in its
+    first column. A later cell overwrites an earlier one. Empty rows at the top go while others are left.
+
+    Defined cases: null keys are one table; null blocks and spans are empty and single; cells that are written twice count once;
+    a cell whose address is null, negative or FAR and beyond isn't drawn, and its table is `truncated`; spans end at FAR; other
+    columns are left out, whatever their names; no cells, no rows.
     """
-    text = X.escape_cell(X.merge_bold_runs(F.col("blocks")))
-    one = F.struct("cell_no", "row", "col", "rowspan", "colspan", text.alias("text"))
-    t = cells.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("cells"), F.max("declared_cols").alias("declared"), F.max(F.col("col") + F.col("colspan")).alias("reach"), F.max(F.col("row") + F.col("rowspan")).alias("n"))
-    t = t.withColumn("m", F.greatest(F.lit(1), F.least(F.lit(most), F.greatest(F.coalesce("declared", F.lit(0)), F.col("reach"))))).select(key, "cells", F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"))
-    # every slot is written: first blank, then by cells in their order; the last write counts. All of it stays in the table's partition.
-    inside = F.filter("cells", lambda c: (c["row"] >= 0) & (c["col"] >= 0) & (c["row"] < F.col("n")) & (c["col"] < F.col("m")))
-    slot = lambda c, d: (c["row"] + d).cast("long") * F.col("m") + c["col"]
-    depth = lambda c: F.greatest(F.lit(1), F.least(c["rowspan"], F.col("n") - c["row"])) if marks else F.lit(1)
-    write = lambda c: F.transform(F.sequence(F.lit(0), depth(c) - 1), lambda d: F.struct(slot(c, d).alias("k"), c["cell_no"].cast("long").alias("o"), F.when(d == 0, c["text"]).otherwise(MERGED).alias("v")))
-    void = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") * F.col("m") - 1), lambda k: F.struct(k.alias("k"), F.lit(-(1 << 62)).alias("o"), F.lit("").alias("v")))
-    w = t.select(key, "n", "m", F.explode(F.concat(void, F.flatten(F.transform(inside, write)))).alias("w"))
-    w = w.groupBy(key, "n", "m", F.col("w.k").alias("k")).agg(F.max_by("w.v", "w.o").alias("v"))
-    g = w.groupBy(key, "n", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("v"))
-    rows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda r: F.slice("v", r * F.col("m") + 1, F.col("m")))
-    t = g.select(key, "m", rows.alias("rows"))
-    filled = F.transform("rows", lambda r: F.exists(r, lambda c: F.trim(c) != ""))
-    skip = F.coalesce(F.nullif(F.array_position(filled, F.lit(True)), F.lit(0)) - 1, F.size("rows") - 1)
-    kept = F.slice("rows", (skip + 1).cast("int"), F.greatest(F.size("rows") - skip, F.lit(1)).cast("int"))
-    t = t.select(key, "m", kept.alias("rows"))
-    return t.select(key, F.size("rows").alias("n_rows"), F.col("m").alias("n_cols"), _joined(F.col("rows")).alias("markdown"))
+    at = lambda c: F.col(c).cast("int")
+    good = F.coalesce((at("row") >= 0) & (at("row") < FAR) & (at("col") >= 0) & (at("col") < FAR), F.lit(False))
+    span = lambda c: F.greatest(F.lit(1), F.coalesce(at(c), F.lit(1)))
+    text = F.coalesce(X.escape_cell(X.merge_bold_runs(F.col("blocks"))), F.lit(""))
+    t = cells.select(F.col(key).alias("__key"), "cell_no", "declared_cols", at("row").alias("row"), at("col").alias("col"), span("rowspan").alias("down"), span("colspan").alias("across"), text.alias("text"), good.alias("good"))
+    whole = Window.partitionBy("__key")
+    end = lambda a, b: F.coalesce(F.max(F.when(F.col("good"), F.least(F.col(a).cast("long") + F.col(b), F.lit(FAR)))).over(whole), F.lit(1)).cast("int")
+    declared = F.least(F.lit(most), F.coalesce(F.max("declared_cols").over(whole), F.lit(0)))
+    t = t.withColumn("n", end("row", "down")).withColumn("m", F.greatest(end("col", "across"), declared).cast("int")).withColumn("cut", F.bool_or(~F.col("good")).over(whole))
+    depth = F.least(F.col("down"), F.col("n") - F.col("row")) if marks else F.lit(1)
+    drawn = F.transform(F.sequence(F.lit(0), depth - 1), lambda d: F.struct((F.col("row") + d).alias("r"), F.when(d == 0, F.col("text")).otherwise(MERGED).alias("v")))
+    nothing = F.array(F.struct(F.lit(0).alias("r"), F.lit(None).cast("string").alias("v")))
+    e = t.select("__key", "n", "m", "cut", "col", "cell_no", F.explode(F.when(F.col("good"), drawn).otherwise(nothing)).alias("e")).select("__key", "n", "m", "cut", F.col("e.r").alias("r"), F.struct("col", "cell_no", F.col("e.v").alias("v")).alias("x"))
+    # the cells of a row in order of columns; of several in one place the last counts
+    row = e.groupBy("__key", "n", "m", "cut", "r").agg(F.array_sort(F.collect_list(F.when(F.col("x.v").isNotNull(), F.col("x")))).alias("x"))
+    row = row.withColumn("x", F.filter("x", lambda c, i: ~F.coalesce(F.get(F.col("x"), i + 1)["col"] == c["col"], F.lit(False))))
+    gap = F.lit(" | ")
+    cell = F.transform("x", lambda c, i: F.concat(F.repeat(gap, c["col"] - F.coalesce(F.get(F.col("x"), i - 1)["col"], F.lit(0))), c["v"]))
+    last = F.coalesce(F.get(F.col("x"), F.size("x") - 1)["col"], F.lit(0))
+    line = F.concat(F.lit("| "), F.array_join(cell, ""), F.repeat(gap, F.col("m") - 1 - last), F.lit(" |"))
+    row = row.select("__key", "n", "m", "cut", F.struct("r", line.alias("line"), F.exists("x", lambda c: F.trim(c["v"]) != "").alias("some")).alias("row"))
+    g = row.groupBy("__key", "n", "m", "cut").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    first = F.coalesce(F.get(F.filter("rows", lambda x: x["some"]), F.lit(0))["r"], F.col("n") - 1)
+    blank = F.concat(F.lit("| "), F.repeat(gap, F.col("m") - 1), F.lit(" |"))
+    g = g.withColumn("first", first).withColumn("blank", blank).withColumn("kept", F.filter("rows", lambda x: x["r"] >= F.col("first")))
+    head = F.coalesce(F.get(F.filter("kept", lambda x: x["r"] == F.col("first")), F.lit(0))["line"], F.col("blank"))
+    rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("m")), " | "), F.lit(" |"))
+    empty = F.concat(F.lit("\n"), F.col("blank"))
+    rest = F.filter("kept", lambda x: x["r"] > F.col("first"))
+    g = g.withColumn("rest", rest)
+    body = F.transform("rest", lambda x, i: F.concat(F.repeat(empty, x["r"] - 1 - F.coalesce(F.get(F.col("rest"), i - 1)["r"], F.col("first"))), F.lit("\n"), x["line"]))
+    under = F.repeat(empty, F.col("n") - 1 - F.coalesce(F.get(F.col("rest"), F.size("rest") - 1)["r"], F.col("first")))
+    markdown = F.concat(head, rule, F.array_join(body, ""), under)
+    return g.select(F.col("__key").alias(key.split(".")[-1]), (F.col("n") - F.col("first")).alias("n_rows"), F.col("m").alias("n_cols"), markdown.alias("markdown"), F.col("cut").alias("truncated"))
 
 
 def render_padded(rows: Column) -> Column:

@@ -136,11 +136,14 @@ def document_markdown(pages: DataFrame, doc: str, title: str) -> DataFrame:
 
 
 def tables_markdown(tables: DataFrame, doc: str) -> DataFrame:
-    """(doc, content): the verdict table of tables.md."""
+    """(doc, content): tables.md: the verdicts, then, for repaired tables (original_markdown), what stood there before and after."""
     cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-"))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in ("page_no", "id", "content_type", "quality", "title", "reason"))), F.lit(" |"))
-    t = tables.withColumn("o", F.struct("page_no", "table_num")).groupBy(doc).agg(in_order("o", row, "\n").alias("b"))
-    return t.select(doc, F.concat(F.lit("| page | id | type | quality | title | reason |\n| --- | --- | --- | --- | --- | --- |\n"), "b").alias("content"))
+    changed = gates.was_filled(F.col("original_markdown"), F.col("markdown")) if "original_markdown" in tables.columns else F.lit(False)
+    before = F.col("original_markdown") if "original_markdown" in tables.columns else F.lit(None).cast("string")
+    part = F.when(changed, F.concat(F.lit("\n\n## "), "id", F.lit("\n\n### before\n\n"), before, F.lit("\n\n### after\n\n"), "markdown"))
+    t = tables.withColumn("o", F.struct("page_no", "table_num")).groupBy(doc).agg(in_order("o", row, "\n").alias("b"), in_order("o", F.coalesce(part, F.lit("")), "").alias("c"))
+    return t.select(doc, F.concat(F.lit("| page | id | type | quality | title | reason |\n| --- | --- | --- | --- | --- | --- |\n"), "b", "c").alias("content"))
 
 
 def nested_documents(documents: DataFrame, pages: DataFrame, tables: DataFrame, images: DataFrame, doc: str, slim: bool = False) -> DataFrame:
@@ -157,3 +160,30 @@ def nested_documents(documents: DataFrame, pages: DataFrame, tables: DataFrame,
     p = p.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", one.alias("x")))), lambda y: y["x"]).alias("pages"))
     d = documents.join(p, doc, "left").withColumn("page_count", F.coalesce(F.size("pages"), F.lit(0)))
     return d.select(doc, F.to_json(F.struct(*dcols, "page_count", "pages")).alias("json"))
+
+
+def with_page_stats(pages: DataFrame, stats: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
+    """pages with text_source and ocr_ratio of stats (keys, ...) and page_image_path of images (keys, path); null where there is none. The first path of several counts."""
+    one = images.groupBy(*keys).agg(F.min("path").alias("page_image_path"))
+    return pages.join(stats.select(*keys, "text_source", "ocr_ratio"), keys, "left").join(one, keys, "left")
+
+
+def used(pages: DataFrame, doc: str) -> DataFrame:
+    """(doc, extractors, text_sources, notes) of pages (doc, page_no, extractor, text_source, notes ARRAY<STRING>): the distinct ones in order of their names, and the notes in order of pages."""
+    notes = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("notes", F.array().cast("array<string>")).alias("n")))), lambda x: x["n"]))
+    return pages.groupBy(doc).agg(F.array_sort(F.collect_set("extractor")).alias("extractors"), F.array_sort(F.collect_set("text_source")).alias("text_sources"), notes.alias("notes"))
+
+
+def pending(rows: DataFrame, doc: str, order: str, reason: str, most: int = 5) -> DataFrame:
+    """(doc, text): the first reasons of each document, and how many more there are."""
+    r = rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, reason))), lambda x: x[reason]).alias("r"))
+    more = F.when(F.size("r") > most, F.concat(F.lit(" 외 "), (F.size("r") - most).cast("string"), F.lit("건"))).otherwise("")
+    return r.select(doc, F.concat(F.array_join(F.slice("r", 1, most), "; "), more).alias("text"))
+
+
+def label_distribution(items: DataFrame, doc: str) -> DataFrame:
+    """(doc, text): a line with each layout label, its number and its share, commonest first."""
+    counts = label_counts(items, doc)
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(doc))
+    line = F.concat(F.lit("- "), "label_ko", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), F.format_string("%.0f%%", F.bround(share * 100, 0)), F.lit(")"))
+    return counts.withColumn("line", line).groupBy(doc).agg(in_order("rank", "line", "\n").alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import gates
 from ..functions.text import strip_fences
+from . import blocks
 
 UNJUDGED = "not judged: no judge answered, the defaults stand"
 
@@ -90,3 +91,35 @@ def accept(tables: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     a = answers.select(key, strip_fences(F.col("answer")).alias("answer"))
     t = tables.join(a, key, "left").withColumn("accepted", gates.rebuild_accepted(F.col("answer"), F.col("markdown")))
     return t.withColumn("original_markdown", F.when(F.col("accepted"), F.col("markdown"))).withColumn("markdown", F.when(F.col("accepted"), F.col("answer")).otherwise(F.col("markdown"))).drop("answer")
+
+
+def promoted_pages(pages: DataFrame, promoted: DataFrame, images: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, content): pages with an empty table block after the placeholder of each promoted picture, in the order of table numbers. images (keys, id, placeholder)."""
+    doc = keys[0]
+    new = promoted.select(doc, F.col("image_id").alias("id"), "table_num").join(images.select(*keys, "id", "placeholder"), [doc, "id"])
+    per_page = new.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("table_num", "placeholder"))).alias("__new"))
+    done = F.aggregate(F.coalesce("__new", F.array().cast("array<struct<table_num:int,placeholder:string>>")), F.coalesce(F.col(content), F.lit("")), lambda s, x: blocks.insert_after(s, x["placeholder"], blocks.table_block(x["table_num"], F.lit(""))))
+    return pages.select(*keys, content).join(per_page, keys, "left").select(*keys, done.alias(content))
+
+
+def with_promoted(tables: DataFrame, promoted: DataFrame, images: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(tables and the promoted pictures, images with promoted_table_id): each knows the other."""
+    doc = keys[0]
+    p = promoted.join(images.select(*keys, F.col("id").alias("image_id")), [doc, "image_id"])
+    rows = p.select(*keys, "table_num", "id", F.concat(F.lit("<table "), F.col("table_num").cast("string"), F.lit(">")).alias("placeholder"), F.lit("").alias("markdown"), F.lit("table").alias("content_type"), F.lit("insufficient").alias("quality"), "title", F.lit(None).cast("array<string>").alias("group_image_ids"), "reason", F.col("image_id").alias("source_image_id"))
+    both = tables.withColumn("source_image_id", F.lit(None).cast("string")).unionByName(rows, allowMissingColumns=True)
+    linked = images.drop("promoted_table_id").join(promoted.select(doc, F.col("image_id").alias("id"), F.col("id").alias("promoted_table_id")), [doc, "id"], "left")
+    return both, linked
+
+
+def with_html(jobs: DataFrame, html_tables: DataFrame, doc: str) -> DataFrame:
+    """jobs (doc, table_num, ...) with table_html: the document's HTML table at the job's place, null if there are fewer. html_tables (doc, position from 0, html)."""
+    h = html_tables.select(doc, (F.col("position") + 1).cast("int").alias("table_num"), F.col("html").alias("table_html"))
+    return jobs.drop("table_html").join(h, [doc, "table_num"], "left")
+
+
+def region_text(tables: DataFrame, images: DataFrame, doc: str) -> DataFrame:
+    """tables with region_text: what the text layer has where the picture is that a table was promoted from, fenced; null without one or without text."""
+    i = images.select(doc, F.col("id").alias("source_image_id"), F.trim("text").alias("__t"))
+    block = F.when(F.coalesce("__t", F.lit("")) != "", F.concat(F.lit("```text\n"), F.col("__t"), F.lit("\n```")))
+    return tables.join(i, [doc, "source_image_id"], "left").withColumn("region_text", block).drop("__t")

@@ -32,7 +32,7 @@ _ROW = "'| ' || {first} || ' | ' || part::varchar || ' a\\|b | ' || qty::varchar
 _RULE = "chr(10) || '| --- | --- | --- |'"
 
 
-@query("with " + _NO + f"select l_orderkey, count(*)::int as n_rows, 3 as n_cols, string_agg({_ROW.format(first=chr(39) + '**' + chr(39) + ' || flag || ' + chr(39) + ' x**' + chr(39))} || case when row = 0 then {_RULE} else '' end, chr(10) order by row) as markdown from r group by l_orderkey")
+@query("with " + _NO + f"select l_orderkey, count(*)::int as n_rows, 3 as n_cols, false as truncated, string_agg({_ROW.format(first=chr(39) + '**' + chr(39) + ' || flag || ' + chr(39) + ' x**' + chr(39))} || case when row = 0 then {_RULE} else '' end, chr(10) order by row) as markdown from r group by l_orderkey")
 def grid_render(spark, sf_dir):
     """Cells as Markdown tables, bold blocks merged and pipes escaped."""
     return grid.render_grid(_cells(spark, sf_dir, False), "l_orderkey")
@@ -41,7 +41,7 @@ def grid_render(spark, sf_dir):
 @query(
     "with " + _NO + f""", s as (select l_orderkey, row, case when row % 2 = 0 then '**' || flag || ' x**' else '〃' end as first, part, qty from r), n as (select l_orderkey, max(row) as last from r group by l_orderkey),
     t as (select l_orderkey, row, {_ROW.format(first="first")} as line from s union all select l_orderkey, last + 1, '| 〃 |  |  |' from n where last % 2 = 0)
-    select l_orderkey, count(*)::int as n_rows, 3 as n_cols, string_agg(line || case when row = 0 then {_RULE} else '' end, chr(10) order by row) as markdown from t group by l_orderkey"""
+    select l_orderkey, count(*)::int as n_rows, 3 as n_cols, false as truncated, string_agg(line || case when row = 0 then {_RULE} else '' end, chr(10) order by row) as markdown from t group by l_orderkey"""
 )
 def grid_rowspan_marks(spark, sf_dir):
     """The same with cells that span two rows: the row below has the mark of a merged cell."""

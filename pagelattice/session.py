@@ -12,12 +12,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
-#: Rows up to which a side is broadcast, given that a row is a few numbers wide.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side is broadcast, as rows times `row_bytes` estimates them.
+BROADCAST_BYTES = 48 << 20
 
 
 def local_session(cpus: str = "8", **conf: str) -> SparkSession:
@@ -52,6 +53,19 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, archive.parent, True)
 
 
+#: Bytes of an Arrow batch on the way to Python: texts are long, and each worker holds several batches.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of BATCH_BYTES from here on unless the application's own configuration sets their size."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -85,8 +99,19 @@ def drop_cut(df: DataFrame) -> None:
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a narrow table if it is counted to be small; beyond that Spark joins by shuffle."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+def row_bytes(kind: T.DataType) -> int:
+    """About how many bytes a value takes in a hashed relation; strings and arrays are taken for short ones of ids and names."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(row_bytes(f.dataType) for f in kind)
+    return 8 if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else 40
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table of ids, numbers and short strings has so few rows, by a count, that it takes no more than BROADCAST_BYTES."""
+    limit = BROADCAST_BYTES // row_bytes(df.schema)
+    return df.limit(limit + 1).count() <= limit
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of a table that fits; beyond that Spark joins by shuffle."""
+    return F.broadcast(df) if fits(df) else df

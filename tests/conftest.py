@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -32,11 +33,11 @@ def rows_of(frame):
     """A pandas frame's rows as sorted text, columns by name, floats to six places."""
 
     def one(v):
-        if v is None or isinstance(v, float) and v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return round(v, 6) + 0.0 if isinstance(v, float) else str(list(v)) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else v
 
     frame = frame[sorted(frame.columns)]
     cols = [[one(v) for v in frame[c].astype(object)] for c in frame.columns]
-    cols = [[None if v is not None and v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in c] for c in cols]
+    cols = [[float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in c] for c in cols]
     return sorted(map(str, zip(*cols)))

@@ -237,6 +237,37 @@ def test_jaccard_join(spark, block):
     assert all(abs(want[k] - v) < 1e-5 for k, v in got.items())
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_jaccard_links(spark, block):
+    """Classes and numbers of links against all pairs; op4 reads no other column."""
+    d = docs(spark).where("doc_id is null or doc_id <> 10").unionByName(spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100).withColumn("extra", F.lit("")).withColumn("score", F.lit(0.0)))
+    d = d.withColumnsRenamed({"extra": "rid", "source": "component"}).withColumn("sid", F.lit(1))
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    want = brute_pairs(rows, 0.6)
+    found = set(tuple(sorted((r["id_a"], r["id_b"]))) for r in jaccard.join(d, block=block).collect())
+    assert len(found) >= 0.98 * len(want) and found <= set(want)
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    n = Counter(i for p in found for i in p)
+    got = jaccard.links(d, block=block).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted((i, find(i), n[i]) for i in root)
+    assert jaccard.links(docs(spark, [])).count() == 0
+
+
+def test_jaccard_links_several_texts(spark):
+    """One doc_id with two texts of two groups joins them, and has the links of both."""
+    a, b = words(40, 1), words(40, 2)
+    got = jaccard.links(docs(spark, [(i, t, None, None, None, None, None) for i, t in [(5, a), (1, a), (1, b), (1, b), (9, b), (7, None), (8, ""), (None, a)]]))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (5, 1, 1), (7, 7, 0), (8, 8, 0), (9, 1, 1)]
+
+
 def test_jaccard_dedup(spark):
     got = [r["doc_id"] for r in jaccard.deduplicate(docs(spark)).collect()]
     assert Counter(got) == Counter([1, 4, 5, None, 6, 7, 8, 9, 10, 10, 11])
@@ -547,7 +578,7 @@ def test_line_pairs_recall(spark):
     keys, want = near_lines(texts, 0.85)
     d = docs(spark, [(i, k, None, None, None, None, None) for i, k in enumerate(keys)])
     of = {x["rid"]: x["doc_id"] for x in lines.occurrences(d).select("doc_id", lines.rid(F.col("lid")).alias("rid")).collect()}
-    pairs = lines.close_pairs(lines.band_rows(d, *lines.bands_for(len(keys))), lines.DISTANCE, lines.SIMILARITY).collect()
+    pairs = [(r["a"], r["b"]) for r in lines.close_pairs(lines.band_rows(d, *lines.bands_for(len(keys))), lines.DISTANCE, lines.SIMILARITY).collect()]
     got = {(min(of[a], of[b]), max(of[a], of[b])) for a, b in pairs}
     assert len(want) > 500 and len(got) == len(pairs)
     assert len(got & set(want)) >= 0.9 * len(want)
