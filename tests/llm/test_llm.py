@@ -469,6 +469,51 @@ def test_templates():
     assert show("{{ x.upper }}", x="s") == ""
 
 
+PUBLISHED = """{%- set ns = namespace(n=0, system='') -%}
+{% if messages[0]['role'] == 'system' %}
+    {% set ns.system = messages[0].content | trim %}
+    {% set rest = messages[1:] %}
+{% else %}
+    {% set rest = messages %}
+{% endif %}
+{% for m in rest %}
+    {% if (m['role'] == 'user') != (loop.index0 % 2 == 0) %}
+        {{ raise_exception('roles must alternate') }}
+    {% endif %}
+    {% set ns.n = ns.n + 1 %}
+<{{ m.role }}>{{ (ns.system + '|' if loop.first and ns.system else '') + m.content }}</{{ m.role }}>
+{% endfor %}
+{% if tools is defined and tools is not none %}{{ tools | tojson }}{% endif %}
+{{ ns.n }}{% if add_generation_prompt %}<assistant>{% endif %}"""
+
+
+def test_published_templates():
+    def show(t, blocks=False, **v):
+        return chat.compile_template(t, blocks)(v)[0]
+
+    m = [{"role": r, "content": c} for r, c in (("system", " S "), ("user", "a"), ("assistant", "b"))]
+    assert show(PUBLISHED, True, messages=m, tools=[{"a": 1}], add_generation_prompt=True) == '<user>S|a</user>\n<assistant>b</assistant>\n[{"a": 1}]2<assistant>'
+    with pytest.raises(chat.TemplateError, match="alternate"):
+        show(PUBLISHED, True, messages=m[1:] + m[1:])
+    assert show("{{ {'a': {'b': [1, 2]}}['a'].b[-1] }}{{ 7 // 2 }}{{ 7 % 4 }}{{ 'abc'[::-1] }}{{ 'c' not in 'ab' }}") == "233cbatrue"
+    assert show("{{ xs|selectattr('k', 'equalto', 'a')|map(attribute='k')|join(',') }}{% for k, v in d.items() %}{{ k }}={{ v }};{% else %}none{% endfor %}", xs=[{"k": "a"}, {"k": "b"}], d={"x": 1, "y": None}) == "ax=1;y=;"
+    assert show("{% for x in xs %}{% if x == 2 %}{% continue %}{% endif %}{% if x > 3 %}{% break %}{% endif %}{{ x }}{% set y = x %}{% endfor %}{{ y }}{% for x in [] %}{% else %}e{% endfor %}", xs=[1, 2, 3, 4, 5]) == "13e"
+    assert show("{% set x %}q{{ 1 }}{% endset %}{{ x }}{% for i in range(3) if i is odd %}{{ i }}{% endfor %}{{ x is string }}{{ z is defined }}{{ m.k is defined }}{{ m.q is undefined }}", m={"k": None}) == "q11truefalsetruetrue"
+    assert show("  {% if true %}\n a\n  {% endif %}\nb", True) == " a\nb" and show("  {% if true %}\n a{% endif %}\nb") == "  \n a\nb"
+    for bad, v in (("{{ 1 / x }}", {"x": 0}), ("{{ x.items() }}", {"x": 3}), ("{% for a, b in x %}{% endfor %}", {"x": [1]}), ("{{ range(99999999) }}", {}), ("{{ x - 1 }}", {"x": "a"}), ("{{ x|abs }}", {"x": "a"}), ("{{ {x: 1} }}", {"x": []}), ("{% set x.a = 1 %}", {"x": {}})):
+        with pytest.raises(chat.TemplateError):
+            show(bad, **v)
+    for bad in ("{{ x.format('a') }}", "{% break %}", "{{ x is odder }}", "{{ x[] }}", "{{ x|map('__class__' }}", "{{ cycler() }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+
+
+def test_refused_chats(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: tuple(r)[1:] for r in chat.render_chats(df, "{% if messages[0].role != 'user' %}{{ raise_exception('no') }}{% endif %}{{ messages[0].content }}").collect()}
+    assert got == {1: (1, "a", ""), 2: (1, None, None)}
+
+
 def test_chat_cases(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "a"), (2, None, None, None), (None, 0, "user", "q"), (1, 0, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
