@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a Python worker remembers at most.
-MEMORY = 250_000
+MEMORY = 80_000
 #: Words up to this length in bytes are walked in lanes, those beyond one by one.
 LANE_BYTES = 64
 #: Trie nodes from which lanes pay, and about how many of them a lane has.
@@ -598,7 +598,7 @@ def round_trips(texts: pa.Array, ids: np.ndarray, off: np.ndarray, vocab: Vocabu
     return out
 
 
-def slices(column: pa.Array, most: int = 1 << 21):
+def slices(column: pa.Array, most: int = 1 << 20):
     """Runs of rows of at most so many bytes of text together (a longer text is a run of its own)."""
     yield from pieces(buffers(column)[1], most)
 
@@ -628,6 +628,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *added])
                 del b, cols, texts, ids
             del whole
+            give_back()
         enc.rest()
         give_back()
 
