@@ -46,6 +46,8 @@ JACCARD, RECALL = 0.52, 0.95
 STEPS = 2048
 #: Pairs of a component up to which one task takes it whole.
 LARGE = 50_000
+#: Pairs, and characters of lines, from which a task settles the components that it has read so far.
+TOGETHER, TOGETHER_CHARS = 20_000, 1 << 22
 #: Lines that a task remembers to have sent.
 SENT = 500_000
 _ODD = hashing.mix(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
@@ -284,6 +286,72 @@ def levenshtein(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+def within(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """Whether each pair of texts (arrays of code points) is at an edit distance of at most `most`: the bit-parallel program over all pairs at once, by blocks of 64 characters."""
+    ok = np.zeros(len(left), bool)
+    todo, cores = [], []
+    for i, (a, b) in enumerate(zip(left, right)):
+        if len(a) > len(b):
+            a, b = b, a
+        d = np.flatnonzero(a != b[: len(a)])
+        if not len(d):
+            ok[i] = len(b) - len(a) <= most[i]
+            continue
+        start = int(d[0])
+        d = np.flatnonzero(a[start:] != b[len(b) - len(a) + start :])
+        stop = int(d[-1]) + 1 + start if len(d) else start
+        if stop <= start:
+            ok[i] = len(b) - len(a) <= most[i]
+            continue
+        todo.append(i)
+        cores.append((a[start:stop], b[start : stop + len(b) - len(a)]))
+    order = sorted(range(len(todo)), key=lambda k: (len(cores[k][0]) + 63 >> 6, len(cores[k][1])))
+    at = 0
+    while at < len(order):
+        # long texts are compared fewer at a time
+        n = max(1, min(at_once, (1 << 24) // max(1, len(cores[order[min(at + at_once, len(order)) - 1]][0]))))
+        part = order[at : at + n]
+        at += n
+        got = _distances([cores[k] for k in part])
+        rows = [todo[k] for k in part]
+        ok[rows] = got <= most[rows]
+    return ok
+
+
+def _distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Edit distances of pairs of texts that aren't empty."""
+    p, q = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    blocks, one = int(p.max() + 63 >> 6), np.uint64(1)
+    codes = np.concatenate([x for pair in pairs for x in pair])
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if codes.max() < np.iinfo(k).max - 1)
+    most = np.iinfo(kind).max
+    pattern, text = np.full((len(p), 64 * blocks), most, kind), np.full((int(q.max()), len(p)), most - 1, kind)
+    for k, (a, b) in enumerate(pairs):
+        pattern[k, : len(a)] = a
+        text[: len(b), k] = b
+    up, down = np.full((blocks, len(p)), ~np.uint64(0)), np.zeros((blocks, len(p)), np.uint64)
+    last, bit, score = p - 1 >> 6, (p - 1 & 63).astype(np.uint64), p.copy()
+    top = np.uint64(63)
+    with np.errstate(over="ignore"):
+        for j in range(len(text)):
+            same = np.packbits(pattern == text[j][:, None], axis=1, bitorder="little").view(np.uint64)
+            plus, minus = np.ones(len(p), np.uint64), np.zeros(len(p), np.uint64)  # what comes in from above
+            on = j < q
+            for b in range(blocks):
+                eq, pv, mv = same[:, b], up[b], down[b]
+                xv = eq | mv
+                eq = eq | minus
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                here = on & (last == b)
+                score += np.where(here, ((ph >> bit) & one).astype(np.int64) - ((mh >> bit) & one).astype(np.int64), 0)
+                out_plus, out_minus = ph >> top, mh >> top
+                ph, mh = ph << one | plus, mh << one | minus
+                up[b], down[b] = mh | ~(xv | ph), ph & xv
+                plus, minus = out_plus, out_minus
+    return score
+
+
 def histograms(lines: list[str]) -> np.ndarray:
     """Counts of each text's characters in 64 classes; texts at an edit distance of d differ by at most d in what they have more or less."""
     out = np.zeros((len(lines), 64), np.int32)
@@ -314,64 +382,82 @@ def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int
     rows = rows.repartition("component", "slot").sortWithinPartitions("component", "slot", "kind", "a", "b")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("component", "node", "root")])
 
-    def settle(rid: list[int], line: list[str], a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        at = {r: i for i, r in enumerate(rid)}
+    def settle(rid: list[int], line: list[str], a: list[int], b: list[int]) -> list[int]:
+        """The least rid of each text's group, -1 for texts alone; pairs (a, b) of places. Components may be several."""
         root = list(range(len(rid)))
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
+        def find(up: list[int], i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
             return i
 
-        x = np.array([at[r] for r in a])
-        y = np.array([at[r] for r in b])
+        x, y = np.array(a), np.array(b)
         size = np.array([len(t) for t in line])
-        longer = np.maximum(size[x], size[y])
-        most = np.floor(longer * (1 - least) + 1e-9)
+        most = np.floor(np.maximum(size[x], size[y]) * (1 - least) + 1e-9)
         ok = np.abs(size[x] - size[y]) <= most
         h = histograms(line)
         for k in range(0, len(x), 1 << 14):
             d = h[x[k : k + (1 << 14)]] - h[y[k : k + (1 << 14)]]
             ok[k : k + (1 << 14)] &= np.maximum(np.where(d > 0, d, 0).sum(1), -np.where(d < 0, d, 0).sum(1)) <= most[k : k + (1 << 14)]
-        for i, j, m in zip(x[ok].tolist(), y[ok].tolist(), most[ok].tolist()):
-            p, q = find(i), find(j)
-            if p != q and levenshtein(line[i], line[j], m) <= m:
+        del h
+        x, y, most = x[ok], y[ok], most[ok]
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in line]
+        share = 0.0
+        while len(x):
+            # pairs that would hang all together if all were similar come first: then the others needn't be compared; more of the others each time
+            trial, tree = list(root), np.zeros(len(x), bool)
+            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+                p, q = find(trial, i), find(trial, j)
+                if p != q:
+                    trial[q] = p
+                    tree[k] = True
+            if share:
+                tree[np.flatnonzero(~tree)[: int(share * len(x))]] = True
+            if len(x) < 1024:
+                share = 1.0
+            share = min(1.0, share + 0.25)
+            same = np.flatnonzero(tree)
+            good = same[within([codes[i] for i in x[same].tolist()], [codes[j] for j in y[same].tolist()], most[same])]
+            for i, j in zip(x[good].tolist(), y[good].tolist()):
+                p, q = find(root, i), find(root, j)
                 root[max(p, q)] = min(p, q)
-        low: dict[int, int] = {}
-        count: dict[int, int] = {}
-        for i, r in enumerate(rid):
-            p = find(i)
-            low[p] = min(low.get(p, r), r)
-            count[p] = count.get(p, 0) + 1
-        return [(r, low[find(i)]) for i, r in enumerate(rid) if count[find(i)] > 1]
+            now = np.array([find(root, i) for i in range(len(root))])
+            left = ~tree & (now[x] != now[y])
+            x, y, most = x[left], y[left], most[left]
+        now = np.array([find(root, i) for i in range(len(root))], np.int64)
+        low = np.full(len(now), np.iinfo(np.int64).max)
+        np.minimum.at(low, now, np.array(rid, np.int64))
+        return np.where(np.bincount(now, minlength=len(now))[now] > 1, low[now], -1).tolist()
 
     def run(batches):
-        now, rid, line, a, b = None, [], [], [], []
-        out: list[tuple[int, int, int]] = []
-
-        def done():
-            if a:
-                out.extend((now[0], *x) for x in settle(rid, line, a, b))
+        now, at = None, {}
+        of, rid, line, a, b, chars = [], [], [], [], [], 0
 
         def flush():
-            cols = list(zip(*out)) or [(), (), ()]
-            out.clear()
+            nonlocal at, of, rid, line, a, b, chars
+            roots = settle(rid, line, a, b) if a else []
+            some = [k for k, r in enumerate(roots) if r != -1 or rid[k] == -1]
+            cols = ([of[k] for k in some], [rid[k] for k in some], [roots[k] for k in some])
+            at, of, rid, line, a, b, chars = {}, [], [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
 
         for batch in batches:
             for c, slot, kind, x, y, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (c, slot) != now:
-                    done()
-                    now, rid, line, a, b = (c, slot), [], [], [], []
+                    # whole components are settled together, as many as make it worth while
+                    if len(a) > TOGETHER or chars > TOGETHER_CHARS:
+                        yield flush()
+                    now, at = (c, slot), {}
                 if kind == 0:
+                    at[x] = len(rid)
+                    of.append(c)
                     rid.append(x)
                     line.append(t)
+                    chars += len(t)
                 else:
-                    a.append(x)
-                    b.append(y)
-            yield flush()
-        done()
+                    a.append(at[x])
+                    b.append(at[y])
         yield flush()
         del rid, line, a, b
         hashing.give_back()

@@ -494,7 +494,7 @@ def test_published_templates():
     m = [{"role": r, "content": c} for r, c in (("system", " S "), ("user", "a"), ("assistant", "b"))]
     assert show(PUBLISHED, True, messages=m, tools=[{"a": 1}], add_generation_prompt=True) == '<user>S|a</user>\n<assistant>b</assistant>\n[{"a": 1}]2<assistant>'
     with pytest.raises(chat.TemplateError, match="alternate"):
-        show(PUBLISHED, True, messages=m[1:] + m[1:])
+        show(PUBLISHED, True, messages=m[1:2] * 2)
     assert show("{{ {'a': {'b': [1, 2]}}['a'].b[-1] }}{{ 7 // 2 }}{{ 7 % 4 }}{{ 'abc'[::-1] }}{{ 'c' not in 'ab' }}") == "233cbatrue"
     assert show("{{ xs|selectattr('k', 'equalto', 'a')|map(attribute='k')|join(',') }}{% for k, v in d.items() %}{{ k }}={{ v }};{% else %}none{% endfor %}", xs=[{"k": "a"}, {"k": "b"}], d={"x": 1, "y": None}) == "ax=1;y=;"
     assert show("{% for x in xs %}{% if x == 2 %}{% continue %}{% endif %}{% if x > 3 %}{% break %}{% endif %}{{ x }}{% set y = x %}{% endfor %}{{ y }}{% for x in [] %}{% else %}e{% endfor %}", xs=[1, 2, 3, 4, 5]) == "13e"
