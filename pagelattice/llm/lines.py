@@ -48,6 +48,8 @@ STEPS = 2048
 LARGE = 50_000
 #: Pairs, and characters of lines, from which a task settles the components that it has read so far.
 TOGETHER, TOGETHER_CHARS = 20_000, 1 << 22
+#: Characters, after what two texts share at their ends, up to which pairs are compared at once; longer ones one by one.
+AT_ONCE = 448
 #: Lines that a task remembers to have sent.
 SENT = 500_000
 _ODD = hashing.mix(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
@@ -249,8 +251,8 @@ def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, schema).repartition("a").dropDuplicates(["a", "b"]).mapInArrow(forest, marked)
 
 
-def levenshtein(a: str, b: str, most: int | None = None) -> int:
-    """Edit distance, bit-parallel over whole strings; of one above `most`, if given, only that it is."""
+def levenshtein(a: str | list[int], b: str | list[int], most: int | None = None) -> int:
+    """Edit distance of texts or lists of code points, bit-parallel over whole strings; of one above `most`, if given, only that it is."""
     n = min(len(a), len(b))
     i = 0
     while i < n and a[i] == b[i]:
@@ -261,7 +263,7 @@ def levenshtein(a: str, b: str, most: int | None = None) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return len(a) or len(b)
-    where: dict[str, int] = {}
+    where: dict[str | int, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
@@ -303,15 +305,17 @@ def within(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray, at
         if stop <= start:
             ok[i] = len(b) - len(a) <= most[i]
             continue
+        a, b = a[start:stop], b[start : stop + len(b) - len(a)]
+        if len(b) > AT_ONCE:
+            ok[i] = levenshtein(a.tolist(), b.tolist(), int(most[i])) <= most[i]
+            continue
         todo.append(i)
-        cores.append((a[start:stop], b[start : stop + len(b) - len(a)]))
+        cores.append((a, b))
     order = sorted(range(len(todo)), key=lambda k: (len(cores[k][0]) + 63 >> 6, len(cores[k][1])))
     at = 0
     while at < len(order):
-        # long texts are compared fewer at a time
-        n = max(1, min(at_once, (1 << 24) // max(1, len(cores[order[min(at + at_once, len(order)) - 1]][0]))))
-        part = order[at : at + n]
-        at += n
+        part = order[at : at + at_once]
+        at += at_once
         got = _distances([cores[k] for k in part])
         rows = [todo[k] for k in part]
         ok[rows] = got <= most[rows]
