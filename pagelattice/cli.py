@@ -12,12 +12,29 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pagelattice", description="Documents to structured records")
     p.add_argument("input", nargs="?")
     p.add_argument("--out", default="out")
-    for flag in ("--slim", "--no-llm", "--fill-all", "--list-options"):
+    p.add_argument("--glob", help="only files with such names")
+    p.add_argument("--format", choices=("text", "markdown", "xml"), help="only convert HTML files")
+    for flag in ("--slim", "--no-llm", "--no-assess", "--no-fill", "--fill-all", "--unique", "--list-options"):
         p.add_argument(flag, action="store_true")
     p.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
     return p
 
 
+def convert(spark, source: str, out: str, form: str, glob: str | None) -> int:
+    """HTML files as text, Markdown or XML: (path, content) below out."""
+    from pyspark.sql import functions as F
+
+    from .sources import files, html
+
+    try:
+        found = files.scan(spark, source, suffixes=(".html", ".htm"), glob=glob)
+    except FileNotFoundError as e:
+        print(e, file=sys.stderr)
+        return 1
+    html.render(html.page_blocks(found.select("path", F.decode("content", "UTF-8").alias("html"))), ["path"], form).write.mode("overwrite").json(out)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.list_options:
@@ -35,18 +52,20 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .api import Batch
-    from .providers import HttpProvider
 
-    own["fill_all"] = a.fill_all
-    o = config.resolve(own)
-    provider = None if a.no_llm or not o["llm_url"] else HttpProvider(o["llm_url"], o["llm_model"], o["llm_key"], o["llm_timeout"], HttpProvider(o["fallback_url"], o["fallback_model"], o["fallback_key"], o["fallback_timeout"]) if o["fallback_enabled"] and o["fallback_url"] else None)
-    b = Batch(SparkSession.builder.getOrCreate(), a.input, judge=(lambda r: provider(r)) if provider else None, **own)
+    spark = SparkSession.builder.getOrCreate()
+    if a.format:
+        return convert(spark, a.input, a.out, a.format, a.glob)
+    own |= {"fill_all": a.fill_all, "assess_tables": not a.no_assess, "fill_tables": not a.no_fill}
+    if a.no_llm:
+        own |= {"llm_url": "", "picture_url": "", "llm_adapter": ""}
     try:
+        b = Batch(spark, a.input, glob=a.glob, **own)
         b.run()
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 1
-    b.save(a.out, a.slim)
+    b.save(a.out, a.slim, a.unique)
     b.summary().show(truncate=False)
     return 0 if b.failures.isEmpty() else 1
 

@@ -58,6 +58,19 @@ def resolve(own: dict[str, Any] | None = None) -> dict[str, Any]:
     return out
 
 
+#: What recognisers call languages.
+_NAMES = {"rapidocr": {"ko": "korean", "en": "english", "ja": "japan", "zh": "chinese"}, "tesseract": {"ko": "kor", "en": "eng", "ja": "jpn", "zh": "chi_sim"}}
+
+
+def layout_options(o: dict[str, Any]) -> dict[str, Any]:
+    """What a layout reader of another package (register it by files.register_reader) is to be set to; languages as its recogniser calls them."""
+    ocr = (o["ocr_backend"] or "rapidocr").lower()
+    langs = [_NAMES.get(ocr if ocr in ("rapidocr", "easyocr", "auto") else "tesseract", {}).get(x, x) for x in (p.strip() for p in o["ocr_lang"].split(",")) if x]
+    recogniser = {"backend": ocr, "languages": langs, "full_page": o["force_full_page_ocr"]} | ({"runtime": o["rapidocr_runtime"]} if ocr == "rapidocr" else {})
+    model = {"name": o["vlm_model"], "device": o["device"] if o["vlm_device"] == "auto" else o["vlm_device"], "dtype": o["vlm_dtype"], "max_tokens": o["vlm_max_tokens"]} if o["vlm_model"] else None
+    return {"recogniser": recogniser, "backend": o["pdf_backend"] or "auto", "device": o["device"], "threads": o["num_threads"] or None, "threaded": o["threaded_pipeline"], "keep_cells": o["generate_parsed_pages"], "formulas": o["code_formula_enrichment"], "model": model, "tables": True, "pictures": True}
+
+
 def mask(value: str) -> str:
     """A secret as it may be shown."""
     short = len(value) <= 10

@@ -65,8 +65,13 @@ def area_ratio(l: Column, t: Column, r: Column, b: Column) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.abs(r - l) * F.abs(b - t) / A4), F.lit(1.0))
 
 
-def should_read_picture(vlm_markdown: Column, region_kind: Column, path: Column, ratio: Column) -> Column:
-    return vlm_markdown.isNull() & (region_kind.isNull() | (region_kind == "image")) & path.isNotNull() & (ratio >= 0.03)
+#: The share of its page from which a picture is read.
+PICTURE = 0.03
+
+
+def should_read_picture(vlm_markdown: Column, region_kind: Column, path: Column, ratio: Column, least: float = PICTURE) -> Column:
+    """Pictures that are in a file, aren't known to be something else, weren't read yet and aren't too small; a null ratio is large enough."""
+    return vlm_markdown.isNull() & (region_kind.isNull() | (region_kind == "image")) & path.isNotNull() & (F.coalesce(ratio, F.lit(1.0)) >= least)
 
 
 def picture_answer_ok(answer: Column) -> Column:
@@ -108,8 +113,8 @@ def spread_enough(last: Column, count: Column, total: Column, want: Column) -> C
 
 
 def keeps_cells(source: Column, output: Column) -> Column:
-    """Whether an answer keeps four fifths of the source cells that have two Hangul syllables or more (arrays of texts)."""
-    key = F.array_distinct(F.filter(source, lambda c: c.rlike("[가-힣].*[가-힣]")))
+    """Whether an answer keeps four fifths of the source cells that have two Hangul syllables together (arrays of texts)."""
+    key = F.array_distinct(F.filter(source, lambda c: c.rlike("[가-힣]{2}")))
     return (F.size(key) == 0) | (F.size(F.array_except(key, output)) <= 0.2 * F.size(key))
 
 

@@ -63,6 +63,12 @@ def inject(pages: DataFrame, doc: str, order: str, content: str = "content") ->
     return out, tables
 
 
+def cell_set(markdown: Column) -> Column:
+    """The distinct texts of a Markdown table's cells, rules left out."""
+    lines = F.filter(F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[|][-:\s|]+[|]$"))
+    return F.array_distinct(F.filter(F.flatten(F.transform(lines, lambda r: F.transform(F.split(r, "[|]"), lambda c: F.trim(c)))), lambda c: c != ""))
+
+
 def block_pattern(num: Column) -> Column:
     """The pattern of one table's block."""
     n = num.cast("string")

@@ -23,11 +23,14 @@ BOUNDARIES = [
 PLAIN = 200
 
 
-def split_breaks(pages: DataFrame, doc: str, order: str, content: str = "content") -> DataFrame:
-    """(doc, page_no, content): pages cut at form feeds, blank parts left out, numbered through the document."""
+def split_breaks(pages: DataFrame, doc: str, order: str, content: str = "content", shared: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, page_no, content): pages cut at form feeds, blank parts left out, numbered through the document; the shared columns (traces) go to each
+    part, the first ones (preview pictures) to a page's first part only."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    p = pages.select(doc, order, F.posexplode(F.split(content, "\f", -1)).alias("part", "c")).select(doc, order, "part", strip(F.col("c")).alias(content)).where(F.col(content) != "")
-    return p.select(doc, F.row_number().over(Window.partitionBy(doc).orderBy(order, "part")).alias("page_no"), content)
+    parts = F.filter(F.transform(F.split(content, "\f", -1), strip), lambda c: c != "")
+    p = pages.select(doc, order, *shared, *first, F.posexplode(parts).alias("__part", "__c"))
+    only = [F.when(F.col("__part") == 0, F.col(c)).alias(c) for c in first]
+    return p.select(doc, F.row_number().over(Window.partitionBy(doc).orderBy(order, "__part")).alias("page_no"), F.col("__c").alias(content), *shared, *only)
 
 
 def find_boundaries(lines: list[str], least: int) -> tuple[str, list[int]]:

@@ -98,16 +98,58 @@ def header_rows(rows: Column, most: int = 3) -> Column:
     return out
 
 
+def merge_headers(rows: Column, h: Column) -> Column:
+    """rows with the first h merged into one: each column's distinct texts, joined; of one or none nothing changes."""
+    top = F.slice(rows, F.lit(1), F.greatest(h, F.lit(1)))
+    texts = lambda c: F.filter(F.transform(top, lambda r: F.trim(F.coalesce(F.get(r, c), F.lit("")))), lambda x: x != "")
+    row = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(top, lambda r: F.size(r))) - 1), lambda c: F.array_join(F.array_distinct(texts(c)), " "))
+    return F.when(h <= 1, rows).otherwise(F.concat(F.array(row), F.slice(rows, h + 1, F.greatest(F.size(rows) - h, F.lit(0)))))
+
+
 def flatten_headers(rows: Column, most: int = 3) -> Column:
     """The header rows merged into one: each column's distinct texts, joined."""
+    return F.when(F.size(rows) > 0, X.let(header_rows(rows, most), lambda h: merge_headers(rows, h))).otherwise(rows)
+
+
+#: Header rows of a table that a layout model read, at most.
+MAX_HEADERS = 3
 
-    def merged(h: Column) -> Column:
-        top = F.slice(rows, F.lit(1), h)
-        texts = lambda c: F.filter(F.transform(top, lambda r: F.trim(F.coalesce(F.get(r, c), F.lit("")))), lambda x: x != "")
-        row = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(top, lambda r: F.size(r))) - 1), lambda c: F.array_join(F.array_distinct(texts(c)), " "))
-        return F.when(h <= 1, rows).otherwise(F.concat(F.array(row), F.slice(rows, h + 1, F.greatest(F.size(rows) - h, F.lit(0)))))
 
-    return F.when(F.size(rows) > 0, X.let(header_rows(rows, most), merged)).otherwise(rows)
+def draw_positioned(tables: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """(key, header_rows, markdown) of tables (key, n_rows, n_cols) and cells (key, cell_no, row0, row1, row_span, col0, col1, col_span, column_header, text; ends excluded).
+
+    A header's text stands in all slots that it spans, the first of several counts; other text only at its top left, the last counts and
+    goes before a header's. An end that is null or not beyond its begin comes from the span. Headers are the rows from the top that
+    column headers cover, MAX_HEADERS at most; several are merged. Empty rows at the end go.
+
+    Defined cases: a table without cells, rows or columns has an empty Markdown; cells that begin outside are left out, blank ones as well;
+    null keys have no table; repeated cells change nothing; tables of other columns of any name pass none of them on.
+    """
+    begin = lambda c: F.coalesce(F.col(f"{c}0"), F.lit(0)).cast("int")
+    end = lambda c: F.when(F.col(f"{c}1") > begin(c), F.col(f"{c}1")).otherwise(begin(c) + F.greatest(F.coalesce(F.col(f"{c}_span"), F.lit(1)), F.lit(1))).cast("int")
+    t = tables.select(F.col(key).alias("__key"), F.col("n_rows").cast("int").alias("n"), F.col("n_cols").cast("int").alias("m"))
+    c = cells.select(F.col(key).alias("__key"), "cell_no", begin("row").alias("r0"), end("row").alias("r1"), begin("col").alias("c0"), end("col").alias("c1"), F.coalesce("column_header", F.lit(False)).alias("head"), F.trim(F.coalesce("text", F.lit(""))).alias("text")).join(t, "__key")
+    whole = Window.partitionBy("__key")
+    covered = [F.coalesce(F.bool_or(F.col("head") & (F.col("r0") <= k) & (F.col("r1") > k) & (F.col("n") > k)).over(whole), F.lit(False)) for k in range(MAX_HEADERS)]
+    h = F.lit(MAX_HEADERS)
+    for k in range(MAX_HEADERS - 1, -1, -1):
+        h = F.when(covered[k], h).otherwise(k)
+    c = c.withColumn("h", h).where((F.col("text") != "") & (F.col("r0") >= 0) & (F.col("r0") < F.col("n")) & (F.col("c0") >= 0) & (F.col("c0") < F.col("m")))
+    c = c.withColumn("head", F.col("head") | (F.col("r0") < F.col("h")))
+    last = lambda a, b, n: F.when(F.col("head"), F.least(F.col(b), F.col(n)) - 1).otherwise(F.col(a))
+    s = c.select("__key", "m", "h", "cell_no", "head", "text", F.explode(F.sequence("r0", last("r0", "r1", "n"))).alias("r"), "c0", last("c0", "c1", "m").alias("c1")).select("__key", "m", "h", "cell_no", "head", "text", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    first, newest = F.min_by(F.when(F.col("head"), F.col("text")), F.when(F.col("head"), F.col("cell_no"))), F.max_by(F.when(~F.col("head"), F.col("text")), F.when(~F.col("head"), F.col("cell_no")))
+    slot = s.groupBy("__key", "m", "h", "r", "c").agg(F.coalesce(newest, first).alias("v"))
+    blank = lambda n: F.array_repeat(F.lit(""), n)
+    row = slot.groupBy("__key", "m", "h", "r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("x"))
+    filled = F.flatten(F.transform("x", lambda e, i: F.concat(blank(e["c"] - 1 - F.coalesce(F.get(F.col("x"), i - 1)["c"], F.lit(-1))), F.array(e["v"]))))
+    row = row.select("__key", "m", "h", F.struct("r", F.concat(filled, blank(F.col("m") - 1 - F.get(F.col("x"), F.size("x") - 1)["c"])).alias("v")).alias("row"))
+    g = row.groupBy("__key", "m", "h").agg(F.array_sort(F.collect_list("row")).alias("x"))
+    rows = F.flatten(F.transform("x", lambda e, i: F.concat(F.array_repeat(blank(F.col("m")), e["r"] - 1 - F.coalesce(F.get(F.col("x"), i - 1)["r"], F.lit(-1))), F.array(e["v"]))))
+    g = g.withColumn("rows", rows).withColumn("k", F.least(F.col("h"), F.size("rows")))
+    drawn = g.select("__key", F.col("h"), render_padded(merge_headers(F.col("rows"), F.col("k"))).alias("md"))
+    out = t.join(drawn, "__key", "left")
+    return out.select(F.col("__key").alias(key.split(".")[-1]), F.coalesce("h", F.lit(0)).alias("header_rows"), F.coalesce("md", F.lit("")).alias("markdown"))
 
 
 def structure_gap(tables: DataFrame, cells: DataFrame, key: str) -> DataFrame:
@@ -128,14 +170,17 @@ def structure_gap(tables: DataFrame, cells: DataFrame, key: str) -> DataFrame:
 
 
 def slim_cells(cells: DataFrame, key: str) -> DataFrame:
-    """(key, slim): a table's cells as a JSON list, spans and flags only where they say something."""
+    """(key, slim): a table's cells as a JSON list, spans and flags only where they say something; row_header and page_no if the cells have them."""
+    flag = lambda c: F.when(F.col(c), F.lit(True))
     one = F.struct(
         F.col("row").alias("r"),
         F.col("col").alias("c"),
         F.col("text"),
         F.when(F.col("rowspan") > 1, F.col("rowspan")).alias("rs"),
         F.when(F.col("colspan") > 1, F.col("colspan")).alias("cs"),
-        F.when(F.col("is_header"), F.lit(True)).alias("header"),
+        flag("is_header").alias("header"),
+        *[flag("row_header").alias("row_header")] * ("row_header" in cells.columns),
+        *[F.col("page_no").alias("page")] * ("page_no" in cells.columns),
     )
     return cells.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("slim"))
 

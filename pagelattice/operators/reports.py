@@ -187,3 +187,70 @@ def label_distribution(items: DataFrame, doc: str) -> DataFrame:
     share = F.col("n") / F.sum("n").over(Window.partitionBy(doc))
     line = F.concat(F.lit("- "), "label_ko", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), F.format_string("%.0f%%", F.bround(share * 100, 0)), F.lit(")"))
     return counts.withColumn("line", line).groupBy(doc).agg(in_order("rank", "line", "\n").alias("text"))
+
+
+#: What extractors do, and where text comes from, for the legend of pipeline.md.
+EXTRACTORS = {"hwp": "records of a binary file", "hwpx": "XML of an archive", "pdf": "text layer", "html": "HTML blocks", "ocr": "recognised lines"}
+SOURCE_TEXTS = {"ocr": "all text was recognised", "mixed": "some text was recognised", "text_layer": "the text layer as it is", "empty": "nothing was found", "unmeasured": "cells weren't kept"}
+#: Stages that a faster device shortens.
+ON_DEVICE = ("PDF 추출",)
+
+
+def pipeline_report(documents: DataFrame, settings: DataFrame, timings: DataFrame, pages: DataFrame, logs: DataFrame, doc: str) -> DataFrame:
+    """(doc, content): pipeline.md of documents (doc, failed_pages ARRAY<INT>), settings (doc, name, value), timings (doc, stage, seconds), pages (doc, page_no, extractor, text_source, ocr_ratio, cell_count,
+    table_count, picture_count, rendered, assessed, refilled ARRAY<STRING>, notes ARRAY<STRING>) and logs (doc, page_no, log). A part without rows is left out."""
+    text = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    s = lambda c: F.col(c).cast("string")
+    set_ = settings.groupBy(doc).agg(in_order("name", text("| `", F.col("name"), "` | ", F.coalesce(s("value"), F.lit("-")), " |"), "\n").alias("__set"))
+    t = timing_shares(timings, doc)
+    gpu = F.when(F.col("stage").isin(*ON_DEVICE), "O").otherwise("X")
+    row = text("| ", F.col("stage"), " | ", F.format_string("%.1f", F.bround("seconds", 1)), " | ", F.format_string("%.0f%%", F.bround(F.col("share") * 100, 0)), " | ", gpu, " |")
+    t = t.where("total > 0").withColumn("o", F.struct(-F.col("seconds"), "stage")).groupBy(doc).agg(F.max("total").alias("__total"), in_order("o", row, "\n").alias("__times"))
+    source = F.when(F.col("text_source").isin(*_SHOWN), label_with_ratio(lookup(F.col("text_source"), SOURCES), F.col("text_source"), F.col("ocr_ratio"))).otherwise(lookup(F.col("text_source"), SOURCES))
+    yes = lambda c: F.when(F.col(c), "O").otherwise("-")
+    again = F.when(F.size("refilled") > 0, F.size("refilled").cast("string")).otherwise("-")
+    line = text("| ", F.concat_ws(" | ", s("page_no"), "extractor", source, F.coalesce(s("cell_count"), F.lit("-")), s("table_count"), s("picture_count"), yes("rendered"), yes("assessed"), again), " |")
+    note = F.array_join(F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: text("\n- p.", s("page_no"), ": ", n)), "")
+    legend = lambda c, names, texts: F.array_join(F.transform(F.array_sort(F.array_except(F.collect_set(c), F.array(F.lit("n/a")))), lambda x: text("- **", names(x), "** — ", F.coalesce(F.element_at(F.create_map(*(F.lit(y) for kv in texts.items() for y in kv)), x), F.lit("?")))), "\n")
+    p = pages.groupBy(doc).agg(in_order("page_no", line, "\n").alias("__pages"), in_order("page_no", note, "").alias("__notes"), F.concat_ws("\n", legend("extractor", lambda x: x, EXTRACTORS), legend("text_source", lambda x: lookup(x, SOURCES), SOURCE_TEXTS)).alias("__legend"))
+    g = logs.groupBy(doc).agg(in_order("page_no", text("### 페이지 ", s("page_no"), "\n\n```\n", F.col("log"), "\n```\n"), "\n").alias("__logs"))
+    failed = F.when(F.size("failed_pages") > 0, text("\n- 빠진 페이지: ", F.array_join(F.transform("failed_pages", lambda x: x.cast("string")), ", ")))
+    d = documents.select(doc, failed.alias("__failed")).join(set_, doc, "left").join(t, doc, "left").join(p, doc, "left").join(g, doc, "left")
+    part = lambda head, c: F.when(F.col(c).isNotNull(), text(head, F.col(c)))
+    notes = F.concat(F.coalesce("__failed", F.lit("")), F.coalesce("__notes", F.lit("")))
+    return d.select(
+        doc,
+        F.concat(
+            F.concat_ws(
+                "\n\n",
+                F.lit("# 처리 이력"),
+                part("## 설정\n\n| 항목 | 값 |\n| --- | --- |\n", "__set"),
+                F.when(F.col("__times").isNotNull(), text("## 소요 시간 (총 ", F.format_string("%.1f", F.bround("__total", 1)), "초)\n\n| 단계 | 초 | 비중 | GPU |\n| --- | --- | --- | --- |\n", F.col("__times"))),
+                part("## 페이지\n\n| 페이지 | 추출기 | 출처 | 셀 | 표 | 그림 | 렌더 | 평가 | 재추출 |\n| --- | --- | --- | --- | --- | --- | --- | --- | --- |\n", "__pages"),
+                F.when(notes != "", text("## 특이사항\n", notes)),
+                part("## 로그\n\n", "__logs"),
+                part("## 설명\n\n", "__legend"),
+            ),
+            F.lit("\n"),
+        ).alias("content"),
+    )
+
+
+def layout_report(items: DataFrame, pairs: DataFrame, doc: str) -> DataFrame:
+    """(doc, content): layout.md of items (doc, page_no, item_order, label, outcome, ref, text, box) and pairs (doc, page_no, a_order, b_order, ratio) that overlap: labels with their numbers and outcomes, what was dropped, the regions of each page."""
+    text = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    s = lambda c: F.col(c).cast("string")
+    counts = label_counts(items, doc).groupBy(doc).agg(in_order("rank", text("| ", F.col("label_ko"), " (`", F.col("label"), "`) | ", s("n"), " | ", F.col("outcomes"), " |"), "\n").alias("__labels"))
+    n = lambda k: F.format_string("%.0f", F.bround(F.col(f"box.{k}"), 0))
+    box = F.when(F.col("box").isNotNull(), F.concat_ws(",", *(n(k) for k in "ltrb"))).otherwise("-")
+    body = F.coalesce("text", F.lit(""))
+    row = text("| ", F.concat_ws(" | ", s("item_order"), lookup(F.col("label"), LABELS), box, F.length(body).cast("string"), lookup(F.col("outcome"), OUTCOMES), F.coalesce("ref", F.lit("-")), F.replace(body, F.lit("|"), F.lit("\\|"))), " |")
+    page = items.groupBy(doc, "page_no").agg(in_order("item_order", row, "\n").alias("__rows"), F.count_if(F.col("outcome") == "dropped").alias("__dropped"))
+    label = items.select(doc, "page_no", "item_order", lookup(F.col("label"), LABELS).alias("label"))
+    named = pairs.join(label.select(doc, "page_no", F.col("item_order").alias("a_order"), F.col("label").alias("a")), [doc, "page_no", "a_order"]).join(label.select(doc, "page_no", F.col("item_order").alias("b_order"), F.col("label").alias("b")), [doc, "page_no", "b_order"])
+    line = text("- #", s("a_order"), " ", F.col("a"), " ↔ #", s("b_order"), " ", F.col("b"), " (겹침 ", F.format_string("%.0f%%", F.bround(F.col("ratio") * 100, 0)), ")")
+    over = named.withColumn("o", F.struct("a_order", "b_order")).groupBy(doc, "page_no").agg(in_order("o", line, "\n").alias("__over"))
+    whole = text("### 페이지 ", s("page_no"), "\n\n| # | 라벨 | 좌표 | 글자수 | 처리 | 산출물 | 내용 |\n| --- | --- | --- | --- | --- | --- | --- |\n", F.col("__rows"), F.coalesce(text("\n\n", F.col("__over")), F.lit("")))
+    p = page.join(over, [doc, "page_no"], "left").groupBy(doc).agg(in_order("page_no", whole, "\n\n").alias("__pages"), F.sum("__dropped").alias("__n"))
+    dropped = F.when(F.col("__n") > 0, text("버려진 영역 ", s("__n"), "개"))
+    return counts.join(p, doc).select(doc, F.concat(F.concat_ws("\n\n", F.lit("# 레이아웃"), text("## 라벨\n\n| 라벨 | 개수 | 처리 |\n| --- | --- | --- |\n", F.col("__labels")), dropped, F.col("__pages")), F.lit("\n")).alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boxes, checks, grids, judging, pages, reporting, sources, text  # noqa: F401  (they register their queries)
+from . import boxes, checks, grids, judging, pages, reporting, sources, stages, text  # noqa: F401  (they register their queries)
 from .base import REGISTRY
 
 

@@ -38,7 +38,7 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")
 
 
-_LINES = "l as (select doc_id, trim(u.x) as x, u.i from documents, unnest(string_split(coalesce(text, ''), chr(10)), range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) as u(x, i) where doc_id is not null) "
+_LINES = "l as (select doc_id, trim(x) as x, i from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents where doc_id is not null)) "
 
 
 @query("with " + _LINES + "select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as block_no, 'paragraph' as kind, x as text from l where x <> ''")
@@ -169,7 +169,7 @@ def html_tables(spark, sf_dir):
 
     pages = _files(_nations(spark, sf_dir), make).select(F.col("path").cast("int").alias("c_nationkey"), F.decode("content", "UTF-8").alias("html"))
     b = html.page_blocks(pages).where("kind = 'table'")
-    return b.select("c_nationkey", F.array_join(F.transform("rows", lambda r: F.array_join(r, "/")), ";").alias("grid"))
+    return b.select("c_nationkey", F.array_join(F.transform("cells", lambda r: F.array_join(r, "/")), ";").alias("grid"))
 
 
 #: Lines of a page of the PDF files, their distance and their size.

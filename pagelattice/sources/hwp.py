@@ -423,15 +423,18 @@ def document(body: list[bytes], packed: bool = True, flags: int = 0, **streams:
 ENOUGH = 200
 
 
-def best(files: DataFrame) -> DataFrame:
-    """(path, way, text, reason): the tree's Markdown if it has ENOUGH characters; else the bare characters if they are more, the short tree, or the preview. reason: why the first way failed."""
+def best(files: DataFrame, html: DataFrame | None = None) -> DataFrame:
+    """(path, way, text, reason): the tree's Markdown if it has ENOUGH characters; else that of a conversion to HTML (path, text, null if it lost content), the bare characters if they are more, the short tree, or the preview. reason: why the first way failed."""
     c = cut(extract(files), "hwp")
     tree = to_markdown(c.where("way = 'tree' and ok").drop("text").withColumnRenamed("block_text", "text"))
     size = F.length("content")
     long = tree.where(size >= ENOUGH).select("path", F.lit(0).alias("rank"), F.lit("tree").alias("way"), F.col("content").alias("text"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
-    short = tree.where(size < ENOUGH).select("path", F.lit(2).alias("rank"), F.lit("tree").alias("way"), F.col("content").alias("text"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
+    short = tree.where(size < ENOUGH).select("path", F.lit(3).alias("rank"), F.lit("tree").alias("way"), F.col("content").alias("text"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
     raw = c.where("way = 'text' and ok").select("path", clean_raw(F.col("text")).alias("text")).join(tree.select("path", size.alias("n")), "path", "left")
-    raw = raw.select("path", F.lit(1).alias("rank"), F.lit("text").alias("way"), "text", F.length("text") > F.coalesce("n", F.lit(0)), F.lit(None).cast("string").alias("reason"))
-    seen = c.where("way = 'preview' and ok").select("path", F.lit(3).alias("rank"), F.lit("preview").alias("way"), "text", F.lit(True), F.lit(None).cast("string"))
+    raw = raw.select("path", F.lit(2).alias("rank"), F.lit("text").alias("way"), "text", F.length("text") > F.coalesce("n", F.lit(0)), F.lit(None).cast("string").alias("reason"))
+    seen = c.where("way = 'preview' and ok").select("path", F.lit(4).alias("rank"), F.lit("preview").alias("way"), "text", F.lit(True), F.lit(None).cast("string"))
     failed = c.where("not ok").select("path", F.lit(-1).alias("rank"), "way", F.lit(None).cast("string"), F.lit(False), "reason").where("way = 'tree'")
-    return best_extraction(long.unionAll(short).unionAll(raw).unionAll(seen).unionAll(failed).dropDuplicates(["path", "rank"]), "path")
+    ways = long.unionAll(short).unionAll(raw).unionAll(seen).unionAll(failed)
+    if html is not None:
+        ways = ways.unionAll(html.where("trim(text) <> ''").select("path", F.lit(1), F.lit("html"), "text", F.lit(True), F.lit(None).cast("string")))
+    return best_extraction(ways.dropDuplicates(["path", "rank"]), "path")

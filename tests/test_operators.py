@@ -128,8 +128,11 @@ def test_providers(spark):
     got = providers.ask(df, lambda rs: [None if r["id"] == 3 else r["prompt"].upper() for r in rs], batch=2).collect()
     assert [r["answer"] for r in sorted(got)] == ["P0", "P1", "P2", None, "P4"]
     assert providers.chat_url("http://h/v1/") == providers.chat_url("http://h") == "http://h/v1/chat/completions"
+    assert [r["failure"] for r in sorted(got)] == [None, None, None, "no answer", None]
     dead = providers.HttpProvider("http://127.0.0.1:9", "m", timeout=1)
-    assert dead([{"prompt": "x"}]) == [None]
+    assert isinstance(dead([{"prompt": "x"}])[0], providers.Unreachable)
+    down = providers.ask(df.limit(1), lambda rs: [providers.Unreachable("down")] * len(rs)).first()
+    assert down["answer"] is None and down["failure"] == "Unreachable: down"
     with pytest.raises(providers.Unreachable):
         dead.ask("x")
 
@@ -212,3 +215,109 @@ def test_groups_and_density(spark):
     assert blocks.convert_groups(pages, groups, ["d"]).first()["content"] == f"a\n<!-- img_from_table_1 -->\n\nz{b(3, 'w')}"
     got = spark.createDataFrame([(" a b\n\n c ",), (None,)], "t string").select(*gates.text_density(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(3, 2, "a b c"), (0, 0, "")]
+
+
+def test_providers_from_options():
+    o = config.resolve({"llm_url": "http://a", "llm_concurrency": 3, "fallback_enabled": True, "fallback_url": "https://api.openai.example/v1", "openai_key": "k"})
+    made = providers.from_options(o)
+    assert made["text"].threads == 3 and made["picture"] is made["text"] and made["text"].fallback.key == "k"
+    o = config.resolve({"picture_url": "http://p", "picture_enabled": True, "picture_model": "m"})
+    made = providers.from_options(o)
+    assert made["picture"].model == "m" and made["text"].url == made["picture"].url
+    assert providers.from_options(config.resolve())["text"] is None
+    adapted = providers.from_options(config.resolve({"llm_adapter": "tests.test_operators:adapter", "vlm_max_tokens": 9}))
+    assert adapted["text"]([{"prompt": "x"}]) == ["x9"]
+
+
+def adapter(options):
+    return lambda requests: [r["prompt"] + str(options["vlm_max_tokens"]) for r in requests]
+
+
+def test_layout_options():
+    o = config.layout_options(config.resolve())
+    assert o["recogniser"] == {"backend": "rapidocr", "languages": ["korean", "english"], "full_page": False, "runtime": "onnxruntime"} and o["model"] is None
+    o = config.layout_options(config.resolve({"ocr_backend": "tesseract", "ocr_lang": "ko, de", "vlm_model": "v", "device": "cpu", "force_full_page_ocr": "yes"}))
+    assert o["recogniser"] == {"backend": "tesseract", "languages": ["kor", "de"], "full_page": True} and o["model"]["device"] == "cpu"
+
+
+def test_batch_stages(spark, tmp_path):
+    """Recognised pages, read and promoted pictures, picture groups, outline, reports."""
+    pages = spark.createDataFrame([("d", 1, "x\n| a | b |\n|---|---|\n| 1 | 2 |\ny <!-- image_1 --> z <!-- image_2 -->"), ("d", 2, "12 34")], "path string, page_no int, content string")
+    images = spark.createDataFrame([("d", 1, "image_1", "<!-- image_1 -->", True, "table", "1.png"), ("d", 1, "image_2", "<!-- image_2 -->", False, None, "2.png")], "path string, page_no int, id string, placeholder string, table_candidate boolean, region_kind string, image_path string")
+    scans = spark.createDataFrame([("d", 2, "p2.png", bytearray(b"recognised words of the second page"))], "path string, page_no int, page_image_path string, image binary")
+
+    def judge(rs):
+        return [json.dumps([{"id": "image_1", "content_type": "table", "title": "T"}]) if "- image_1" in r["prompt"] and "- image_2" not in r["prompt"] else None for r in rs]
+
+    def recogniser(pictures):
+        return [[(p.decode(), 0.9, [(0.0, 0.0), (9.0, 9.0)])] for p in pictures]
+
+    b = Batch(spark, pages, judge=judge, reader=lambda rs: ["a picture of a green river"] * len(rs), recogniser=recogniser, outliner=lambda rs: [json.dumps([{"path": ["H"], "fact": "f"}])] * len(rs), images=images, page_images=scans)
+    text = {r["page_no"]: r["content"] for r in b.pages.collect()}
+    assert text[2] == "recognised words of the second page"
+    assert "<!-- image_1 -->\n\n" in text[1] and "<!-- image_2 -->\n\na picture of a green river" in text[1]
+    t = {r["id"]: r for r in b.tables.collect()}
+    assert set(t) == {"table_1", "table_2"} and t["table_2"]["source_image_id"] == "image_1" and t["table_2"]["title"] == "T"
+    i = {r["id"]: r for r in b.images.collect()}
+    assert i["image_1"]["promoted_table_id"] == "table_2" and i["image_2"]["vlm_markdown"] == "a picture of a green river"
+    assert [r["fact"] for r in b.nodes.collect()] == ["f", "f"]
+    assert tuple(b.totals().first()) == (1, 1, 0)
+    out = b.save(str(tmp_path / "out"))
+    again = b.save(str(tmp_path / "out"), unique=True)
+    assert again == out + "-2" and spark.read.json(f"{out}/outline").first()["content"] == "# H\n- f\n- f"
+
+
+def test_documents(spark, tmp_path, monkeypatch, capsys):
+    import logging
+
+    from pagelattice import api
+
+    (tmp_path / "a.html").write_text("<h1>A</h1><table><tr><td>x</td><td>y</td></tr><tr><td>1</td><td>2</td></tr></table>")
+    with pytest.raises(IsADirectoryError):
+        api.Document(spark, str(tmp_path))
+    d = api.structure(spark, str(tmp_path / "a.html"))
+    whole = d.to_dict()
+    assert whole["page_count"] == 1 and whole["pages"][0]["tables"][0]["id"] == "table_1" and json.loads(api.structure_to_json(spark, str(tmp_path / "a.html"), slim=True))["filename"] == "a.html"
+    again = api.Document.from_dict(spark, whole)
+    assert again.tables.count() == 1
+    (tmp_path / "b.pdf").write_bytes(b"nothing")
+    with pytest.raises(OSError):
+        api.structure(spark, str(tmp_path / "b.pdf"))
+    monkeypatch.setenv("PAGELATTICE_LLM_KEY", "")
+    assert api.set_api_key("0123456789abcdef") == "012345…cdef" and api.configure()["llm_key"] == "012345…cdef"
+    api.configure(llm_key=None)
+    with pytest.raises(KeyError):
+        api.set_api_key("x", "llm_url")
+    assert api.enable_logging(logging.WARNING) is api.enable_logging(logging.WARNING)
+    assert cli.main([str(tmp_path), "--glob", "*.html", "--no-assess", "--out", str(tmp_path / "out")]) == 0
+    assert cli.main([str(tmp_path), "--format", "markdown", "--out", str(tmp_path / "md")]) == 0 and spark.read.json(str(tmp_path / "md")).first()["content"].startswith("# A")
+
+
+def test_commands(spark):
+    from pagelattice.sources import commands
+
+    f = spark.createDataFrame([("a", bytearray(b"x")), ("b", None)], "path string, content binary")
+    say = lambda *c, **k: {r["path"]: (r["output"] and bytes(r["output"]), r["error"]) for r in commands.run(f, list(c), **k).collect()}
+    assert say("cat") == {"a": (b"x", None), "b": (None, "no content")}
+    assert say("no-such-command-here")["a"] == (None, "no command no-such-command-here") and say("false")["a"] == (None, "exit code 1")
+    assert say("true")["a"] == (None, "no output") and say("sleep", "5", timeout=0.2)["a"] == (None, "took more than 0.2 seconds")
+    assert commands.run(f.limit(0), ["cat"]).count() == 0
+    why = commands.html_candidates(f, ["sh", "-c", "echo undefined x >&2; echo broken >&2; exit 3"]).where("path = 'a'").first()["reason"]
+    assert why == "exit code 3; broken"
+
+
+def test_hwp_html_way(spark):
+    from pagelattice.sources import hwp
+
+    f = spark.createDataFrame([("a", bytearray(b"broken")), ("b", bytearray(hwp.document([hwp.paragraph("w" * 300)])))], "path string, content binary")
+    h = spark.createDataFrame([("a", "from html"), ("b", "from html")], "path string, text string")
+    got = {r["path"]: (r["way"], r["text"][:9], r["reason"]) for r in hwp.best(f, h).collect()}
+    assert got == {"a": ("html", "from html", "not a compound file"), "b": ("tree", "w" * 9, None)}
+
+
+def test_positioned_cases(spark):
+    t = spark.createDataFrame([(1, 2, 2), (2, 0, 3), (None, 1, 1)], "k int, n_rows int, n_cols int")
+    c = spark.createDataFrame([(1, 0, 0, None, 1, 0, None, 1, None, "a"), (1, 1, 5, None, 1, 0, None, 1, None, "far"), (2, 0, 0, None, 1, 0, None, 1, True, "x")], "k int, cell_no int, row0 int, row1 int, row_span int, col0 int, col1 int, col_span int, column_header boolean, text string")
+    got = {r["k"]: (r["header_rows"], r["markdown"]) for r in grid.draw_positioned(t, c, "k").collect()}
+    assert got == {1: (0, "| a   |     |\n|-----|-----|"), 2: (0, ""), None: (0, "")}
+    assert grid.draw_positioned(t.limit(0), c, "k").count() == 0
