@@ -210,7 +210,10 @@ class Batch(Settings):
         if (most := self.get("split_chars")) > 0:
             done = chunks.chunk(done, DOC, "page_no", most).select(DOC, F.col("chunk_no").alias("page_no"), "content")
         done = cut(done, "done")
-        nodes = outline.outline(done, stages.outline_answers(done, DOC, self.outliner), DOC) if self.outliner is not None else None
+        nodes = None
+        if self.outliner is not None:
+            named = done.withColumnRenamed(DOC, "doc")  # path is the headings' there
+            nodes = outline.outline(named, stages.outline_answers(named, "doc", self.outliner), "doc")
         self._run = {"pages": done, "tables": tables, "images": images, "failures": failures} | ({} if nodes is None else {"nodes": cut(nodes, "nodes")})
         return self
 
@@ -253,7 +256,7 @@ class Batch(Settings):
         previews.summary_lines(self.summary(), DOC).write.mode("overwrite").json(f"{out}/summary")
         self.failures.write.mode("overwrite").json(f"{out}/failures")
         if "nodes" in self._run:
-            outline.to_markdown(self.nodes, DOC).write.mode("overwrite").json(f"{out}/outline")
+            outline.to_markdown(self.nodes, "doc").write.mode("overwrite").json(f"{out}/outline")
         return out
 
 

@@ -247,7 +247,7 @@ def test_batch_stages(spark, tmp_path):
     scans = spark.createDataFrame([("d", 2, "p2.png", bytearray(b"recognised words of the second page"))], "path string, page_no int, page_image_path string, image binary")
 
     def judge(rs):
-        return [json.dumps([{"id": "image_1", "content_type": "table", "title": "T"}]) if "- image_1" in r["prompt"] and "- image_2" not in r["prompt"] else None for r in rs]
+        return [json.dumps([{"id": "image_1", "content_type": "table", "title": "T"}]) if "\\n- image_1: " in r["prompt"] and "\\n- image_2: " not in r["prompt"] else None for r in rs]
 
     def recogniser(pictures):
         return [[(p.decode(), 0.9, [(0.0, 0.0), (9.0, 9.0)])] for p in pictures]
