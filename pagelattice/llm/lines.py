@@ -4,12 +4,13 @@
    lower case); it gets a 128-bit hash of them. Lines that are equal when normalised are one from here on, known by the
    hash's first 64 bits.
 2. Candidates are found by MinHash: the features of a line are its pairs of neighbouring words, its begin and end counted as words,
-   so that one changed word changes two of them. Lines that agree on `rows` least hashes of one of the bands meet; of those, the
-   ones whose lengths allow the edit similarity and whose SimHashes (of the words) differ in at most `distance` bits are pairs.
-   Rows grow with the number of lines, to keep chance meetings rare, and bands with the rows, to keep the recall (`bands_for`).
-   (The pigeonhole blocks of a SimHash alone can't do it: lines of that edit similarity differ in up to 20 of 64 bits.)
-3. The edit similarity of the pairs' normalised texts is verified: 1 - Levenshtein distance / length of the longer. Lines that chains of
-   pairs join go to one task, or, if they have very many pairs, to several.
+   so that one changed word changes two of them. Lines that agree on `ROWS` least hashes of one of the bands meet; of those, the
+   ones whose lengths allow the edit similarity and whose SimHashes (of the words) differ in at most `distance` bits are pairs, and lines
+   of one meeting that chains of pairs join are a cluster. Rows and bands are the same for every input; the bands are taken `AT_A_TIME`, a reading of the texts each.
+   (The pigeonhole blocks of a SimHash alone can't do it: lines of that edit similarity differ in up to 20 of 64 bits and more.)
+3. The edit similarity of all pairs within a cluster is verified on the normalised texts: 1 - Levenshtein distance / length of the longer; but no pair
+   that similar ones join already, which changes no group. So clusters, and what is compared of lines that are all alike, grow with the number of lines, not of pairs.
+   Lines that chains of clusters join go to one task, or, if they have very many members, to several.
 4. Connected components of what is left are the groups; the occurrence of the least (doc_id, text hash, line number) stays.
 
 Defined cases: a line without words (blank, or of signs only) always stays; null text stays null; rows of equal doc_id and text are
@@ -20,11 +21,11 @@ in memory in proportion to the longest.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,16 +39,18 @@ from . import hashing
 from .components import components
 
 #: Bits by which the SimHashes of two lines of that edit similarity differ at most; lines met by chance differ by 32 on average.
-DISTANCE = 20
+DISTANCE = 24
 SIMILARITY = 0.85
-#: A pair whose features have this Jaccard similarity meets in some band with this probability; few similar lines have less in common.
-JACCARD, RECALL = 0.52, 0.95
+#: Least hashes of a band, bands, and how many of them are shuffled at a time. Pairs whose features have a Jaccard similarity of 0.4 meet with a probability of 0.94.
+ROWS, BANDS, AT_A_TIME = 3, 42, 14
 #: Lengths are kept as logarithms, so many steps for a factor of two.
 STEPS = 2048
-#: Pairs of a component up to which one task takes it whole.
-LARGE = 50_000
-#: Pairs, and characters of lines, from which a task settles the components that it has read so far.
-TOGETHER, TOGETHER_CHARS = 20_000, 1 << 22
+#: Members of the clusters of a component up to which one task takes it whole.
+LARGE = 400_000
+#: Members of clusters, and characters of lines, from which a task settles the components that it has read so far.
+TOGETHER, TOGETHER_CHARS = 200_000, 1 << 22
+#: Pairs from which it pays to compare them.
+ROUND = 8192
 #: Characters, after what two texts share at their ends, up to which pairs are compared at once; longer ones one by one.
 AT_ONCE = 448
 #: Lines that a task remembers to have sent.
@@ -79,19 +82,18 @@ def features(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return hashing.mix(a * _MULTIPLIER + after), out
 
 
-def bands_for(lines: int) -> tuple[int, int]:
-    """(rows of a band, bands) for so many lines."""
-    rows = 2 if lines <= 1 << 27 else 3 if lines <= 1 << 33 else 4
-    return rows, math.ceil(math.log(1 - RECALL) / math.log(1 - JACCARD**rows))
+def bands_for(lines: int | None = None) -> tuple[int, int]:
+    """(rows of a band, bands), for any number of lines: results mustn't depend on it."""
+    return ROWS, BANDS
 
 
-def band_keys(g: np.ndarray, first: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """32 bits for each run's bands: equal if the run's least hashes by the band's functions are."""
+def band_keys(g: np.ndarray, first: np.ndarray, rows: int, bands: int, start: int = 0) -> np.ndarray:
+    """32 bits for each run's bands from `start` on: equal if the run's least hashes by the band's functions are."""
     out = np.empty((len(first) - 1, bands), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(bands):
             key = np.zeros(len(first) - 1, np.uint64)
-            for i in range(b * rows, (b + 1) * rows):
+            for i in range((start + b) * rows, (start + b + 1) * rows):
                 key = hashing.mix(key * _MULTIPLIER + np.minimum.reduceat(g * _ODD[i], first[:-1]))
             out[:, b] = key >> np.uint64(32)
     return out
@@ -145,11 +147,11 @@ def rid(lid: Column) -> Column:
     return F.conv(F.hex(F.substring(lid, 1, 8)), 16, -10).cast("long")
 
 
-def band_rows(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(key, rid, simhash), all BIGINT, for each band of each line with words; key: 7 bits of the band, 32 of what must agree, 16 of the length. A task sends a line once."""
+def band_rows(docs: DataFrame, rows: int, bands: int, start: int = 0) -> DataFrame:
+    """(key, rid, simhash), all BIGINT, for each of so many bands from `start` on of each line with words; key: 7 bits of the band, 32 of what must agree, 16 of the length. A task sends a line once."""
     docs = docs.where("text is not null").select(F.lower("text").alias("text"))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "rid", "simhash")])
-    of = np.arange(bands, dtype=np.int64) << 48
+    of = np.arange(start, start + bands, dtype=np.int64) << 48
 
     def run(batches):
         sent: set[int] = set()
@@ -166,7 +168,7 @@ def band_rows(docs: DataFrame, rows: int, bands: int) -> DataFrame:
                 if not new:
                     continue
                 g, at = features(h, runs)
-                keys = band_keys(g, at, rows, bands)[new].astype(np.int64) << 16 | of | np.minimum(size[new], 0xFFFF)[:, None]
+                keys = band_keys(g, at, rows, bands, start)[new].astype(np.int64) << 16 | of | np.minimum(size[new], 0xFFFF)[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[new], bands)), pa.array(np.repeat(simhash(h, runs)[new], bands))], names=schema.names)
             del batch
         del sent
@@ -182,30 +184,54 @@ def masks(m: int, distance: int) -> list[int]:
     return [sum(block[i] for i in c) for c in itertools.combinations(range(m), m - distance)]
 
 
-def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(a, b, tree) with a < b: of lines that share a band (band_rows), those within the Hamming distance and of lengths that allow the similarity, each pair once.
+def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label (each place's group, named by its least place) after the groups of the places x and y were joined pair by pair."""
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return label
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
 
-    The pairs with tree hang together what all pairs do.
-    """
+
+def clusters(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(cluster, rid, first), all BIGINT: of the lines that share a band (band_rows), those that chains of pairs within the Hamming distance and of lengths that allow the similarity join, each with the least rid among them. cluster is a hash of its rids; equal ones come once."""
     rows = rows.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("cluster", "rid", "first")])
     longer = math.ceil(STEPS * -math.log2(similarity)) + 1
 
     def within(cols):
-        """The pairs in the runs of one band's key, which go by length: each row is compared with those k rows on, for k = 1, 2 ... while some is short enough."""
+        """The clusters in the runs of one band's key, which go by length: each row is compared with those k rows on, for k = 1, 2 ... while some is short enough and not of its cluster yet."""
         key, rid, sim = cols
         band, size = key >> 16, key & 0xFFFF
-        at, k, a, b = np.arange(len(key) - 1), 1, [], []
+        label = np.arange(len(key))
+        at, k = np.arange(len(key) - 1), 1
         while True:
             at = at[: np.searchsorted(at, len(key) - k)]
             at = at[(band[at] == band[at + k]) & (size[at + k] - size[at] <= longer)]
             if not len(at):
-                return a, b
-            near = at[(np.bitwise_count(sim[at] ^ sim[at + k]) <= distance) & (rid[at] != rid[at + k])]
+                break
+            new = at[label[at] != label[at + k]]
+            near = new[np.bitwise_count(sim[new] ^ sim[new + k]) <= distance]
             if len(near):
-                a.append(np.minimum(rid[near], rid[near + k]))
-                b.append(np.maximum(rid[near], rid[near + k]))
+                label = unite(label, near, near + k)
             k += 1
+        order = np.lexsort((rid, label))
+        group, line = label[order], rid[order]
+        other = np.append(True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]))
+        group, line = group[other], line[other]
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        n = np.diff(np.append(start, len(group)))
+        with np.errstate(over="ignore"):
+            name = np.add.reduceat(hashing.mix(line.view(np.uint64)), start).view(np.int64)
+        some = np.repeat(n > 1, n)
+        return [np.repeat(name, n)[some], line[some], np.repeat(line[start], n)[some]]
 
     def run(batches):
         rest = None
@@ -217,38 +243,20 @@ def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
             # the last key may go on in the next batch
             last = int(np.searchsorted(cols[0], cols[0][-1] >> 16 << 16)) if len(cols[0]) else 0
             rest = [v[last:] for v in cols]
-            a, b = within([v[:last] for v in cols])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        if rest is not None:
-            a, b = within(rest)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in within([v[:last] for v in cols])], names=schema.names)
+        if rest is not None and len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in within(rest)], names=schema.names)
         rest = None
         hashing.give_back()
 
-    marked = T.StructType([*schema.fields, T.StructField("tree", T.BooleanType())])
+    return rows.mapInArrow(run, schema).dropDuplicates(["cluster", "rid"])
 
-    def forest(batches):
-        root: dict[int, int] = {}
 
-        def find(i: int) -> int:
-            while (up := root.get(i, i)) != i:
-                root[i] = i = root.get(up, up)
-            return i
-
-        for batch in batches:
-            tree = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p, q = find(a), find(b)
-                tree.append(p != q)
-                if p != q:
-                    root[q] = p
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tree, pa.bool_())], names=marked.names)
-        root.clear()
-        hashing.give_back()
-
-    return rows.mapInArrow(run, schema).repartition("a").dropDuplicates(["a", "b"]).mapInArrow(forest, marked)
+def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(a, b) with a < b: all pairs within the clusters, each once."""
+    c = clusters(rows, distance, similarity)
+    return c.select("cluster", F.col("rid").alias("a")).join(c.select("cluster", F.col("rid").alias("b")), "cluster").where("a < b").select("a", "b").distinct()
 
 
 def levenshtein(a: str | list[int], b: str | list[int], most: int | None = None) -> int:
@@ -306,6 +314,9 @@ def within(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray, at
             ok[i] = len(b) - len(a) <= most[i]
             continue
         a, b = a[start:stop], b[start : stop + len(b) - len(a)]
+        if len(b) <= most[i]:
+            ok[i] = True
+            continue
         if len(b) > AT_ONCE:
             ok[i] = levenshtein(a.tolist(), b.tolist(), int(most[i])) <= most[i]
             continue
@@ -358,112 +369,151 @@ def _distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def histograms(lines: list[str]) -> np.ndarray:
     """Counts of each text's characters in 64 classes; texts at an edit distance of d differ by at most d in what they have more or less."""
-    out = np.zeros((len(lines), 64), np.int32)
-    for i, x in enumerate(lines):
-        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+    return _counts([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines], 1, 64)
+
+
+def _counts(codes: list[np.ndarray], grams: int, classes: int) -> np.ndarray:
+    """Counts of each text's runs of so many characters in classes by a hash. An edit takes at most `grams` of them away and brings as many (up to 32,767 are counted, which only brings texts closer)."""
+    out = np.zeros((len(codes), classes), np.int16)
+    for k in range(0, len(codes), 2048):
+        part = codes[k : k + 2048]
+        n = np.array([len(c) for c in part])
+        flat = np.concatenate(part).astype(np.uint64) if len(part) else np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(len(part)), n)
+        kind = flat.copy()
+        for g in range(1, grams):
+            kind = kind[:-1] * np.uint64(0x9E3779B1) + flat[g:]
+            inside = row[:-1] == row[1:]  # no run goes from one text to the next
+            kind, row, flat = kind[inside], row[:-1][inside], np.append(flat[:g], flat[g:][inside])
+        if grams > 1:
+            kind = hashing.mix(kind)
+        got = np.bincount(row * classes + (kind % np.uint64(classes)).astype(np.int64), minlength=len(part) * classes)
+        out[k : k + 2048] = np.minimum(got, 32767).reshape(len(part), classes)
     return out
 
 
-def verified_groups(pairs: DataFrame, texts: DataFrame, least: float, large: int = LARGE) -> DataFrame:
-    """(node, component): the groups of two and more texts (rid, line, component) that similar pairs (a, b) chain together.
-
-    component is what all close pairs, verified or not, hang together by. Its texts are sent to one task once; a pair whose texts
-    hang together already isn't compared, which changes no group. The pairs of a component of more than `large` are spread over
-    tasks by their first line, each with the texts it needs, and the tasks' groups are put together by connected components.
+class _Texts:
+    """Texts of which pairs are compared: by SimHashes as candidates are, by lengths and counts, which never refuse a similar pair, and then as they are."""
+
+    def __init__(self, lines: list[str], least: float, distance: int):
+        sims = [simhash(h, runs) for h, runs, *_ in _lines(pa.array(lines, pa.large_string()))]
+        self.sim, self.distance = np.concatenate(sims).view(np.uint64), distance
+        self.codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in lines]
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        self.rest = 1 - least
+        self.one, self.two = _counts(self.codes, 1, 64), _counts(self.codes, 2, 256)
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the texts x and y are, pair by pair."""
+        most = np.floor(np.maximum(self.size[x], self.size[y]) * self.rest + 1e-9).astype(np.int64)
+        out = (np.bitwise_count(self.sim[x] ^ self.sim[y]) <= self.distance) & (np.abs(self.size[x] - self.size[y]) <= most)
+        for counts, grams in ((self.one, 1), (self.two, 2)):
+            left = np.flatnonzero(out)
+            for k in range(0, len(left), 4096):
+                i = left[k : k + 4096]
+                d = counts[x[i]].astype(np.int32) - counts[y[i]]
+                more = np.maximum(d, 0).sum(1)
+                out[i] = np.maximum(more, more - d.sum(1)) <= grams * most[i]
+        left = np.flatnonzero(out)
+        out[left] = within([self.codes[i] for i in x[left].tolist()], [self.codes[i] for i in y[left].tolist()], most[left])
+        return out
+
+
+def settle(lines: list[str], cluster: np.ndarray, member: np.ndarray, least: float, distance: int = DISTANCE) -> np.ndarray:
+    """The least place of each text's group: what similar pairs of a cluster chain together. member: places in lines, by cluster."""
+    label = np.arange(len(lines))
+    if not len(member):
+        return label
+    texts = _Texts(lines, least, distance)
+    # neighbours of a cluster begin alike, so chains of similar texts are found first
+    rank = np.empty(len(lines), np.int64)
+    rank[sorted(range(len(lines)), key=lines.__getitem__)] = np.arange(len(lines))
+    order = np.lexsort((rank[member], cluster))
+    cluster, member = np.unique(cluster[order], return_inverse=True)[1], member[order]
+    tried = np.zeros(0, np.int64)
+    at, k, wait, waiting = np.arange(len(member) - 1), 1, [], 0
+    while True:
+        at = at[: np.searchsorted(at, len(member) - k)]
+        at = at[cluster[at] == cluster[at + k]]
+        x, y = member[at], member[at + k]
+        apart = (label[x] != label[y]) & (np.bitwise_count(texts.sim[x] ^ texts.sim[y]) <= distance)
+        x, y = x[apart], y[apart]
+        wait.append(np.minimum(x, y) * len(lines) + np.maximum(x, y))
+        waiting += len(x)
+        if k & k - 1 == 0 or waiting >= ROUND or not len(at):
+            new = np.unique(np.concatenate(wait))
+            new = new[~np.isin(new, tried, assume_unique=True)]
+            for i in range(0, len(new), 8 * ROUND):
+                p, q = np.divmod(new[i : i + 8 * ROUND], len(lines))
+                far = label[p] != label[q]
+                p, q = p[far], q[far]
+                good = texts.similar(p, q)
+                label = unite(label, p[good], q[good])
+            tried = np.union1d(tried, new)
+            wait, waiting = [], 0
+            # clusters that are one group are done
+            first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+            done = np.minimum.reduceat(label[member], first) == np.maximum.reduceat(label[member], first)
+            at = at[~done[cluster[at]]]
+        if not len(at):
+            return label
+        k += 1
+
+
+def verified_groups(members: DataFrame, texts: DataFrame, least: float, distance: int, large: int = LARGE) -> DataFrame:
+    """(node, component): the groups of two and more texts (rid, line, component) that similar pairs of one cluster (members: cluster, rid) chain together.
+
+    component is what all clusters hang together by. Its texts are sent to one task once. The clusters of a component of more than
+    `large` members are spread over tasks, each with the texts it needs, and the tasks' groups are put together by connected components.
     """
-    placed = pairs.select("a", "b").join(texts.select(F.col("rid").alias("a"), "component"), "a")
+    placed = members.select("cluster", "rid").join(texts.select("rid", "component"), "rid")
     big = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > large).select("component", F.ceil(F.col("n") / large).cast("long").alias("slots"))
     big = cut(big, "large")
     some = not big.isEmpty()
     whole = texts.select("component", F.lit(0).cast("long").alias("slot"), "rid", "line")
     placed = placed.withColumn("slot", F.lit(0).cast("long"))
     if some:
-        placed = placed.drop("slot").join(maybe_broadcast(big), "component", "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("a"), F.col("slots")), F.lit(0)))
-        spread = placed.where("slots is not null")
-        need = spread.select("component", "slot", F.col("a").alias("rid")).unionAll(spread.select("component", "slot", F.col("b").alias("rid"))).distinct()
+        placed = placed.drop("slot").join(maybe_broadcast(big), "component", "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("cluster"), F.col("slots")), F.lit(0)))
+        need = placed.where("slots is not null").select("component", "slot", "rid").distinct()
         whole = whole.join(maybe_broadcast(big.select("component")), "component", "left_anti").unionAll(need.join(texts.select("rid", "line"), "rid").select("component", "slot", "rid", "line"))
-    rows = whole.select("component", "slot", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "line").unionAll(placed.select("component", "slot", F.lit(1), "a", "b", F.lit(None).cast("string")))
-    rows = rows.repartition("component", "slot").sortWithinPartitions("component", "slot", "kind", "a", "b")
+    rows = whole.select("component", "slot", F.lit(0).cast("long").alias("cluster"), "rid", "line").unionAll(placed.select("component", "slot", "cluster", "rid", F.lit(None).cast("string")))
+    rows = rows.repartition("component", "slot").sortWithinPartitions("component", "slot", F.col("line").isNull(), "rid")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("component", "node", "root")])
 
-    def settle(rid: list[int], line: list[str], a: list[int], b: list[int]) -> list[int]:
-        """The least rid of each text's group, -1 for texts alone; pairs (a, b) of places. Components may be several."""
-        root = list(range(len(rid)))
-
-        def find(up: list[int], i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        x, y = np.array(a), np.array(b)
-        size = np.array([len(t) for t in line])
-        most = np.floor(np.maximum(size[x], size[y]) * (1 - least) + 1e-9)
-        ok = np.abs(size[x] - size[y]) <= most
-        h = histograms(line)
-        for k in range(0, len(x), 1 << 14):
-            d = h[x[k : k + (1 << 14)]] - h[y[k : k + (1 << 14)]]
-            ok[k : k + (1 << 14)] &= np.maximum(np.where(d > 0, d, 0).sum(1), -np.where(d < 0, d, 0).sum(1)) <= most[k : k + (1 << 14)]
-        del h
-        x, y, most = x[ok], y[ok], most[ok]
-        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in line]
-        share = 0.0
-        while len(x):
-            # pairs that would hang all together if all were similar come first: then the others needn't be compared; more of the others each time
-            trial, tree = list(root), np.zeros(len(x), bool)
-            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-                p, q = find(trial, i), find(trial, j)
-                if p != q:
-                    trial[q] = p
-                    tree[k] = True
-            if share:
-                tree[np.flatnonzero(~tree)[: int(share * len(x))]] = True
-            if len(x) < 1024:
-                share = 1.0
-            share = min(1.0, share + 0.25)
-            same = np.flatnonzero(tree)
-            good = same[within([codes[i] for i in x[same].tolist()], [codes[j] for j in y[same].tolist()], most[same])]
-            for i, j in zip(x[good].tolist(), y[good].tolist()):
-                p, q = find(root, i), find(root, j)
-                root[max(p, q)] = min(p, q)
-            now = np.array([find(root, i) for i in range(len(root))])
-            left = ~tree & (now[x] != now[y])
-            x, y, most = x[left], y[left], most[left]
-        now = np.array([find(root, i) for i in range(len(root))], np.int64)
-        low = np.full(len(now), np.iinfo(np.int64).max)
-        np.minimum.at(low, now, np.array(rid, np.int64))
-        return np.where(np.bincount(now, minlength=len(now))[now] > 1, low[now], -1).tolist()
-
     def run(batches):
         now, at = None, {}
-        of, rid, line, a, b, chars = [], [], [], [], [], 0
+        of, rid, line, cluster, member, chars = [], [], [], [], [], 0
 
         def flush():
-            nonlocal at, of, rid, line, a, b, chars
-            roots = settle(rid, line, a, b) if a else []
-            some = [k for k, r in enumerate(roots) if r != -1 or rid[k] == -1]
-            cols = ([of[k] for k in some], [rid[k] for k in some], [roots[k] for k in some])
-            at, of, rid, line, a, b, chars = {}, [], [], [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
+            nonlocal at, of, rid, line, cluster, member, chars
+            label = settle(line, np.array(cluster, np.int64), np.array(member, np.int64), least, distance)
+            ids = np.array(rid, np.int64)
+            low = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(low, label, ids)
+            some = np.bincount(label, minlength=len(ids))[label] > 1
+            cols = (np.array(of, np.int64)[some], ids[some], low[label][some])
+            at, of, rid, line, cluster, member, chars = {}, [], [], [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
 
         for batch in batches:
-            for c, slot, kind, x, y, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for c, slot, k, x, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (c, slot) != now:
                     # whole components are settled together, as many as make it worth while
-                    if len(a) > TOGETHER or chars > TOGETHER_CHARS:
+                    if len(member) > TOGETHER or chars > TOGETHER_CHARS:
                         yield flush()
                     now, at = (c, slot), {}
-                if kind == 0:
+                if t is not None:
                     at[x] = len(rid)
                     of.append(c)
                     rid.append(x)
                     line.append(t)
                     chars += len(t)
                 else:
-                    a.append(at[x])
-                    b.append(at[y])
-        yield flush()
-        del rid, line, a, b
+                    cluster.append(k)
+                    member.append(at[x])
+        if rid:
+            yield flush()
+        del rid, line, cluster, member
         hashing.give_back()
 
     groups = small_batches(rows).mapInArrow(run, schema)
@@ -502,19 +552,21 @@ def fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, thash, gone ARRAY<INT>): the numbers of the lines that each text loses."""
     docs = docs.select("doc_id", "text")
-    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     occ = cut(occurrences(docs), "lines")
     at = F.struct("doc_id", "thash", "line_no")
     one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")).withColumn("rid", rid(F.col("lid"))), "distinct-lines")
-    pairs = cut(close_pairs(band_rows(docs, *bands_for(n)), distance, similarity), "close")
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the bands' shuffle files go now, not when the driver happens to collect its garbage
-    close = components(pairs.where("tree"), "a", "b")
+    parts = []
+    for start in range(0, BANDS, AT_A_TIME):
+        parts.append(cut(clusters(band_rows(docs, ROWS, min(AT_A_TIME, BANDS - start), start), distance, similarity), "clusters"))
+    members = cut(reduce(DataFrame.unionAll, parts).dropDuplicates(["cluster", "rid"]), "clusters")
+    for t in parts:
+        drop_cut(t)
+    close = components(members, "first", "rid")
     need = cut(close.withColumnRenamed("node", "rid").join(one.select("rid", "first.*"), "rid"), "need")
     texts = cut(fetch(docs, need.drop("component")).join(need.select("rid", "component"), "rid"), "texts")
     drop_cut(need)
-    groups = cut(verified_groups(pairs, texts, similarity), "groups")
-    for t in (pairs, texts):
+    groups = cut(verified_groups(members, texts, similarity, distance), "groups")
+    for t in (members, texts):
         drop_cut(t)
     grouped = groups.join(one.select(F.col("rid").alias("node"), "lid", "first"), "node")
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"))
