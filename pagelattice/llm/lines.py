@@ -46,7 +46,7 @@ ROWS, BANDS, AT_A_TIME = 3, 42, 14
 #: Lengths are kept as logarithms, so many steps for a factor of two.
 STEPS = 2048
 #: Members of the clusters of a component up to which one task takes it whole.
-LARGE = 400_000
+LARGE = 100_000
 #: Members of clusters, and characters of lines, from which a task settles the components that it has read so far.
 TOGETHER, TOGETHER_CHARS = 200_000, 1 << 22
 #: Pairs from which it pays to compare them.
@@ -400,7 +400,7 @@ class _Texts:
         self.sim, self.distance = np.concatenate(sims).view(np.uint64), distance
         self.codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in lines]
         self.size = np.array([len(c) for c in self.codes], np.int64)
-        self.rest = 1 - least
+        self.rest, self.unlike = 1 - least, np.zeros(0, np.int64)
         self.one, self.two = _counts(self.codes, 1, 64), _counts(self.codes, 2, 256)
 
     def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -414,8 +414,11 @@ class _Texts:
                 d = counts[x[i]].astype(np.int32) - counts[y[i]]
                 more = np.maximum(d, 0).sum(1)
                 out[i] = np.maximum(more, more - d.sum(1)) <= grams * most[i]
+        name = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
+        out &= ~np.isin(name, self.unlike)  # pairs of several clusters are compared once
         left = np.flatnonzero(out)
         out[left] = within([self.codes[i] for i in x[left].tolist()], [self.codes[i] for i in y[left].tolist()], most[left])
+        self.unlike = np.union1d(self.unlike, name[left[~out[left]]])
         return out
 
 
@@ -430,7 +433,6 @@ def settle(lines: list[str], cluster: np.ndarray, member: np.ndarray, least: flo
     rank[sorted(range(len(lines)), key=lines.__getitem__)] = np.arange(len(lines))
     order = np.lexsort((rank[member], cluster))
     cluster, member = np.unique(cluster[order], return_inverse=True)[1], member[order]
-    tried = np.zeros(0, np.int64)
     at, k, wait, waiting = np.arange(len(member) - 1), 1, [], 0
     while True:
         at = at[: np.searchsorted(at, len(member) - k)]
@@ -442,14 +444,12 @@ def settle(lines: list[str], cluster: np.ndarray, member: np.ndarray, least: flo
         waiting += len(x)
         if k & k - 1 == 0 or waiting >= ROUND or not len(at):
             new = np.unique(np.concatenate(wait))
-            new = new[~np.isin(new, tried, assume_unique=True)]
             for i in range(0, len(new), 8 * ROUND):
                 p, q = np.divmod(new[i : i + 8 * ROUND], len(lines))
                 far = label[p] != label[q]
                 p, q = p[far], q[far]
                 good = texts.similar(p, q)
                 label = unite(label, p[good], q[good])
-            tried = np.union1d(tried, new)
             wait, waiting = [], 0
             # clusters that are one group are done
             first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
