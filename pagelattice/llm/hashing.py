@@ -72,6 +72,10 @@ class Words:
     def __init__(self, hashes, first, cum, start, end, ipow):
         self.hashes, self.first, self._cum, self._start, self._end, self._ipow = hashes, first, cum, start, end, ipow
 
+    def of(self, at: np.ndarray) -> Words:
+        """Those of these indexes, as if of no text."""
+        return Words(self.hashes[at], None, self._cum, self._start[at], self._end[at], self._ipow)
+
     def prefix(self, k: int) -> np.ndarray:
         """Hashes of the first k bytes of every word (the whole word, if it is shorter)."""
         end = np.minimum(self._start + k, self._end)

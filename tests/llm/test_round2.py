@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagelattice.llm import lines
+from pagelattice.llm import hashing, lines, toxicity
 from pagelattice.session import cut
-from tests.llm.helpers import words
+from tests.llm.helpers import docs, words
 
 
 def test_bands_are_the_same_for_every_input():
@@ -44,3 +45,21 @@ def test_cut_leaves_no_shuffle_files(spark):
     before = files.getAllFiles().size()
     t = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
     assert t.count() == 7 and files.getAllFiles().size() <= before + 3
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Each of 600 clean and 600 toxic documents of one language counts once, whatever the order and number of partitions."""
+    data = [(k, f"{words(20, k)} " + ("vile" if k % 2 else "kind") + f" mark{k}", "en", "a", 1, "", 0.0) for k in range(1200)]
+    d, y = docs(spark, data), spark.createDataFrame([(k, k % 2) for k in range(1200)], "doc_id long, toxic int")
+    rows = toxicity.labelled(d, y)
+    assert rows.count() == 1200
+    counted, plain = [], toxicity._round
+    monkeypatch.setattr(toxicity, "_round", lambda units, state, *a: counted.append(state.known) or plain(units, state, *a))
+    one, other = toxicity.fit(d, y), toxicity.fit(d.repartition(7).orderBy(F.desc("doc_id")), y.repartition(3))
+    held = {r[0] for r in rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(5)) == 4).collect()}
+    # the mark of every document that isn't held out is among the features
+    marks = pa.array([f"mark{k}" for k in range(1200) if k not in held])
+    assert set(toxicity.features(hashing.words(*hashing.buffers(marks)))[:, 0].tolist()) <= set(counted[0].tolist())
+    assert (one.table == other.table).all() and one.common == other.common and one.thresholds == other.thresholds
+    got = toxicity.score(d, one, keep_text=False).select("doc_id", "toxic").collect()
+    assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in got)
