@@ -18,6 +18,7 @@ bytes an id takes.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -36,11 +37,13 @@ WINDOW = 32
 LEAST, MOST, BITS = 64, 2048, 8
 #: Addresses that a task remembers to have sent.
 SENT = 500_000
+#: White space in a row that the installed library is given at most.
+RUN = 100_000
 DIGEST = 16
 
 
 class FastEncoder(bpe.Encoder):
-    """The encoder of bpe with an installed library for new words."""
+    """An installed library encodes whole texts; those with longer runs of white space than it can take, the encoder of bpe."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -48,9 +51,14 @@ class FastEncoder(bpe.Encoder):
         super().__init__(bpe.Vocabulary.load(path))
         self.library = tiktoken.Encoding("store", pat_str=bpe.PATTERN, mergeable_ranks=self.vocab.ranks, special_tokens={})
 
-    def _code(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [self.library.encode_ordinary(s) for s in stretches]
-        return np.array([t for ids in coded for t in ids], np.int32), np.cumsum([len(ids) for ids in coded])
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [self._one(t) if t else np.zeros(0, np.int32) for t in texts]
+        return np.concatenate([np.zeros(0, np.int32), *coded]), np.concatenate([[0], np.cumsum([len(ids) for ids in coded])]).astype(np.int64)
+
+    def _one(self, text: str) -> np.ndarray:
+        if len(text) > RUN and any(m.end() - m.start() > RUN for m in re.finditer(r"\s+", text)):
+            return super().encode([text])[0]
+        return np.array(self.library.encode_ordinary(text), np.int32)
 
 
 _WORKER: dict[str, FastEncoder] = {}

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagelattice.llm import hashing, lines, toxicity
+from pagelattice.llm import bpe, hashing, lines, store, toxicity
 from pagelattice.session import cut
 from tests.llm.helpers import docs, words
 
@@ -63,3 +63,15 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     assert (one.table == other.table).all() and one.common == other.common and one.thresholds == other.thresholds
     got = toxicity.score(d, one, keep_text=False).select("doc_id", "toxic").collect()
     assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in got)
+
+
+def test_store_encodes_whole_texts_as_the_library(spark):
+    """Also those that begin with a space or hold long runs of white space."""
+    enc = store._encoder(bpe.VOCABULARY)
+    r = random.Random(5)
+    texts = [" lead", None, "", "\n", *("".join(r.choice(" \n\t\0ab1é'.s한") for _ in range(r.randrange(1, 30))) for _ in range(500))]
+    ids, off = enc.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == (enc.library.encode_ordinary(t) if t else [])
+    far = "a b" + " \n" * 600_000 + "c"  # the library stops at such a run
+    assert enc.library.decode(enc.encode([far])[0].tolist()) == far
