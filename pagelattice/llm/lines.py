@@ -595,6 +595,8 @@ def dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILAR
                 out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in g))
         return pd.Series(out, dtype=object)
 
+    # else a filter on the text has it computed twice, by two Python workers of a task at once
+    without = without.asNondeterministic()
     d = docs.withColumn("__t", F.xxhash64("text"))
     got = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__thash")), "left")
     less = without(F.when(F.col("__gone").isNotNull(), F.col("text")), F.col("__gone"))

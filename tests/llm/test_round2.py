@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagelattice.llm import bpe, hashing, lines, store, toxicity
 from pagelattice.session import cut
 from tests.llm.helpers import docs, words
@@ -75,3 +76,13 @@ def test_store_encodes_whole_texts_as_the_library(spark):
         assert ids[off[k] : off[k + 1]].tolist() == (enc.library.encode_ordinary(t) if t else [])
     far = "a b" + " \n" * 600_000 + "c"  # the library stops at such a run
     assert enc.library.decode(enc.encode([far])[0].tolist()) == far
+
+
+def test_line_dedup_runs_one_python_worker_a_task(spark, monkeypatch):
+    """The pipeline's filter on the new text doesn't have it computed twice."""
+    gone = lambda d, *_: d.select("doc_id", F.xxhash64("text").alias("thash"), F.array(F.lit(0)).alias("gone"))
+    monkeypatch.setattr(lines, "removals", gone)
+    d = docs(spark, [(1, "one line\nanother", "en", "a", 16, "", 0.0), (2, "only", "en", "a", 4, "", 0.0), (3, None, "en", "a", None, "", 0.0)])
+    out = corpus_pipeline.dedup_lines(spark, d, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(1, "another", 7), (3, None, None)}
