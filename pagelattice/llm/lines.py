@@ -1,12 +1,13 @@
 """Fuzzy line dedup: of the lines that a chain of near copies joins, one occurrence stays.
 
-1. Texts are read twice, for lines and for candidates. A line is normalised to its words (runs of ASCII letters and digits or of characters outside ASCII, in
+1. Texts are read twice, for lines with the hashes of their bands, and for the texts of candidates. A line is normalised to its words (runs of ASCII letters and digits or of characters outside ASCII, in
    lower case); it gets a 128-bit hash of them. Lines that are equal when normalised are one from here on, known by the
    hash's first 64 bits.
 2. Candidates are found by MinHash: the features of a line are its pairs of neighbouring words, its begin and end counted as words,
    so that one changed word changes two of them. Lines that agree on `ROWS` least hashes of one of the bands meet; of those, the
    ones whose lengths allow the edit similarity and whose SimHashes (of the words) differ in at most `distance` bits are pairs, and lines
-   of one meeting that chains of pairs join are a cluster. Rows and bands are the same for every input; the bands are taken `AT_A_TIME`, a reading of the texts each.
+   of one meeting that chains of pairs join are a cluster. Rows and bands are the same for every input; the bands are taken `AT_A_TIME`.
+   Their records are shuffled as blobs, one for some thousand lines and each bucket of keys, not as rows.
    (The pigeonhole blocks of a SimHash alone can't do it: lines of that edit similarity differ in up to 20 of 64 bits and more.)
 3. The edit similarity of all pairs within a cluster is verified on the normalised texts: 1 - Levenshtein distance / length of the longer; but no pair
    that similar ones join already, which changes no group. So clusters, and what is compared of lines that are all alike, grow with the number of lines, not of pairs.
@@ -48,13 +49,17 @@ STEPS = 2048
 #: Members of the clusters of a component up to which one task takes it whole.
 LARGE = 100_000
 #: Members of clusters, and characters of lines, from which a task settles the components that it has read so far.
-TOGETHER, TOGETHER_CHARS = 200_000, 1 << 22
-#: Pairs from which it pays to compare them.
+TOGETHER, TOGETHER_CHARS = 200_000, 1 << 23
+#: Pairs from which it pays to look at them, and to compare those that lengths and counts leave.
 ROUND = 8192
-#: Characters, after what two texts share at their ends, up to which pairs are compared at once; longer ones one by one.
-AT_ONCE = 448
+#: Pairs of as many blocks of 64 characters, for each block, from which they are compared at once; fewer ones one by one.
+AT_ONCE = 6
 #: Lines that a task remembers to have sent.
 SENT = 500_000
+#: Lines, and features, of which a task hashes the bands at once; bytes of the records of a bucket, about.
+PACKED, HASHED, BUCKET_BYTES = 32_768, 1 << 20, 4 << 20
+#: Values that are hashed by one function after the other while they are in the processor's cache.
+CACHED = 1 << 15
 _ODD = hashing.mix(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -88,14 +93,25 @@ def bands_for(lines: int | None = None) -> tuple[int, int]:
 
 
 def band_keys(g: np.ndarray, first: np.ndarray, rows: int, bands: int, start: int = 0) -> np.ndarray:
-    """32 bits for each run's bands from `start` on: equal if the run's least hashes by the band's functions are."""
-    out = np.empty((len(first) - 1, bands), np.uint64)
+    """32 bits for each run's bands from `start` on: equal if the run's least hashes by the band's functions are. Runs of about the same length are columns of one table."""
+    n = np.diff(first)
+    out = np.empty((len(n), bands), np.uint64)
+    order = np.argsort(n, kind="stable")
+    length, at = n[order], 0
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            key = np.zeros(len(first) - 1, np.uint64)
-            for i in range((start + b) * rows, (start + b + 1) * rows):
-                key = hashing.mix(key * _MULTIPLIER + np.minimum.reduceat(g * _ODD[i], first[:-1]))
-            out[:, b] = key >> np.uint64(32)
+        while at < len(order):
+            width = int(length[at])
+            stop = min(int(np.searchsorted(length, max(width + 4, width * 9 // 8), "right")), at + max(1, CACHED // width))
+            part, width = order[at:stop], int(length[stop - 1])
+            table = g[np.minimum(np.arange(width)[:, None], n[part] - 1) + first[part]]  # the last feature again, below shorter runs
+            hashed, least = np.empty_like(table), np.empty((bands * rows, len(part)), np.uint64)
+            for i in range(bands * rows):
+                np.minimum.reduce(np.multiply(table, _ODD[start * rows + i], out=hashed), axis=0, out=least[i])
+            key = np.zeros((bands, len(part)), np.uint64)
+            for i in range(rows):
+                key = hashing.mix(key * _MULTIPLIER + least[i::rows])
+            out[part] = (key >> np.uint64(32)).T
+            at = stop
     return out
 
 
@@ -126,55 +142,121 @@ def _lines(column: pa.Array):
         yield h, runs, text[have] + i, number[have], lid, (STEPS * np.log2(np.diff(before[runs]) + np.diff(runs) - 1)).astype(np.int64)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, thash, line_no, lid BINARY) of the lines with words; thash tells texts of one doc_id apart."""
+def scan(docs: DataFrame, rows: int = ROWS, bands: int = 0) -> DataFrame:
+    """Two kinds of rows, of one reading of the texts. Of each line with words: doc_id, thash, line_no and lid STRUCT<hi, lo>, its hash; thash tells texts of one doc_id apart.
+    Of some thousand lines together, if bands are wanted: rids, simhashes, sizes and, for AT_A_TIME bands each, keys0, keys14 ..., the bytes of arrays with a line's values side by side. A task packs a line once."""
     docs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("thash"), F.lower("text").alias("text"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["thash"], T.StructField("line_no", T.IntegerType()), T.StructField("lid", T.BinaryType())])
+    starts = range(0, bands, AT_A_TIME)
+    pair = T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
+    packs = ["rids", "simhashes", "sizes", *(f"keys{k}" for k in starts)]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("thash", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("lid", pair), *(T.StructField(c, T.BinaryType()) for c in packs)])
 
     def run(batches):
+        kinds, sent, wait = None, set(), []
+
+        def pack():
+            nonlocal wait
+            ids, sims, sizes, g, n = (np.concatenate(x) for x in zip(*wait))
+            wait = []
+            keys = band_keys(g, np.append(0, np.cumsum(n)), rows, bands).astype(np.uint32)
+            values = [ids, sims, sizes.astype(np.uint16), *(np.ascontiguousarray(keys[:, k : k + AT_A_TIME]) for k in starts)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=schema.names)
+
         for b in batches:
-            for _, _, text, number, lid, _ in _lines(b.column(2)):
+            kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.struct([("hi", pa.int64()), ("lo", pa.int64())])]
+            for h, runs, text, number, lid, size in _lines(b.column(2)):
                 row = pa.array(text)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number, pa.int32()), pa.array(lid, pa.binary())], names=schema.names)
+                raw = np.frombuffer(b"".join(lid), ">i8").astype(np.int64).reshape(-1, 2)
+                ids = np.ascontiguousarray(raw[:, 0])
+                both = pa.StructArray.from_arrays([pa.array(ids), pa.array(np.ascontiguousarray(raw[:, 1]))], names=["hi", "lo"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(number, pa.int32()), both, *(pa.nulls(len(ids), pa.binary()) for _ in packs)], names=schema.names)
+                if not bands:
+                    continue
+                new = np.zeros(len(ids), bool)
+                for k, x in enumerate(ids.tolist()):
+                    if x not in sent:
+                        sent.add(x)
+                        new[k] = True
+                if len(sent) > SENT:
+                    sent = set()
+                g, at = features(h, runs)
+                n = np.diff(at)
+                wait.append((ids[new], simhash(h, runs)[new], np.minimum(size, 0xFFFF)[new], g[np.repeat(new, n)], n[new]))
+                if sum(len(x[0]) for x in wait) > PACKED or sum(len(x[3]) for x in wait) > HASHED:
+                    yield pack()
             del b
+        if wait and sum(len(x[0]) for x in wait):
+            yield pack()
+        del sent, wait
         hashing.give_back()
 
     return small_batches(docs).mapInArrow(run, schema)
 
 
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, thash, line_no, lid) of the lines with words."""
+    return scan(docs).select("doc_id", "thash", "line_no", "lid")
+
+
 def rid(lid: Column) -> Column:
     """The first 64 bits of a line's hash as a number."""
-    return F.conv(F.hex(F.substring(lid, 1, 8)), 16, -10).cast("long")
+    return lid["hi"]
+
+
+_BUCKET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("records", T.BinaryType())])
 
 
-def band_rows(docs: DataFrame, rows: int, bands: int, start: int = 0) -> DataFrame:
-    """(key, rid, simhash), all BIGINT, for each of so many bands from `start` on of each line with words; key: 7 bits of the band, 32 of what must agree, 16 of the length. A task sends a line once."""
-    docs = docs.where("text is not null").select(F.lower("text").alias("text"))
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "rid", "simhash")])
-    of = np.arange(start, start + bands, dtype=np.int64) << 48
+def _by_bucket(records: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket, with the bytes of its records (rows of 64-bit numbers)."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    records, bucket = np.ascontiguousarray(records[order]), bucket[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    off = np.append(start, len(bucket)) * (8 * records.shape[1])
+    held = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(records)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), held], names=_BUCKET.names)
+
+
+def _buckets(batches, width: int):
+    """The records of each bucket, of rows that go by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, records in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket != now and held:
+                yield np.concatenate(held)
+                held = []
+            now = bucket
+            held.append(np.frombuffer(records.as_buffer(), np.int64).reshape(-1, width))
+    if held:
+        yield np.concatenate(held)
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows of _by_bucket, each bucket in one task and in one run."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def spread(packed: DataFrame, starts: list[int], buckets: int) -> DataFrame:
+    """The records (key, rid, simhash) of the packed lines of scan() for the bands of these columns, by buckets of what must agree. key: 7 bits of the band, 32 of what must agree, 16 of the length."""
+    packed = packed.where("rids is not null").select("rids", "simhashes", "sizes", *(f"keys{k}" for k in starts))
 
     def run(batches):
-        sent: set[int] = set()
         for batch in batches:
-            for h, runs, _, _, lid, size in _lines(batch.column(0)):
-                ids = np.frombuffer(b"".join(x[:8] for x in lid), ">i8").astype(np.int64)
-                new = []
-                for k, x in enumerate(ids.tolist()):
-                    if x not in sent:
-                        sent.add(x)
-                        new.append(k)
-                if len(sent) > SENT:
-                    sent = set()
-                if not new:
-                    continue
-                g, at = features(h, runs)
-                keys = band_keys(g, at, rows, bands, start)[new].astype(np.int64) << 16 | of | np.minimum(size[new], 0xFFFF)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[new], bands)), pa.array(np.repeat(simhash(h, runs)[new], bands))], names=schema.names)
-            del batch
-        del sent
+            for i in range(batch.num_rows):
+                ids, sims, sizes, *keys = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in enumerate([np.int64, np.int64, np.uint16, *[np.uint32] * len(starts)]))
+                for start, key in zip(starts, keys):
+                    key = key.reshape(len(ids), -1).astype(np.int64)
+                    records = np.empty((*key.shape, 3), np.int64)
+                    records[:, :, 0] = key << 16 | np.arange(start, start + key.shape[1]) << 48 | sizes[:, None]
+                    records[:, :, 1], records[:, :, 2] = ids[:, None], sims[:, None]
+                    yield _by_bucket(records.reshape(-1, 3), (key * buckets >> 32).ravel())
         hashing.give_back()
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return packed.mapInArrow(run, _BUCKET)
+
+
+def band_rows(docs: DataFrame, rows: int, bands: int, buckets: int = 16) -> DataFrame:
+    """The records of so many bands of each line with words, by buckets."""
+    return spread(scan(docs, rows, bands), list(range(0, bands, AT_A_TIME)), buckets)
 
 
 def masks(m: int, distance: int) -> list[int]:
@@ -200,15 +282,24 @@ def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             label = up
 
 
-def clusters(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(cluster, rid, first), all BIGINT: of the lines that share a band (band_rows), those that chains of pairs within the Hamming distance and of lengths that allow the similarity join, each with the least rid among them. cluster is a hash of its rids; equal ones come once."""
-    rows = rows.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("cluster", "rid", "first")])
+def meet(rows: DataFrame, distance: int, similarity: float, buckets: int) -> DataFrame:
+    """The records (cluster, rid), by buckets: of the lines that share a band (band_rows), those that chains of pairs within the Hamming distance and of lengths that allow the similarity join. cluster is a hash of its rids."""
     longer = math.ceil(STEPS * -math.log2(similarity)) + 1
 
-    def within(cols):
+    def within(records):
         """The clusters in the runs of one band's key, which go by length: each row is compared with those k rows on, for k = 1, 2 ... while some is short enough and not of its cluster yet."""
-        key, rid, sim = cols
+        # most lines share a key with no other
+        key = np.sort(records[:, 0] >> 16)
+        same = key[1:][key[1:] == key[:-1]]
+        if not len(same):
+            return np.zeros((0, 2), np.int64)
+        key = records[:, 0] >> 16
+        low = (1 << max(16, len(key).bit_length())) - 1
+        table = np.zeros(low + 1, bool)
+        table[same & low] = True  # by their last bits; those that only share these are alone in their run
+        records = records[table[key & low]]
+        records = records[np.argsort(records[:, 0])]
+        key, rid, sim = records[:, 0], np.ascontiguousarray(records[:, 1]), records[:, 2].astype(np.uint64)
         band, size = key >> 16, key & 0xFFFF
         label = np.arange(len(key))
         at, k = np.arange(len(key) - 1), 1
@@ -231,31 +322,45 @@ def clusters(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
         with np.errstate(over="ignore"):
             name = np.add.reduceat(hashing.mix(line.view(np.uint64)), start).view(np.int64)
         some = np.repeat(n > 1, n)
-        return [np.repeat(name, n)[some], line[some], np.repeat(line[start], n)[some]]
+        return np.stack([np.repeat(name, n)[some], line[some]], 1)
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
-            cols[2] = cols[2].view(np.uint64)
-            if rest is not None:
-                cols = [np.concatenate(p) for p in zip(rest, cols)]
-            # the last key may go on in the next batch
-            last = int(np.searchsorted(cols[0], cols[0][-1] >> 16 << 16)) if len(cols[0]) else 0
-            rest = [v[last:] for v in cols]
-            if last:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in within([v[:last] for v in cols])], names=schema.names)
-        if rest is not None and len(rest[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in within(rest)], names=schema.names)
-        rest = None
+        found, n = [], 0
+        for records in _buckets(batches, 3):
+            found.append(within(records))
+            n += len(found[-1])
+            if n > 1 << 18:
+                out = np.concatenate(found)
+                found, n = [], 0
+                yield _by_bucket(out, out[:, 0] % buckets)
+        if n:
+            out = np.concatenate(found)
+            yield _by_bucket(out, out[:, 0] % buckets)
+        del found
         hashing.give_back()
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["cluster", "rid"])
+    return _together(rows).mapInArrow(run, _BUCKET)
+
+
+def members_of(found: DataFrame) -> DataFrame:
+    """(cluster, rid, first), all BIGINT, of the records of meet(), each once; first: the least rid of the cluster."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("cluster", "rid", "first")])
+
+    def run(batches):
+        for records in _buckets(batches, 2):
+            records = records[np.lexsort((records[:, 1], records[:, 0]))]
+            records = records[np.append(True, (records[1:] != records[:-1]).any(1))]
+            start = np.flatnonzero(np.append(True, records[1:, 0] != records[:-1, 0]))
+            first = np.repeat(records[start, 1], np.diff(np.append(start, len(records))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (records[:, 0], records[:, 1], first)], names=schema.names)
+        hashing.give_back()
+
+    return _together(found).mapInArrow(run, schema)
 
 
 def close_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
     """(a, b) with a < b: all pairs within the clusters, each once."""
-    c = clusters(rows, distance, similarity)
+    c = members_of(meet(rows, distance, similarity, 16))
     return c.select("cluster", F.col("rid").alias("a")).join(c.select("cluster", F.col("rid").alias("b")), "cluster").where("a < b").select("a", "b").distinct()
 
 
@@ -297,7 +402,7 @@ def levenshtein(a: str | list[int], b: str | list[int], most: int | None = None)
 
 
 def within(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray, at_once: int = 2048) -> np.ndarray:
-    """Whether each pair of texts (arrays of code points) is at an edit distance of at most `most`: the bit-parallel program over all pairs at once, by blocks of 64 characters."""
+    """Whether each pair of texts (arrays of code points) is at an edit distance of at most `most`: the bit-parallel program over all pairs of as many blocks of 64 characters at once."""
     ok = np.zeros(len(left), bool)
     todo, cores = [], []
     for i, (a, b) in enumerate(zip(left, right)):
@@ -317,64 +422,92 @@ def within(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray, at
         if len(b) <= most[i]:
             ok[i] = True
             continue
-        if len(b) > AT_ONCE:
-            ok[i] = levenshtein(a.tolist(), b.tolist(), int(most[i])) <= most[i]
-            continue
         todo.append(i)
         cores.append((a, b))
-    order = sorted(range(len(todo)), key=lambda k: (len(cores[k][0]) + 63 >> 6, len(cores[k][1])))
+    blocks = np.array([len(a) + 63 >> 6 for a, _ in cores], np.int64)
+    order = np.lexsort(([len(b) for _, b in cores], blocks)).tolist()
     at = 0
     while at < len(order):
-        part = order[at : at + at_once]
-        at += at_once
-        got = _distances([cores[k] for k in part])
+        high = int(blocks[order[at]])
+        part = order[at : at + max(1, min(at_once, (1 << 22) // high))]
+        part = part[: int(np.searchsorted(blocks[part], high, "right"))]
+        at += len(part)
         rows = [todo[k] for k in part]
-        ok[rows] = got <= most[rows]
+        if len(part) < AT_ONCE * high:
+            ok[rows] = [levenshtein(cores[k][0].tolist(), cores[k][1].tolist(), int(most[i])) <= most[i] for k, i in zip(part, rows)]
+        else:
+            ok[rows] = _near([cores[k] for k in part], most[rows])
     return ok
 
 
-def _distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Edit distances of pairs of texts that aren't empty."""
+def _near(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distances of pairs of texts that aren't empty, the first of each of equally many blocks, are at most `most`. Pairs that can't be any more are left out on the way."""
     p, q = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
-    blocks, one = int(p.max() + 63 >> 6), np.uint64(1)
-    codes = np.concatenate([x for pair in pairs for x in pair])
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if codes.max() < np.iinfo(k).max - 1)
-    most = np.iinfo(kind).max
-    pattern, text = np.full((len(p), 64 * blocks), most, kind), np.full((int(q.max()), len(p)), most - 1, kind)
-    for k, (a, b) in enumerate(pairs):
-        pattern[k, : len(a)] = a
-        text[: len(b), k] = b
+    blocks, one, top = int(p.max() + 63 >> 6), np.uint64(1), np.uint64(63)
+    codes = np.concatenate([a for a, _ in pairs] + [b for _, b in pairs])
+    kind = np.zeros(int(codes.max()) + 1, np.int64)
+    kind[codes] = 1
+    kinds = int(kind.sum())
+    if len(pairs) > 64 and len(pairs) * kinds * blocks > 1 << 23:  # many scripts at once: a smaller table at a time
+        half = len(pairs) // 2
+        return np.concatenate([_near(pairs[:half], most[:half]), _near(pairs[half:], most[half:])])
+    codes = (np.cumsum(kind) - 1)[codes]
+    # where each kind of character is in the first text of each pair
+    pair, place = np.repeat(np.arange(len(p)), p), np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+    table = np.zeros((len(p) * kinds, blocks), np.uint64)
+    np.add.at(table.reshape(-1), ((pair * kinds + codes[: len(pair)]) * blocks + (place >> 6)), one << (place & 63).astype(np.uint64))
+    text = np.zeros((int(q.max()), len(p)), np.int64)
+    pair, place = np.repeat(np.arange(len(q)), q), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q)
+    text[place, pair] = pair * kinds + codes[len(codes) - len(pair) :]
     up, down = np.full((blocks, len(p)), ~np.uint64(0)), np.zeros((blocks, len(p)), np.uint64)
-    last, bit, score = p - 1 >> 6, (p - 1 & 63).astype(np.uint64), p.copy()
-    top = np.uint64(63)
+    bit, score, ok, at = (p - 1 & 63).astype(np.uint64), np.zeros(len(p), np.int64), np.zeros(len(p), bool), np.arange(len(p))
+    zeros, ones = np.zeros(len(p), np.uint64), np.ones(len(p), np.uint64)
+    # no path of at most so many edits leaves the blocks so near to the diagonal; what they get from outside is never too low
+    wide, last = int(most.max()), -1
     with np.errstate(over="ignore"):
         for j in range(len(text)):
-            same = np.packbits(pattern == text[j][:, None], axis=1, bitorder="little").view(np.uint64)
-            plus, minus = np.ones(len(p), np.uint64), np.zeros(len(p), np.uint64)  # what comes in from above
-            on = j < q
-            for b in range(blocks):
+            while last < min(blocks - 1, j + wide >> 6):
+                last += 1
+                score = score + (64 if last < blocks - 1 else p - 64 * last)
+            same = table[text[j]]
+            plus, minus = ones, zeros  # what comes in from above
+            for b in range(max(0, j - wide >> 6), last + 1):
                 eq, pv, mv = same[:, b], up[b], down[b]
                 xv = eq | mv
                 eq = eq | minus
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph, mh = mv | ~(xh | pv), pv & xh
-                here = on & (last == b)
-                score += np.where(here, ((ph >> bit) & one).astype(np.int64) - ((mh >> bit) & one).astype(np.int64), 0)
+                if b == last:
+                    low = bit if last == blocks - 1 else top
+                    score = score + ((ph >> low) & one).view(np.int64) - ((mh >> low) & one).view(np.int64)
                 out_plus, out_minus = ph >> top, mh >> top
                 ph, mh = ph << one | plus, mh << one | minus
                 up[b], down[b] = mh | ~(xv | ph), ph & xv
                 plus, minus = out_plus, out_minus
-    return score
+            over = q == j + 1
+            if over.any():
+                ok[at[over]] = score[over] <= most[over]
+            if j & 15 == 15:
+                # a path through another row of this column, or on to the end, makes up for one edit a row at most
+                row = p if last == blocks - 1 else 64 * (last + 1)
+                stay = (q > j + 1) & (score - np.abs(row - (p - q + (j + 1))) <= most)
+                n = int(stay.sum())
+                if not n:
+                    break
+                if n < 0.8 * len(stay):
+                    p, q, most, bit, score, at, zeros, ones = (x[stay] for x in (p, q, most, bit, score, at, zeros, ones))
+                    text, up, down = text[:, stay], up[:, stay], down[:, stay]
+    return ok
 
 
 def histograms(lines: list[str]) -> np.ndarray:
     """Counts of each text's characters in 64 classes; texts at an edit distance of d differ by at most d in what they have more or less."""
-    return _counts([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines], 1, 64)
+    return _counts([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines], 1, 64).astype(np.int16)
 
 
 def _counts(codes: list[np.ndarray], grams: int, classes: int) -> np.ndarray:
-    """Counts of each text's runs of so many characters in classes by a hash. An edit takes at most `grams` of them away and brings as many (up to 32,767 are counted, which only brings texts closer)."""
-    out = np.zeros((len(codes), classes), np.int16)
+    """Counts of each text's runs of so many characters in classes by a hash. An edit takes at most `grams` of them away and brings as many (up to 255 are counted, which only brings texts closer)."""
+    out = np.zeros((len(codes), classes), np.uint8)
     for k in range(0, len(codes), 2048):
         part = codes[k : k + 2048]
         n = np.array([len(c) for c in part])
@@ -388,10 +521,18 @@ def _counts(codes: list[np.ndarray], grams: int, classes: int) -> np.ndarray:
         if grams > 1:
             kind = hashing.mix(kind)
         got = np.bincount(row * classes + (kind % np.uint64(classes)).astype(np.int64), minlength=len(part) * classes)
-        out[k : k + 2048] = np.minimum(got, 32767).reshape(len(part), classes)
+        out[k : k + 2048] = np.minimum(got, 255).reshape(len(part), classes)
     return out
 
 
+def _more(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much the counts of each row of a exceed those of b, at most 255 each, in all; eight counts are added at a time."""
+    x = (np.maximum(a, b) - b).view(np.uint64)
+    low = np.uint64(0x00FF00FF00FF00FF)
+    x = (x & low) + (x >> np.uint64(8) & low)
+    return x.sum(1).view(np.uint16).reshape(-1, 4).sum(1, dtype=np.int64)
+
+
 class _Texts:
     """Texts of which pairs are compared: by SimHashes as candidates are, by lengths and counts, which never refuse a similar pair, and then as they are."""
 
@@ -401,24 +542,40 @@ class _Texts:
         self.codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in lines]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         self.rest, self.unlike = 1 - least, np.zeros(0, np.int64)
-        self.one, self.two = _counts(self.codes, 1, 64), _counts(self.codes, 2, 256)
+        self.counts = [(g, _counts(self.codes, g, n)) for g, n in ((1, 64), (2, 256), (3, 1024))]
+        self.lines, self.spaces = lines, np.array([t.count(" ") for t in lines], np.int64)
 
-    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the texts x and y are, pair by pair."""
-        most = np.floor(np.maximum(self.size[x], self.size[y]) * self.rest + 1e-9).astype(np.int64)
+    def most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The edit distances up to which the texts x and y are similar."""
+        return np.floor(np.maximum(self.size[x], self.size[y]) * self.rest + 1e-9).astype(np.int64)
+
+    def likely(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the texts x and y may be similar, pair by pair."""
+        most = self.most(x, y)
         out = (np.bitwise_count(self.sim[x] ^ self.sim[y]) <= self.distance) & (np.abs(self.size[x] - self.size[y]) <= most)
-        for counts, grams in ((self.one, 1), (self.two, 2)):
+        for grams, counts in self.counts:
             left = np.flatnonzero(out)
-            for k in range(0, len(left), 4096):
-                i = left[k : k + 4096]
-                d = counts[x[i]].astype(np.int32) - counts[y[i]]
-                more = np.maximum(d, 0).sum(1)
-                out[i] = np.maximum(more, more - d.sum(1)) <= grams * most[i]
-        name = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
-        out &= ~np.isin(name, self.unlike)  # pairs of several clusters are compared once
-        left = np.flatnonzero(out)
+            for k in range(0, len(left), 2048):
+                i = left[k : k + 2048]
+                a, b = counts[x[i]], counts[y[i]]
+                out[i] = np.maximum(_more(a, b), _more(b, a)) <= grams * most[i]
+        if len(self.unlike):  # pairs of several clusters are compared once
+            name = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
+            out &= self.unlike[np.minimum(np.searchsorted(self.unlike, name), len(self.unlike) - 1)] != name
+        return out
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the texts x and y are, pair by pair."""
+        most = self.most(x, y)
+        out = np.zeros(len(x), bool)
+        # texts of as many words are, if to exchange the words that differ, place by place, isn't too much
+        for i in np.flatnonzero(self.spaces[x] == self.spaces[y]).tolist():
+            a, b = self.lines[x[i]].split(" "), self.lines[y[i]].split(" ")
+            out[i] = sum(max(len(v), len(w)) for v, w in zip(a, b) if v != w) <= most[i]
+        left = np.flatnonzero(~out)
         out[left] = within([self.codes[i] for i in x[left].tolist()], [self.codes[i] for i in y[left].tolist()], most[left])
-        self.unlike = np.union1d(self.unlike, name[left[~out[left]]])
+        name = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
+        self.unlike = np.union1d(self.unlike, name[~out])
         return out
 
 
@@ -433,7 +590,7 @@ def settle(lines: list[str], cluster: np.ndarray, member: np.ndarray, least: flo
     rank[sorted(range(len(lines)), key=lines.__getitem__)] = np.arange(len(lines))
     order = np.lexsort((rank[member], cluster))
     cluster, member = np.unique(cluster[order], return_inverse=True)[1], member[order]
-    at, k, wait, waiting = np.arange(len(member) - 1), 1, [], 0
+    at, k, wait, waiting, held, holding = np.arange(len(member) - 1), 1, [], 0, [], 0
     while True:
         at = at[: np.searchsorted(at, len(member) - k)]
         at = at[cluster[at] == cluster[at + k]]
@@ -442,15 +599,24 @@ def settle(lines: list[str], cluster: np.ndarray, member: np.ndarray, least: flo
         x, y = x[apart], y[apart]
         wait.append(np.minimum(x, y) * len(lines) + np.maximum(x, y))
         waiting += len(x)
-        if k & k - 1 == 0 or waiting >= ROUND or not len(at):
+        turn = k & k - 1 == 0 or not len(at)
+        if turn or waiting >= ROUND:
             new = np.unique(np.concatenate(wait))
             for i in range(0, len(new), 8 * ROUND):
-                p, q = np.divmod(new[i : i + 8 * ROUND], len(lines))
+                part = new[i : i + 8 * ROUND]
+                held.append(part[texts.likely(*np.divmod(part, len(lines)))])
+                holding += len(held[-1])
+            wait, waiting = [], 0
+        if turn or holding >= 4 * ROUND:
+            # what is likely waits until it is many: comparing few pairs at once takes nearly as long
+            new = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            for i in range(0, len(new), 4 * ROUND):
+                p, q = np.divmod(new[i : i + 4 * ROUND], len(lines))
                 far = label[p] != label[q]
                 p, q = p[far], q[far]
                 good = texts.similar(p, q)
                 label = unite(label, p[good], q[good])
-            wait, waiting = [], 0
+            held, holding = [], 0
             # clusters that are one group are done
             first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
             done = np.minimum.reduceat(label[member], first) == np.maximum.reduceat(label[member], first)
@@ -552,19 +718,29 @@ def fetch(docs: DataFrame, need: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, thash, gone ARRAY<INT>): the numbers of the lines that each text loses."""
     docs = docs.select("doc_id", "text")
-    occ = cut(occurrences(docs), "lines")
-    at = F.struct("doc_id", "thash", "line_no")
-    one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")).withColumn("rid", rid(F.col("lid"))), "distinct-lines")
+    read = cut(scan(docs, ROWS, BANDS), "lines")
+    occ = read.where("lid is not null").select("doc_id", "thash", "line_no", "lid")
+    n = read.agg(F.sum(F.length("rids") / 8)).first()[0] or 0
+    buckets = min(1 << 20, 1 + int(n) * AT_A_TIME * 24 // BUCKET_BYTES)
     parts = []
     for start in range(0, BANDS, AT_A_TIME):
-        parts.append(cut(clusters(band_rows(docs, ROWS, min(AT_A_TIME, BANDS - start), start), distance, similarity), "clusters"))
-    members = cut(reduce(DataFrame.unionAll, parts).dropDuplicates(["cluster", "rid"]), "clusters")
+        parts.append(cut(meet(spread(read, [start], buckets), distance, similarity, 1 + buckets // 8), "clusters"))
+    members = cut(members_of(reduce(DataFrame.unionAll, parts)), "clusters")
     for t in parts:
         drop_cut(t)
-    close = components(members, "first", "rid")
+    close = cut(components(members, "first", "rid"), "components")
+    # all but the lines that are alone, which most are
+    twice = occ.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select(rid(F.col("lid")).alias("node"))
+    some = cut(close.select("node").unionAll(twice).distinct(), "some")
+    some_of = cut(occ.join(maybe_broadcast(some), rid(F.col("lid")) == F.col("node"), "left_semi"), "lines")
+    drop_cut(read)
+    drop_cut(some)
+    occ, at = some_of, F.struct("doc_id", "thash", "line_no")
+    one = cut(occ.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")).withColumn("rid", rid(F.col("lid"))), "distinct-lines")
     need = cut(close.withColumnRenamed("node", "rid").join(one.select("rid", "first.*"), "rid"), "need")
     texts = cut(fetch(docs, need.drop("component")).join(need.select("rid", "component"), "rid"), "texts")
     drop_cut(need)
+    drop_cut(close)
     groups = cut(verified_groups(members, texts, similarity, distance), "groups")
     for t in (members, texts):
         drop_cut(t)
@@ -598,7 +774,7 @@ def dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILAR
     # else a filter on the text has it computed twice, by two Python workers of a task at once
     without = without.asNondeterministic()
     d = docs.withColumn("__t", F.xxhash64("text"))
-    got = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__thash")), "left")
+    got = d.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__thash")), "left")
     less = without(F.when(F.col("__gone").isNotNull(), F.col("text")), F.col("__gone"))
     return got.select(
         *(F.coalesce(less, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
