@@ -1,6 +1,8 @@
 """Files through a command of another package: it reads a file from its input and writes what it makes of it to its output.
 
-So no file is laid down on an executor's disk. Converters to HTML and to other formats are such commands.
+So no file is laid down on an executor's disk. Converters to HTML and to other formats are such commands. Starting a command is what small
+files cost, so it is started without a shell, pipes or threads: its input and outputs are files in memory that a task keeps. Rows are
+spread over all cores first, as a few small files of a table can hold very many of them.
 
 Defined cases: null content isn't sent and has an error; a command that is missing, fails, takes too long or writes nothing gives an error
 and null output; repeated files are sent again; an empty table runs nothing; very large files are held in memory one at a time.
@@ -8,6 +10,9 @@ and null output; repeated files are sent again; an empty table runs nothing; ver
 
 from __future__ import annotations
 
+import os
+import select
+import signal
 import subprocess
 
 import pyarrow as pa
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import gates
+from ..session import spread
 
 #: What a converter always warns of.
 NOISE = ("undefined ", "defined name/values", "unmatched field end")
@@ -23,31 +29,100 @@ LINES = 12
 TIMEOUT = 300.0
 
 
-def run(files: DataFrame, command: list[str], timeout: float = TIMEOUT) -> DataFrame:
-    """(path, output BINARY, said STRING: what the command wrote beside it, error STRING) of files (path, content)."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("output", T.BinaryType()), T.StructField("said", T.StringType()), T.StructField("error", T.StringType())])
-
-    def one(content: bytes | None) -> tuple[bytes | None, str | None, str | None]:
+#: Rows and bytes of output that are sent on together.
+ROWS, BYTES = 1000, 1 << 20
+_RESULT = [("size", T.LongType(), pa.int64()), ("output", T.BinaryType(), pa.binary()), ("said", T.StringType(), pa.string()), ("error", T.StringType(), pa.string())]
+
+
+class _Runner:
+    """Starts a command again and again."""
+
+    def __init__(self, command: list[str], timeout: float):
+        self.command, self.timeout = command, timeout
+        self.files = [os.memfd_create(n) for n in ("in", "out", "err")] if hasattr(os, "memfd_create") and hasattr(os, "pidfd_open") else []
+
+    def __call__(self, content: bytes) -> tuple[int, bytes, bytes]:
+        """(exit code, output, what was said); FileNotFoundError and TimeoutExpired as subprocess has them."""
+        if not self.files:
+            done = subprocess.run(self.command, input=content, capture_output=True, timeout=self.timeout)
+            return done.returncode, done.stdout, done.stderr
+        for f in self.files:
+            os.lseek(f, 0, os.SEEK_SET)
+            os.ftruncate(f, 0)
+        rest = memoryview(content)
+        while rest:
+            rest = rest[os.write(self.files[0], rest) :]
+        os.lseek(self.files[0], 0, os.SEEK_SET)
+        pid = os.posix_spawnp(self.command[0], self.command, os.environ, file_actions=[(os.POSIX_SPAWN_DUP2, f, k) for k, f in enumerate(self.files)], setsigdef=[signal.SIGPIPE])
+        end = os.pidfd_open(pid)
+        try:
+            wait = select.poll()
+            wait.register(end, select.POLLIN)
+            late = not wait.poll(self.timeout * 1000)
+            if late:
+                os.kill(pid, signal.SIGKILL)
+            code = os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])
+        finally:
+            os.close(end)
+        if late:
+            # what the command started may still write
+            self.close()
+            self.__init__(self.command, self.timeout)
+            raise subprocess.TimeoutExpired(self.command, self.timeout)
+        return code, self._read(1), self._read(2)
+
+    def _read(self, k: int) -> bytes:
+        f, parts, at = self.files[k], [], 0
+        while part := os.pread(f, 1 << 30, at):
+            parts.append(part)
+            at += len(part)
+        return b"".join(parts)
+
+    def close(self) -> None:
+        for f in self.files:
+            os.close(f)
+
+
+def _results(files: DataFrame, command: list[str], timeout: float) -> DataFrame:
+    """(path, size BIGINT: of the content, output, said, error) of files (path, content)."""
+    schema = T.StructType([T.StructField("path", T.StringType())] + [T.StructField(n, k) for n, k, _ in _RESULT])
+
+    def one(start: _Runner, content: bytes | None) -> tuple[bytes | None, str | None, str | None]:
         if content is None:
             return None, None, "no content"
         try:
-            done = subprocess.run(command, input=content, capture_output=True, timeout=timeout)
+            code, output, said = start(content)
         except FileNotFoundError:
             return None, None, f"no command {command[0]}"
         except subprocess.TimeoutExpired:
             return None, None, f"took more than {timeout:g} seconds"
-        said = done.stderr.decode("utf-8", "replace")
-        if done.returncode:
-            return None, said, f"exit code {done.returncode}"
-        return (done.stdout, said, None) if done.stdout else (None, said, "no output")
+        said = said.decode("utf-8", "replace")
+        if code:
+            return None, said, f"exit code {code}"
+        return (output, said, None) if output else (None, said, "no output")
 
     def send(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                output, said, error = one(b.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([output], pa.binary()), pa.array([said], pa.string()), pa.array([error], pa.string())], names=schema.names)
+        start = _Runner(command, timeout)
+        try:
+            for b in batches:
+                first, rows, size = 0, [], 0
+                for i in range(b.num_rows):
+                    content = b.column(1)[i].as_py()
+                    rows.append((None if content is None else len(content), *one(start, content)))
+                    size += len(rows[-1][1] or b"") + len(rows[-1][2] or "")
+                    if size >= BYTES or len(rows) >= ROWS or i + 1 == b.num_rows:
+                        cols = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, k) for c, (_, _, k) in zip(cols, _RESULT))], names=schema.names)
+                        first, rows, size = i + 1, [], 0
+        finally:
+            start.close()
+
+    return spread(files.select("path", "content"), "path").mapInArrow(send, schema)
+
 
-    return files.select("path", "content").mapInArrow(send, schema)
+def run(files: DataFrame, command: list[str], timeout: float = TIMEOUT) -> DataFrame:
+    """(path, output BINARY, said STRING: what the command wrote beside it, error STRING) of files (path, content)."""
+    return _results(files, command, timeout).drop("size")
 
 
 def error_lines(said: Column, most: int = LINES) -> Column:
@@ -58,7 +133,7 @@ def error_lines(said: Column, most: int = LINES) -> Column:
 
 def html_candidates(files: DataFrame, command: list[str], timeout: float = TIMEOUT) -> DataFrame:
     """(path, html, reason) of files by a converter to HTML: html only if it kept the content, else the reason why it didn't."""
-    made = run(files, command, timeout).join(files.select("path", F.length("content").alias("size")), "path")
+    made = _results(files, command, timeout)
     html = F.decode("output", "UTF-8")
     cells = F.regexp_count(html, F.lit(r"(?i)<t[dh][\s>]"))
     filled = F.regexp_count(html, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(?:\s|&nbsp;|<(?!/?t[dhr])[^>]*>)*[^<\s]"))
