@@ -9,63 +9,68 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 MERGED = "〃"
-#: Columns that a table may declare beyond those that its cells reach.
-MAX_COLUMNS = 200
-#: Row and column addresses from here on are taken for damage.
+#: Rows or columns in a row without the beginning or end of a cell that are taken for damage.
 FAR = 1 << 14
 
 
-def _joined(rows: Column, sep_rows: bool = True) -> Column:
-    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(F.get(rows, F.lit(0)))), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
-
-
-def render_grid(cells: DataFrame, key: str, marks: bool = True, most: int = MAX_COLUMNS) -> DataFrame:
+def render_grid(cells: DataFrame, key: str, marks: bool = True) -> DataFrame:
     """(key, n_rows, n_cols, markdown, truncated) of cells (key, cell_no, declared_cols, row, col, rowspan, colspan, blocks ARRAY<STRING>).
 
-    One shuffle, by table; only what cells hold is sent, blank slots are drawn. A table has as many columns as its cells reach, or as
-    it declares up to `most`. A spanning cell's text stands at its top left; the rows below it have the mark of a merged cell in its
-    first column. A later cell overwrites an earlier one. Empty rows at the top go while others are left.
+    One shuffle, by table, and one aggregation: a table's cells become one array, in which it is drawn; only what cells hold is sent, blank slots
+    are drawn. A table has as many rows as its cells reach, and as many columns as they reach or as it declares. A spanning cell's text stands at its top left;
+    the rows below it have the mark of a merged cell in its first column. A later cell overwrites an earlier one. Empty rows at the top
+    go while others are left.
 
-    Defined cases: null keys are one table; null blocks and spans are empty and single; cells that are written twice count once;
-    a cell whose address is null, negative or FAR and beyond isn't drawn, and its table is `truncated`; spans end at FAR; other
+    Defined cases: null keys are one table; null blocks and spans are empty and single; cells that are written twice count once; a cell
+    whose address is null or negative isn't drawn, and its table is `truncated`; FAR rows or columns and more in which no cell begins or
+    ends are drawn as one, so a damaged address or span costs no memory, every cell is kept, and the table is `truncated` as well; other
     columns are left out, whatever their names; no cells, no rows.
     """
-    at = lambda c: F.col(c).cast("int")
-    good = F.coalesce((at("row") >= 0) & (at("row") < FAR) & (at("col") >= 0) & (at("col") < FAR), F.lit(False))
-    span = lambda c: F.greatest(F.lit(1), F.coalesce(at(c), F.lit(1)))
+    at = lambda c: F.col(c).cast("int").cast("long")
+    good = F.coalesce((at("row") >= 0) & (at("col") >= 0), F.lit(False))
+    end = lambda a, b: at(a) + F.greatest(F.lit(1), F.coalesce(at(b), F.lit(1)))
     text = F.coalesce(X.escape_cell(X.merge_bold_runs(F.col("blocks"))), F.lit(""))
-    t = cells.select(F.col(key).alias("__key"), "cell_no", "declared_cols", at("row").alias("row"), at("col").alias("col"), span("rowspan").alias("down"), span("colspan").alias("across"), text.alias("text"), good.alias("good"))
-    whole = Window.partitionBy("__key")
-    end = lambda a, b: F.coalesce(F.max(F.when(F.col("good"), F.least(F.col(a).cast("long") + F.col(b), F.lit(FAR)))).over(whole), F.lit(1)).cast("int")
-    declared = F.least(F.lit(most), F.coalesce(F.max("declared_cols").over(whole), F.lit(0)))
-    t = t.withColumn("n", end("row", "down")).withColumn("m", F.greatest(end("col", "across"), declared).cast("int")).withColumn("cut", F.bool_or(~F.col("good")).over(whole))
-    depth = F.least(F.col("down"), F.col("n") - F.col("row")) if marks else F.lit(1)
-    drawn = F.transform(F.sequence(F.lit(0), depth - 1), lambda d: F.struct((F.col("row") + d).alias("r"), F.when(d == 0, F.col("text")).otherwise(MERGED).alias("v")))
-    nothing = F.array(F.struct(F.lit(0).alias("r"), F.lit(None).cast("string").alias("v")))
-    e = t.select("__key", "n", "m", "cut", "col", "cell_no", F.explode(F.when(F.col("good"), drawn).otherwise(nothing)).alias("e")).select("__key", "n", "m", "cut", F.col("e.r").alias("r"), F.struct("col", "cell_no", F.col("e.v").alias("v")).alias("x"))
-    # the cells of a row in order of columns; of several in one place the last counts
-    row = e.groupBy("__key", "n", "m", "cut", "r").agg(F.array_sort(F.collect_list(F.when(F.col("x.v").isNotNull(), F.col("x")))).alias("x"))
-    row = row.withColumn("x", F.filter("x", lambda c, i: ~F.coalesce(F.get(F.col("x"), i + 1)["col"] == c["col"], F.lit(False))))
+    x = F.struct(at("row").alias("r"), at("col").alias("c"), F.col("cell_no").alias("k"), end("row", "rowspan").alias("down"), end("col", "colspan").alias("across"), text.alias("v"))
+    t = cells.select(F.col(key).alias("__key"), F.col("declared_cols").cast("long").alias("declared"), F.when(good, x).alias("x"))
+    g = t.groupBy("__key").agg(F.collect_list("x").alias("x"), F.coalesce(F.max("declared"), F.lit(0)).alias("declared"), F.bool_or(F.col("x").isNull()).alias("cut"))
+    reach = lambda f: F.coalesce(F.array_max(F.transform("x", lambda e: e[f])), F.lit(1))
+
+    def stretches(first: str, last: str, most: Column, *others: Column) -> Column:
+        """Where nothing begins or ends for FAR rows or columns, and how many of them are left out."""
+        edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long"), *others), F.transform("x", lambda e: e[first]), F.transform("x", lambda e: e[first] + 1), F.transform("x", lambda e: e[last]))))
+        gaps = X.let(edges, lambda v: F.filter(F.transform(v, lambda a, i: F.struct(a.alias("at"), (F.get(v, i + 1) - a - 1).alias("n"))), lambda s: s["n"] >= FAR - 1))
+        return F.when(most > FAR, gaps).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>"))
+
+    g = g.withColumn("tall", stretches("r", "down", reach("down"))).withColumn("wide", stretches("c", "across", F.greatest(reach("across"), "declared"), F.greatest(F.col("declared"), F.lit(0))))
+    near = lambda v, gaps: v - F.aggregate(F.filter(gaps, lambda s: s["at"] < v), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+    moved = F.transform("x", lambda e: F.struct(near(e["r"], "tall").alias("r"), near(e["c"], "wide").alias("c"), e["k"].alias("k"), near(e["down"], "tall").alias("down"), near(e["across"], "wide").alias("across"), e["v"].alias("v")))
+    far = F.size("tall") + F.size("wide") > 0
+    g = g.select("__key", F.when(far, moved).otherwise(F.col("x")).alias("x"), F.when(far, near(F.col("declared"), "wide")).otherwise(F.col("declared")).alias("declared"), (F.col("cut") | far).alias("cut"))
+    one = lambda e, r, v: F.struct(r.alias("r"), e["c"].alias("c"), e["k"].alias("k"), v.alias("v"))
+    own = lambda e: F.array(one(e, e["r"], e["v"]))
+    below = lambda e: F.transform(F.sequence(e["r"], e["down"] - 1), lambda r: one(e, r, F.when(r == e["r"], e["v"]).otherwise(MERGED)))
+    drawn = F.flatten(F.transform("x", lambda e: F.when(e["down"] - e["r"] > 1, below(e)).otherwise(own(e)))) if marks else F.transform("x", lambda e: one(e, e["r"], e["v"]))
+    g = g.select("__key", "cut", reach("down").alias("n"), F.greatest(reach("across"), "declared").cast("int").alias("m"), F.array_sort(drawn).alias("y"))
+    # of several in one place the last counts
+    same = lambda a, b: F.coalesce((a["r"] == b["r"]) & (a["c"] == b["c"]), F.lit(False))
+    g = g.withColumn("y", F.filter("y", lambda e, i: ~same(F.get(F.col("y"), i + 1), e)))
+    g = g.withColumn("first", F.coalesce(F.get(F.filter("y", lambda e: F.trim(e["v"]) != ""), F.lit(0))["r"], F.col("n") - 1))
     gap = F.lit(" | ")
-    cell = F.transform("x", lambda c, i: F.concat(F.repeat(gap, c["col"] - F.coalesce(F.get(F.col("x"), i - 1)["col"], F.lit(0))), c["v"]))
-    last = F.coalesce(F.get(F.col("x"), F.size("x") - 1)["col"], F.lit(0))
-    line = F.concat(F.lit("| "), F.array_join(cell, ""), F.repeat(gap, F.col("m") - 1 - last), F.lit(" |"))
-    row = row.select("__key", "n", "m", "cut", F.struct("r", line.alias("line"), F.exists("x", lambda c: F.trim(c["v"]) != "").alias("some")).alias("row"))
-    g = row.groupBy("__key", "n", "m", "cut").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    first = F.coalesce(F.get(F.filter("rows", lambda x: x["some"]), F.lit(0))["r"], F.col("n") - 1)
-    blank = F.concat(F.lit("| "), F.repeat(gap, F.col("m") - 1), F.lit(" |"))
-    g = g.withColumn("first", first).withColumn("blank", blank).withColumn("kept", F.filter("rows", lambda x: x["r"] >= F.col("first")))
-    head = F.coalesce(F.get(F.filter("kept", lambda x: x["r"] == F.col("first")), F.lit(0))["line"], F.col("blank"))
+    times = lambda s, n: F.repeat(s, n.cast("int"))
     rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("m")), " | "), F.lit(" |"))
-    empty = F.concat(F.lit("\n"), F.col("blank"))
-    rest = F.filter("kept", lambda x: x["r"] > F.col("first"))
-    g = g.withColumn("rest", rest)
-    body = F.transform("rest", lambda x, i: F.concat(F.repeat(empty, x["r"] - 1 - F.coalesce(F.get(F.col("rest"), i - 1)["r"], F.col("first"))), F.lit("\n"), x["line"]))
-    under = F.repeat(empty, F.col("n") - 1 - F.coalesce(F.get(F.col("rest"), F.size("rest") - 1)["r"], F.col("first")))
-    markdown = F.concat(head, rule, F.array_join(body, ""), under)
-    return g.select(F.col("__key").alias(key.split(".")[-1]), (F.col("n") - F.col("first")).alias("n_rows"), F.col("m").alias("n_cols"), markdown.alias("markdown"), F.col("cut").alias("truncated"))
+    g = g.withColumn("z", F.filter("y", lambda e: e["r"] >= F.col("first"))).withColumn("rule", rule).withColumn("blank", F.concat(F.lit("| "), times(gap, F.col("m") - 1), F.lit(" |")))
+    empty = lambda n: times(F.concat(F.lit("\n"), "blank"), n)
+    close = lambda e: F.concat(times(gap, F.col("m") - 1 - e["c"]), F.lit(" |"), F.when(e["r"] == F.col("first"), F.col("rule")).otherwise(""))
+    begin = lambda e: F.concat(F.lit("| "), times(gap, e["c"]), e["v"])
+
+    def piece(e: Column, p: Column) -> Column:
+        """What a cell adds behind the one before it."""
+        return F.when(p.isNull(), begin(e)).when(p["r"] == e["r"], F.concat(times(gap, e["c"] - p["c"]), e["v"])).otherwise(F.concat(close(p), empty(e["r"] - p["r"] - 1), F.lit("\n"), begin(e)))
+
+    last = F.get(F.col("z"), F.size("z") - 1)
+    pieces = F.array_join(F.transform("z", lambda e, i: X.let(F.get(F.col("z"), i - 1), lambda p: piece(e, p))), "")
+    markdown = F.when(F.size("z") == 0, F.concat("blank", "rule")).otherwise(F.concat(pieces, close(last), empty(F.col("n") - 1 - last["r"])))
+    return g.select(F.col("__key").alias(key.split(".")[-1]), (F.col("n") - F.col("first")).cast("int").alias("n_rows"), F.col("m").alias("n_cols"), markdown.alias("markdown"), F.col("cut").alias("truncated"))
 
 
 def render_padded(rows: Column) -> Column:

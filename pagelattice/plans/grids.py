@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..session import spread
 from .base import query, table
 
 _LINES = "l as (select l_orderkey, l_linenumber, max(l_partkey) as part, max(l_quantity)::int as qty, max(l_returnflag) as flag from lineitem group by all), "
@@ -12,7 +13,8 @@ _NO = _LINES + "r as (select *, row_number() over (partition by l_orderkey order
 
 
 def _lines(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("int").alias("qty"), F.max("l_returnflag").alias("flag"))
+    # sent by order once: grouping, numbering and what follows keep to that, and to its sort
+    l = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("int").alias("qty"), F.max("l_returnflag").alias("flag"))
     from pyspark.sql.window import Window
 
     return l.withColumn("row", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("int"))
@@ -83,7 +85,7 @@ def header_flatten(spark, sf_dir):
 )
 def structure_gap(spark, sf_dir):
     """How much of its declared grid a table's cells cover."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    l = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey").distinct()
     t = l.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n_rows")).withColumn("n_cols", F.lit(4))
     n = F.col("l_linenumber")
     return grid.structure_gap(t, l.select("l_orderkey", (n - 1).alias("row0"), (n + 1).alias("row1"), (n % 2).alias("col0"), (n % 2 + 3).alias("col1")), "l_orderkey")

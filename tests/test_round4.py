@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pagelattice.sources import commands, html
+from pagelattice.operators import grid
+from pagelattice.sources import commands, html, hwp
 
 
 def test_names_without_semicolon(spark):
@@ -25,3 +26,27 @@ def test_commands_over_all_cores(spark):
 def test_command_runner():
     r = commands._Runner(["sh", "-c", "cat; echo said >&2; kill -9 $$"], 5.0)
     assert [r(b"a" * n) for n in (100_000, 0, 7)] == [(-9, b"a" * n, b"said\n") for n in (100_000, 0, 7)]
+
+
+def test_tall_and_damaged_tables(spark):
+    """Rows beyond 16384 are drawn; a damaged address keeps its cell and costs no memory."""
+    kind = "t int, cell_no int, declared_cols int, row int, col int, rowspan int, colspan int, blocks array<string>"
+    tall = spark.range(20000).select(F.lit(1).alias("t"), F.col("id").cast("int").alias("cell_no"), F.lit(0).alias("declared_cols"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.array(F.col("id").cast("string")).alias("blocks"))
+    big = 2**31 - 1
+    odd = spark.createDataFrame(
+        [(2, 0, 0, 0, 0, 1, 1, ["a"]), (2, 1, 0, big, 1, 1, 1, ["b"]), (3, 0, 0, 0, 0, big, 1, ["a"]), (3, 1, 0, 1, 1, 1, 1, ["b"]), (4, 0, 0, 0, big, 1, big, ["a"]), (5, 0, 0, 0, 0, 1, 1, ["a"]), (5, 1, 0, -1, 0, 1, 1, ["b"]), (6, 0, 300, 0, 0, 1, 1, ["a"]), (7, 0, big, 0, 0, 1, 1, ["a"])],
+        kind,
+    )
+    got = {r["t"]: r[1:] for r in grid.render_grid(tall.unionByName(odd), "t").collect()}
+    assert got[1][:2] == (20000, 1) and got[1][3] is False and got[1][2] == "| 0 |\n| --- |\n" + "\n".join(f"| {k} |" for k in range(1, 20000))
+    assert got[2] == (3, 2, "| a |  |\n| --- | --- |\n|  |  |\n|  | b |", True)
+    assert got[3] == (3, 2, "| a |  |\n| --- | --- |\n| 〃 | b |\n| 〃 |  |", True)
+    assert got[4] == (1, 3, "|  | a |  |\n| --- | --- | --- |", True)
+    assert got[5] == (1, 1, "| a |\n| --- |", True)
+    assert got[6][:2] == (1, 300) and got[6][3] is False and got[7] == (1, 2, "| a |  |\n| --- | --- |", True)
+
+
+def test_hwp_addresses_of_sixteen_bits():
+    """The format's addresses are all taken for real."""
+    _, _, _, _, _, cells = next(b for b in hwp.blocks(hwp.document([hwp.table([(0, 0, 1, 1, "a"), (20000, 1, 1, 1, "b")], 2)])) if b[0] == "table")
+    assert [c[2:4] for c in cells] == [(0, 0), (20000, 1)]
