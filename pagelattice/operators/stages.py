@@ -80,7 +80,7 @@ def read_pictures(pages: DataFrame, images: DataFrame, keys: list[str], provider
     known = images.join(said, [*keys, "id"], "left")
     out = known.withColumn("vlm_markdown", F.coalesce("vlm_markdown", "__said")).drop("__said").select(*images.columns)
     new = known.where("__said is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "placeholder", "__said"))).alias("__new"))
-    done = F.aggregate(F.coalesce("__new", F.array().cast("array<struct<id:string,placeholder:string,__said:string>>")), F.coalesce(F.col(content), F.lit("")), lambda s, x: blocks.insert_after(s, x["placeholder"], x["__said"]))
+    done = blocks.insert_all(F.col(content), F.transform("__new", lambda x: x["placeholder"]), F.transform("__new", lambda x: x["__said"]))
     return pages.join(new, keys, "left").withColumn(content, done).select(*pages.columns), out
 
 

@@ -98,7 +98,7 @@ def promoted_pages(pages: DataFrame, promoted: DataFrame, images: DataFrame, key
     doc = keys[0]
     new = promoted.select(doc, F.col("image_id").alias("id"), "table_num").join(images.select(*keys, "id", "placeholder"), [doc, "id"])
     per_page = new.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("table_num", "placeholder"))).alias("__new"))
-    done = F.aggregate(F.coalesce("__new", F.array().cast("array<struct<table_num:int,placeholder:string>>")), F.coalesce(F.col(content), F.lit("")), lambda s, x: blocks.insert_after(s, x["placeholder"], blocks.table_block(x["table_num"], F.lit(""))))
+    done = blocks.insert_all(F.col(content), F.transform("__new", lambda x: x["placeholder"]), F.transform("__new", lambda x: blocks.table_block(x["table_num"], F.lit(""))))
     return pages.select(*keys, content).join(per_page, keys, "left").select(*keys, done.alias(content))
 
 

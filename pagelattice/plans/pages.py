@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gates
 from ..operators import blocks, chunks, outline, reports
+from ..session import spread
 from ..sources import html
 from .base import query, table
 
@@ -88,9 +89,10 @@ _TWO = "'## ' || c_name || chr(10) || 'intro' || chr(10) || " + _BLOCK.format(n=
 
 
 def _two(spark, sf_dir):
+    """Customers' pages with two blocks, spread, as patterns are what they cost."""
     b = lambda n, c: blocks.table_block(F.lit(n), F.col(c))
     text = F.concat(F.lit("## "), "c_name", F.lit("\nintro\n"), b(1, "c_mktsegment"), F.lit("\nmiddle\n"), b(2, "c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", text.alias("content"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name", "c_mktsegment", text.alias("content"))
 
 
 @query(
