@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import boxes
+from ..session import cut, pieces, small_batches, spread
 from ..sources import files, html, hwp, office, pdf
 from .base import query, table
 
@@ -23,11 +23,11 @@ def _files(df: DataFrame, make: Callable) -> DataFrame:
     """(path, content) of rows (key, column): make(key, value) is the file."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             keys, values = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys], pa.string()), pa.array([make(k, v) for k, v in zip(keys, values)], pa.binary())], names=_FILE.names)
 
-    return df.mapInArrow(run, _FILE)
+    return spread(small_batches(df), df.columns[0]).mapInArrow(run, _FILE)
 
 
 def _hwp_of_lines(key, text) -> bytes:
@@ -202,10 +202,10 @@ def pdf_fragments(spark, sf_dir):
 @query("with " + _LINES + "select doc_id, ((i - 1) // 50 + 1)::int as page_no, count(*)::bigint as n_glyphs, min(i % 50)::bigint as least from (select doc_id, i, unnest(string_split(x, '')) as c from l where x <> '' and (i - 1) % 50 < 10) where trim(c) <> '' group by all")
 def glyph_regions(spark, sf_dir):
     """Characters that lie wholly in the upper region of their page, counted."""
-    g = pdf.glyphs(pdf.fragments(_files(_documents(spark, sf_dir), _pdf_of_lines))).withColumn("page", F.struct("path", "page_no"))
-    top = g.select("page").distinct().select("page", F.lit("top").alias("region"), F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("t"), F.lit(1e9).alias("r"), F.lit(20.0 + 14 * 9 + 3).alias("b")).alias("box"))
-    inside = boxes.glyphs_in_regions(g, top, "page", "region").withColumn("line", F.round((F.col("t") + 8 - 20) / 14).cast("long") + 1)
-    return inside.groupBy(F.col("page.path").cast("long").alias("doc_id"), F.col("page.page_no").alias("page_no")).agg(F.count("*").alias("n_glyphs"), F.min(F.col("line") % 50).alias("least"))
+    f = cut(pdf.fragments(_files(_documents(spark, sf_dir), _pdf_of_lines)), "fragments")
+    top = f.where("text is not null").select("path", "page_no").distinct().select("path", "page_no", F.lit("top").alias("region"), F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("t"), F.lit(1e9).alias("r"), F.lit(20.0 + 14 * 9 + 3).alias("b")).alias("box"))
+    inside = pdf.glyphs_in_regions(f, top, "region").withColumn("line", F.round((F.col("t") + 8 - 20) / 14).cast("long") + 1)
+    return inside.groupBy(F.col("path").cast("long").alias("doc_id"), "page_no").agg(F.count("*").alias("n_glyphs"), F.min(F.col("line") % 50).alias("least"))
 
 
 @query("select doc_id, case when doc_id % 4 = 3 then null else 'x' || doc_id::varchar end as content, case when doc_id % 4 = 3 then 'BadZipFile: File is not a zip file' end as error from documents where doc_id is not null")

@@ -3,10 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pagelattice import session
 from pagelattice.operators import blocks, grid
-from pagelattice.sources import commands, html, hwp
+from pagelattice.sources import commands, html, hwp, pdf
 
 
 def test_names_without_semicolon(spark):
@@ -85,3 +87,23 @@ def test_image_groups_have_no_set_of_a_document(spark):
     out = blocks.image_groups(t, "doc")
     assert sorted(map(tuple, out.collect())) == [(1, "a,b,x", "b", "b,a", "<!-- img_from_b -->"), (1, "d", "d", "d", "<!-- img_from_d -->")]
     assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_bound_a_worker():
+    b = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 20_000] * 1000)], names=["k", "s"])
+    got = list(session.pieces([b, b.slice(0, 0)]))
+    assert max(p.num_rows * 20_000 for p in got) <= session.PIECE_BYTES and pa.Table.from_batches(got).equals(pa.Table.from_batches([b]))
+
+
+def test_page_of():
+    run = lambda n, l, t, s: {"mid": t + 5.0, "l": l, "n": n, "r": l + 10.0, "size": 10.0, "s": s}
+    assert pdf.page_of([run(0, 50.0, 0.0, "c"), run(1, 0.0, 1.0, " a"), run(2, 12.0, 0.0, "b"), run(3, 0.0, 14.0, "d"), run(4, 10.0, 14.0, "e"), run(5, 0.0, 50.0, "f")]) == "a b c\nde\n\nf"
+    assert pdf.page_of([]) == ""
+
+
+def test_pages_parse_once(spark):
+    f = pdf.fragments(spark.createDataFrame([("a", bytearray(pdf.write([[(50.0, 20.0, 10.0, "x y")], []])))], "path string, content binary"))
+    p = pdf.pages(f)
+    assert sorted(map(tuple, p.collect())) == [("a", 1, "x y"), ("a", 2, "")]
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
